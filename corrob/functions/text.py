@@ -56,30 +56,25 @@ def _canonical_query(query: Column) -> Column:
     )
 
 
+_URL_PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
 def canonicalize_url(c: Column) -> Column:
     """One stable spelling per page address, for URL deduplication."""
     url = strip(c)
-    scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    scheme = F.when(scheme.isin("", "http"), "https").otherwise(scheme)
-    rest = F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
-    rest = F.substring_index(rest, "#", 1)
-    location = F.substring_index(rest, "?", 1)
-    query = F.when(F.contains(rest, F.lit("?")), F.regexp_replace(rest, r"^[^?]*\?", "")).otherwise("")
-    authority = F.regexp_extract(location, r"^//([^/]*)", 1)
-    authority = F.lower(F.substring_index(authority, "@", -1))
+    scheme, authority, path, query = [F.regexp_extract(url, _URL_PARTS, g) for g in (1, 2, 3, 4)]
+    scheme = F.regexp_replace(F.lower(scheme), "^(http)?$", "https")
+    authority = F.regexp_replace(F.lower(authority), "^.*@", "")
     port = F.regexp_extract(authority, r":(\d+)$", 1).try_cast("int")
     host = F.regexp_replace(authority, r":\d*$", "")
-    drop_port = port.isNull() | (port == 0) | ((scheme == "https") & (port == 443))
-    host = F.when(drop_port, host).otherwise(F.concat(host, F.lit(":"), port.cast("string")))
-    path = F.regexp_replace(location, r"^//[^/]*", "")
-    path = F.when(path == "", "/").when(F.length(path) > 1, F.rtrim(path, F.lit("/"))).otherwise(path)
-    path = F.when((path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
-    has_authority = (host != "") | (scheme == "https")
-    base = F.concat(scheme, F.when(has_authority, F.concat(F.lit("://"), host)).otherwise(F.lit(":")))
-    opaque = F.regexp_replace(path, "^/", "")
-    base = F.concat(base, F.when(has_authority, path).otherwise(opaque))
-    canonical_query = F.when(query == "", F.lit("")).otherwise(_canonical_query(query))
-    return F.when(canonical_query == "", base).otherwise(F.concat_ws("?", base, canonical_query))
+    shown_port = F.when((port != 0) & ~((port == 443) & (scheme == "https")), F.concat(F.lit(":"), port.cast("string")))
+    rooted = F.regexp_replace(path, "^(?=[^/])", "/")
+    address = F.when(path.isin("", "/"), "/").otherwise(F.rtrim(rooted, F.lit("/")))
+    hierarchical = (authority != "") | (scheme == "https")
+    body = F.when(hierarchical, F.concat(F.lit("//"), host, F.coalesce(shown_port, F.lit("")), address)).otherwise(path)
+    tail = F.when(query == "", "").otherwise(
+        F.regexp_replace(F.concat(F.lit("?"), _canonical_query(query)), r"^\?$", ""))
+    return F.concat(scheme, F.lit(":"), body, tail)
 
 
 def url_hash(c: Column) -> Column:
