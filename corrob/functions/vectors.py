@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from corrob import fixed_values as V
 
-SPARSE = T.ArrayType(T.StructType().add("bucket", "int").add("w", "double"))
+SPARSE = T.ArrayType(T.StructType().add("bucket", "integer").add("w", "double"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -31,10 +31,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def sparse_dot(a: Column, b: Column) -> Column:
     """Dot product of two sparse vectors."""
-    weights = F.map_from_entries(b)
-    return F.aggregate(
-        a, F.lit(0.0),
-        lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(weights, e["bucket"]), F.lit(0.0)))
+
+    def dot(weights: Column) -> Column:
+        return F.aggregate(
+            a, F.lit(0.0),
+            lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(weights, e["bucket"]), F.lit(0.0)))
+
+    # a one-element array, so that the lookup map is built once per pair
+    return F.element_at(F.transform(F.array(F.map_from_entries(b)), dot), 1)
 
 
 def sparse_norm(a: Column) -> Column:
@@ -43,9 +47,12 @@ def sparse_norm(a: Column) -> Column:
 
 def sparse_unit(a: Column) -> Column:
     """Scale to length one; the zero vector is left as it is."""
-    norm = sparse_norm(a)
-    return F.transform(a, lambda e: F.struct(
-        e["bucket"].alias("bucket"), F.when(norm > 0, e["w"] / norm).otherwise(e["w"]).alias("w")))
+
+    def scale(norm: Column) -> Column:
+        return F.transform(a, lambda e: F.struct(
+            e["bucket"].alias("bucket"), F.when(norm > 0, e["w"] / norm).otherwise(e["w"]).alias("w")))
+
+    return F.element_at(F.transform(F.array(sparse_norm(a)), scale), 1)
 
 
 def _stem(w: Column) -> Column:
