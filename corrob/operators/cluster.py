@@ -205,3 +205,18 @@ def cluster_events(reports: DataFrame, wave: Column | None = None, events: DataF
     score = F.when(primary, 1.0).when(F.col("is_new"), F.col("self_score")).otherwise(F.col("score"))
     return state, edges.select("event_id", "report_id", F.round(score, 4).alias("similarity_score"),
                                primary.alias("is_primary"))
+
+
+def backfill(reports: DataFrame, sources: DataFrame, as_of: Column, wave: Column | None = None,
+             events: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cluster the NEW reports in order of retrieval, then verify the touched events.
+
+    -> (verified, events, edges).  Headline vectors come along, so copies of a
+    headline count as one chain.
+    """
+    from corrob.operators.verify import event_members, verify_events
+
+    fresh = reports.filter(F.col("status") == "NEW") if "status" in reports.columns else reports
+    clustered, edges = cluster_events(fresh, wave, events)
+    members = default_embedder(event_members(edges.select("event_id", "report_id"), fresh, sources))
+    return verify_events(members, as_of), clustered, edges
