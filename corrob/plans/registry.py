@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from corrob.plans import ingest_queries, similarity_queries, verify_queries  # noqa: F401
+    from corrob.plans import ingest_queries, ops_queries, similarity_queries, verify_queries  # noqa: F401
