@@ -105,7 +105,8 @@ def severity(event_type: Column) -> Column:
 
 def _log_share(value: Column, ceiling: float) -> Column:
     span = F.log10(F.lit(ceiling))
-    return F.when(value < 1.0, 0.0).otherwise(F.least(F.lit(100.0), 100.0 * F.log10(value) / span))
+    share = F.least(F.lit(100.0), 100.0 * F.log10(value) / span)
+    return F.when(value >= 1.0, share).when(value < 1.0, 0.0)
 
 
 def harm(measures: Column) -> Column:

@@ -152,12 +152,14 @@ def copy_tokens(c: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct ``n``-token runs of an array, joined by spaces; none if shorter."""
-    count = F.size(tokens) - n + 1
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
-    )
-    return F.when(count >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(words: Column) -> Column:
+        count = F.size(words) - n + 1
+        starts = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+
+    # a one-element array, so that the tokens are cut once and not once per run
+    return F.element_at(F.transform(F.array(tokens), runs), 1)
 
 
 def number_tokens(c: Column) -> Column:

@@ -293,8 +293,9 @@ def archive_stale(events: DataFrame, as_of: Column, hours: int = V.STALE_EVENT_H
     """Active events quiet for longer than ``hours`` become ARCHIVED as of now."""
     quiet = micros(as_of) - micros(F.col("last_updated_at")) > hours * 3_600_000_000
     stale = is_active(F.col("status"), for_maintenance=True) & quiet
-    return events.withColumn("last_updated_at", F.when(stale, as_of).otherwise(F.col("last_updated_at"))).withColumn(
-        "status", F.when(stale, "ARCHIVED").otherwise(F.col("status")))
+    return events.withColumns({
+        "last_updated_at": F.when(stale, as_of).otherwise(F.col("last_updated_at")),
+        "status": F.when(stale, "ARCHIVED").otherwise(F.col("status"))})
 
 
 def prune_jobs(jobs: DataFrame, as_of: Column, days: int = V.JOB_RETENTION_DAYS) -> DataFrame:

@@ -57,9 +57,13 @@ def aggregate_facts(members: DataFrame) -> DataFrame:
 
 
 def fact_provenance(members: DataFrame) -> DataFrame:
-    """(event_id, fact_key, report_id): which report asserts which claim."""
+    """(event_id, fact_key, source_id): which source asserts which claim, once each.
+
+    Extraction runs once per distinct (event, source, text).
+    """
+    texts = members.select("event_id", "source_id", "title", "description").distinct()
     keys = F.transform(report_facts(F.col("title"), F.coalesce("description", F.lit(""))), lambda f: f["fact_key"])
-    return members.select("event_id", "report_id", "source_id", F.explode(keys).alias("fact_key"))
+    return texts.select("event_id", "source_id", F.explode(keys).alias("fact_key")).distinct()
 
 
 def merge_facts(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:

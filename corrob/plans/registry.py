@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corrob.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +19,13 @@ def query(name: str, sql: str | None = None):
     """Register a query; without ``sql`` only its rows can be checked."""
 
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -25,4 +34,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from corrob.plans import ingest_queries, ops_queries, similarity_queries, verify_queries  # noqa: F401
+    from corrob.plans import (  # noqa: F401
+        editorial_queries, ingest_queries, ops_queries, serve_queries, similarity_queries, verify_queries)

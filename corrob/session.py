@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,3 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def working_table(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table under the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/corrob-{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corrob_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "corrob")
+    sc.addPyFile(shutil.make_archive(target, "zip", root, "corrob"))
+    sc._corrob_shipped = True
