@@ -125,7 +125,7 @@ def evidence_numbers() -> Column:
 def compose_brief(packages: DataFrame) -> DataFrame:
     """An extractive draft from the confirmed facts alone."""
     title = F.trim(F.coalesce("title", F.lit("")))
-    facts = F.filter(F.transform(_statements("confirmed_facts"), F.trim), lambda f: f != "")
+    facts = F.filter(F.transform(_statements("confirmed_facts"), lambda s: F.trim(s)), lambda f: f != "")
     enough = (title != "") & (F.size("confirmed_facts") > 0)
     drafted = packages.withColumn("_facts", facts)
     lead = F.array_join(F.slice("_facts", 1, 4), " ")

@@ -35,4 +35,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from corrob.plans import (  # noqa: F401
-        editorial_queries, ingest_queries, ops_queries, serve_queries, similarity_queries, verify_queries)
+        editorial_queries, ingest_queries, ops_queries, serve_queries, similarity_queries, stream_queries,
+        verify_queries)
