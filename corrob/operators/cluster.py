@@ -200,7 +200,7 @@ def cluster_events(reports: DataFrame, wave: Column | None = None, events: DataF
              + V.WEIGHT_NUMBER * F.when(F.size("numbers") > 0, 1.0).otherwise(0.0)).alias("self_score"),
         ).write.mode("append").parquet(labels)
     lookup = spark.read.parquet(labels)
-    edges = salted_lookup(keyed.select("report_id", "wave", "text_id"), lookup, ["wave", "text_id"], "report_id", how="inner")
+    edges = salted_lookup(keyed.select("report_id", "wave", "text_id"), lookup, ["wave", "text_id"], ["report_id"], how="inner")
     primary = F.col("event_id") == F.col("report_id")
     score = F.when(primary, 1.0).when(F.col("is_new"), F.col("self_score")).otherwise(F.col("score"))
     return state, edges.select("event_id", "report_id", F.round(score, 4).alias("similarity_score"),

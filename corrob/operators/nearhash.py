@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from hashlib import blake2b, md5
 from itertools import combinations
 
 import numpy as np
@@ -15,31 +15,27 @@ from pyspark.sql.functions import pandas_udf
 from corrob.functions.text import hamming, normalize_text
 
 
-@pandas_udf(T.StringType())
-def _simhash_of(normalized: pd.Series) -> pd.Series:
-    """Majority vote over the token hashes' bits; every occurrence votes."""
-    known: dict[str, np.ndarray] = {}
+def _simhash_udf(digest):
+    @pandas_udf(T.StringType())
+    def signature(normalized: pd.Series) -> pd.Series:
+        """Majority vote over the token hashes' bits; every occurrence votes."""
+        index: dict[str, int] = {}
+        rows = [[index.setdefault(t, len(index)) for t in text.split()] for text in normalized]
+        raw = np.frombuffer(b"".join(digest(t.encode()) for t in index), dtype=np.uint8).reshape(-1, 8)
+        votes = np.unpackbits(raw, axis=1).astype(np.int32) * 2 - 1
+        return pd.Series([np.packbits(votes[r].sum(axis=0) > 0).tobytes().hex() if r else "0" * 16 for r in rows],
+                         index=normalized.index)
 
-    def bits(token: str) -> np.ndarray:
-        if token not in known:
-            raw = np.frombuffer(blake2b(token.encode(), digest_size=8).digest(), dtype=np.uint8)
-            known[token] = np.unpackbits(raw).astype(np.int64) * 2 - 1
-        return known[token]
+    return signature
 
-    def signature(text: str) -> str:
-        votes = np.zeros(64, dtype=np.int64)
-        tokens, counts = np.unique(text.split() or [""], return_counts=True)
-        for token, n in zip(tokens, counts):
-            if token:
-                votes += n * bits(str(token))
-        return np.packbits(votes > 0).tobytes().hex()
 
-    return normalized.map(signature)
+def simhash(text: Column, algorithm: str = "blake2b") -> Column:
+    """64-bit SimHash in hex.  Map-only: no token ever crosses a shuffle.
 
-
-def simhash(text: Column) -> Column:
-    """64-bit SimHash in hex.  Map-only: no token ever crosses a shuffle."""
-    return _simhash_of(normalize_text(text))
+    ``algorithm`` is the token hash, ``blake2b`` or (first 8 bytes of) ``md5``.
+    """
+    digests = {"blake2b": lambda b: blake2b(b, digest_size=8).digest(), "md5": lambda b: md5(b).digest()[:8]}
+    return _simhash_udf(digests[algorithm])(normalize_text(text))
 
 
 def simhash_md5(df: DataFrame, key: str, text: str) -> DataFrame:

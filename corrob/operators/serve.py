@@ -164,6 +164,6 @@ def geo_enrich(visits: DataFrame, cidrs: DataFrame, row_key: str) -> DataFrame:
     held = addresses.join(networks, "block").filter(F.col("number").between(F.col("lo"), F.col("hi")))
     known = held.groupBy("ip").agg(F.min(F.struct("ord", "code")).alias("m")).select(
         "ip", F.upper(F.nullif(F.col("m.code"), F.lit(""))).alias("found"))
-    return salted_lookup(visits, known, ["ip"], row_key).withColumn(
+    return salted_lookup(visits, known, ["ip"], [row_key]).withColumn(
         "country_code", F.coalesce("found", F.lit(V.GLOBAL_COUNTRY))).withColumn(
         "resolved", F.col("found").isNotNull()).drop("found")

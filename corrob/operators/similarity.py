@@ -12,14 +12,14 @@ from corrob.functions.vectors import sparse_dot
 from corrob.session import cut_lineage
 
 
-def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], row_key: str, salts: int = 16,
+def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], row_key: list[str], salts: int = 8,
                   how: str = "left") -> DataFrame:
     """Join facts to a table with one row per key although one key may be very hot.
 
     The narrow side is repeated ``salts`` times and the wide side spreads each
     key over as many partitions by a hash of its own row key.
     """
-    wide = facts.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
+    wide = facts.withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)).cast("int"))
     narrow = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return wide.join(narrow, [*keys, "_salt"], how).drop("_salt")
 

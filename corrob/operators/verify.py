@@ -14,7 +14,7 @@ from corrob import fixed_values as V
 from corrob.functions.facts import measure_of, report_facts
 from corrob.functions.scores import confidence_score, hours_between, is_official
 from corrob.functions.text import display_number
-from corrob.operators.similarity import bucket_ranks, lexically_first, prefix_join, prefix_of
+from corrob.operators.similarity import bucket_ranks, lexically_first, prefix_join, prefix_of, salted_lookup
 from corrob.session import cut_lineage
 
 _FACT_FIELDS = ["fact_type", "statement", "value_numeric", "value_text"]
@@ -33,18 +33,29 @@ def event_members(edges: DataFrame, reports: DataFrame, sources: DataFrame) -> D
     return edges.join(reports, "report_id").join(described, "source_id")
 
 
+def _text_id() -> Column:
+    return F.md5(F.concat_ws("\u0001", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+
+
+def _facts_of_texts(members: DataFrame) -> DataFrame:
+    """(text_id, facts): extraction, once per distinct text."""
+    texts = members.select(_text_id().alias("text_id"), "title", F.coalesce("description", F.lit("")).alias("description"))
+    distinct = texts.groupBy("text_id").agg(F.max(F.struct("title", "description")).alias("t"))
+    return distinct.select("text_id", report_facts(F.col("t.title"), F.col("t.description")).alias("facts"))
+
+
 def aggregate_facts(members: DataFrame) -> DataFrame:
     """One row per (event, claim) with its support.
 
-    Copies of a text are merged per (event, text, chain) before anything is
-    extracted, so extraction runs once per distinct text and a much repeated
-    report costs one row.
+    Copies of a text are merged per (event, text, chain) on the map side, the
+    facts of each distinct text are extracted once, and both meet in a salted
+    lookup: a report that a third of the feeds repeat is one row of each.
     """
     order = F.struct("retrieved_at", "report_id")
-    texts = members.groupBy("event_id", "title", "description", "lineage_root").agg(
+    texts = members.groupBy("event_id", _text_id().alias("text_id"), "lineage_root").agg(
         F.count(F.lit(1)).alias("reports"), F.max("retrieved_at").alias("last"), F.min(order).alias("first"))
-    found = texts.select("event_id", "lineage_root", "reports", "last", "first",
-                         F.explode(report_facts(F.col("title"), F.coalesce("description", F.lit("")))).alias("f"))
+    found = salted_lookup(texts, _facts_of_texts(members), ["text_id"], ["event_id", "lineage_root"], how="inner")
+    found = found.select("event_id", "lineage_root", "reports", "last", "first", F.explode("facts").alias("f"))
     chains = found.groupBy("event_id", F.col("f.fact_key").alias("fact_key"), "lineage_root").agg(
         F.sum("reports").alias("reports"), F.max("last").alias("last"),
         F.min(F.struct("first", *[F.col(f"f.{c}").alias(c) for c in _FACT_FIELDS])).alias("head"))
@@ -57,13 +68,11 @@ def aggregate_facts(members: DataFrame) -> DataFrame:
 
 
 def fact_provenance(members: DataFrame) -> DataFrame:
-    """(event_id, fact_key, source_id): which source asserts which claim, once each.
-
-    Extraction runs once per distinct (event, source, text).
-    """
-    texts = members.select("event_id", "source_id", "title", "description").distinct()
-    keys = F.transform(report_facts(F.col("title"), F.coalesce("description", F.lit(""))), lambda f: f["fact_key"])
-    return texts.select("event_id", "source_id", F.explode(keys).alias("fact_key")).distinct()
+    """(event_id, fact_key, source_id): which source asserts which claim, once each."""
+    texts = members.select("event_id", "source_id", _text_id().alias("text_id")).distinct()
+    found = salted_lookup(texts, _facts_of_texts(members), ["text_id"], ["event_id", "source_id"], how="inner")
+    return found.select("event_id", "source_id", F.explode(F.transform("facts", lambda f: f["fact_key"])).alias(
+        "fact_key")).distinct()
 
 
 def merge_facts(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:

@@ -191,8 +191,9 @@ SELECT a.id AS id_a, b.id AS id_b, a.copies AS copies_a, b.copies AS copies_b,
   CAST(bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)) AS INT) AS distance
 FROM g a JOIN g b ON a.id < b.id WHERE bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)) <= 3""")
 def near_dup(spark, sf_dir):
-    signatures = simhash_md5(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return near_dup_pairs(signatures.withColumnRenamed("doc_id", "id"), 3)
+    signatures = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), simhash(F.col("text"), "md5").alias("simhash"))
+    return near_dup_pairs(signatures, 3)
 
 
 @query("slugs_and_pseudonyms", f"""

@@ -70,10 +70,12 @@ def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
 def read_feed_rejects(spark: SparkSession, path: str) -> DataFrame:
     """Quarantine: broken entries, and files without any readable entry."""
     rss, atom = _scan(spark, path, "item", _RSS), _scan(spark, path, "entry", _ATOM)
-    entries = rss.select("feed_file", "_corrupt_record").unionByName(atom.select("feed_file", "_corrupt_record"))
+    fields = ["feed_file", "title", F.col("link").isNotNull().alias("linked"), "_corrupt_record"]
+    entries = rss.select(*fields).unionByName(atom.select(*fields))
     broken = entries.filter(F.col("_corrupt_record").isNotNull()).select(
-        "feed_file", F.lit("broken entry").alias("problem"), F.col("_corrupt_record").alias("payload"))
-    readable = entries.filter(F.col("_corrupt_record").isNull()).select("feed_file").distinct()
+        "feed_file", F.lit("broken entry").alias("problem"), F.coalesce("_corrupt_record", "title").alias("payload"))
+    filled = F.col("title").isNotNull() | F.col("linked")
+    readable = entries.filter(F.col("_corrupt_record").isNull() & filled).select("feed_file").distinct()
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("feed_file"))
     empty = files.join(readable, "feed_file", "left_anti").select(
         "feed_file", F.lit("feed could not be parsed").alias("problem"), F.lit(None).cast("string").alias("payload"))
