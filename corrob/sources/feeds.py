@@ -36,10 +36,15 @@ _ATOM = (T.StructType().add("title", "string").add("link", _ATOM_LINK).add("summ
 _CHANNEL = T.StructType().add("language", "string").add("_corrupt_record", "string")
 
 
+def _file_name(c: Column) -> Column:
+    """One spelling of local file names, which readers give with one or three slashes."""
+    return F.regexp_replace(c, "^file:/+", "file:/")
+
+
 def _scan(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
     return (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreNamespace", "true")
-            .schema(schema).load(path).withColumn("feed_file", F.input_file_name()))
+            .schema(schema).load(path).withColumn("feed_file", _file_name(F.input_file_name())))
 
 
 def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -72,14 +77,14 @@ def read_feed_rejects(spark: SparkSession, path: str) -> DataFrame:
     rss, atom = _scan(spark, path, "item", _RSS), _scan(spark, path, "entry", _ATOM)
     fields = ["feed_file", "title", F.col("link").isNotNull().alias("linked"), "_corrupt_record"]
     entries = rss.select(*fields).unionByName(atom.select(*fields))
-    broken = entries.filter(F.col("_corrupt_record").isNotNull()).select(
-        "feed_file", F.lit("broken entry").alias("problem"), F.coalesce("_corrupt_record", "title").alias("payload"))
     filled = F.col("title").isNotNull() | F.col("linked")
     readable = entries.filter(F.col("_corrupt_record").isNull() & filled).select("feed_file").distinct()
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("feed_file"))
+    broken = entries.filter(F.col("_corrupt_record").isNotNull()).select(
+        "feed_file", F.lit("broken entry").alias("problem"), F.coalesce("_corrupt_record", "title").alias("payload"))
+    files = spark.read.format("binaryFile").load(path).select(_file_name(F.col("path")).alias("feed_file"))
     empty = files.join(readable, "feed_file", "left_anti").select(
         "feed_file", F.lit("feed could not be parsed").alias("problem"), F.lit(None).cast("string").alias("payload"))
-    return broken.unionByName(empty)
+    return broken.distinct().join(readable, "feed_file", "left_semi").unionByName(empty)
 
 
 def read_page_entries(pages: DataFrame) -> DataFrame:
