@@ -39,6 +39,17 @@ def _quote(c: Column) -> Column:
 
 
 def _canonical_query(query: Column) -> Column:
+    """Tracking parameters and blank values dropped, the rest sorted and quoted anew.
+
+    With at most one plain parameter left there is nothing to sort or quote,
+    which settles most addresses with two regular expressions.
+    """
+    tracking = "(?i)&(" + "|".join(V.TRACKING_PARAMS) + ")=[^&]*"
+    left = F.regexp_replace(F.regexp_replace(F.concat(F.lit("&"), query), tracking, ""), "^&", "")
+    return F.when(left.rlike("^([A-Za-z0-9_.-]*=[A-Za-z0-9_.-]+)?$"), left).otherwise(_sorted_query(query))
+
+
+def _sorted_query(query: Column) -> Column:
     parts = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
     pairs = F.transform(
         parts,
@@ -65,7 +76,8 @@ def canonicalize_url(c: Column) -> Column:
     scheme, authority, path, query = [F.regexp_extract(url, _URL_PARTS, g) for g in (1, 2, 3, 4)]
     scheme = F.regexp_replace(F.lower(scheme), "^(http)?$", "https")
     authority = F.regexp_replace(F.lower(authority), "^.*@", "")
-    port = F.regexp_extract(authority, r":(\d+)$", 1).try_cast("int")
+    # NULL rather than '' where there is no port: a failing cast is costly per row
+    port = F.nullif(F.regexp_extract(authority, r":(\d+)$", 1), F.lit("")).try_cast("int")
     host = F.regexp_replace(authority, r":\d*$", "")
     shown_port = F.when((port != 0) & ~((port == 443) & (scheme == "https")), F.concat(F.lit(":"), port.cast("string")))
     rooted = F.regexp_replace(path, "^(?=[^/])", "/")

@@ -46,6 +46,12 @@ def score_importance(events: DataFrame, facts: DataFrame, members: DataFrame, as
         F.coalesce("entity_count", F.lit(0)), F.coalesce("update_count", F.lit(0)), age, deaths > 0))
 
 
+def importance_violations(inputs: DataFrame, counts: tuple[str, ...] = ("entity_count", "update_count")) -> DataFrame:
+    """Rows whose counts break the scoring contract (must be >= 0)."""
+    negative = F.array_compact(F.array(*[F.when(F.col(c) < 0, F.lit(c)) for c in counts]))
+    return inputs.withColumn("violations", negative).filter(F.size("violations") > 0)
+
+
 # --- evidence ----------------------------------------------------------------
 
 
@@ -281,16 +287,16 @@ def _version_step(pdf: pd.DataFrame, state: str | None) -> tuple[list[bool], str
     return flags, json.dumps(sorted(last))
 
 
-def article_versions(drafts: DataFrame, chunk: Column | None = None) -> DataFrame:
+def article_versions(drafts: DataFrame, chunk: Column) -> DataFrame:
     """Number the drafts that change an article enough: article_id, ord, body -> version.
 
-    Each draft is compared with the last *accepted* one.  ``chunk`` cuts a long
-    history into pieces that are folded side by side.
+    Each draft is compared with the last *accepted* one.  ``chunk`` (growing
+    with ``ord``) cuts a history into pieces that are folded side by side.
     """
     worded = drafts.withColumn("words", X.word_set(F.col("body")))
-    judged = fold_in_chunks(worded, "article_id", ["ord"], F.lit(0) if chunk is None else chunk, _version_step, "accepted")
+    judged = fold_in_chunks(worded, "article_id", ["ord"], chunk, _version_step, "accepted")
     accepted = judged.filter("accepted").drop("accepted", "words")
-    return row_number_in_buckets(accepted, "article_id", ["ord"], F.lit(0) if chunk is None else chunk, "version")
+    return row_number_in_buckets(accepted, "article_id", ["ord"], chunk, "version")
 
 
 def publish(gated: DataFrame, drafts: DataFrame, as_of: Column, locales: DataFrame | None = None) -> DataFrame:

@@ -113,6 +113,16 @@ def importance_scores(spark, sf_dir):
     return scored.select("event_id", "entity_count", "update_count", "importance_score")
 
 
+@query("importance_input_violations", _EDIT + """
+SELECT event_id, 'entity_count,update_count' AS violations FROM breadth WHERE updates > 80""")
+def importance_input_violations(spark, sf_dir):
+    """Contract check on counts turned negative for busy events."""
+    breadth = O.report_breadth(members(spark, sf_dir))
+    turned = F.when(F.col("update_count") > 80, -1).otherwise(1)
+    broken = breadth.withColumns({"entity_count": F.col("entity_count") * turned, "update_count": F.col("update_count") * turned})
+    return O.importance_violations(broken).select("event_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("fact_sources", _EDIT + "SELECT event_id, fact_key, sources FROM names")
 def fact_sources(spark, sf_dir):
     desk = Desk(spark, sf_dir)
