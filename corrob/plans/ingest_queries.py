@@ -140,13 +140,13 @@ def ingest_counters(spark, sf_dir):
 
 @query("shaped_reports", with_views("entries", "sources") + f"""
 SELECT entry_id, left(coalesce(nullif(e.language, ''), nullif(s.language, ''), 'en'), 16) AS language,
-  length(CASE WHEN s.raw_text_permitted THEN description END) AS raw_chars, description = '' AS was_empty,
+  coalesce(length(CASE WHEN s.raw_text_permitted THEN description END), -1) AS raw_chars, description = '' AS was_empty,
   nullif(description, '') IS NULL AS is_null
 FROM entries e LEFT JOIN sources s USING (source_id)""")
 def shaped_reports(spark, sf_dir):
     entries = views.entries(spark, sf_dir).withColumn("was_empty", F.col("description") == "")
     shaped = I.shape_reports(entries, views.sources(spark, sf_dir), views.as_of_events())
-    return shaped.select("entry_id", "language", F.length("raw_text").cast("bigint").alias("raw_chars"), "was_empty",
+    return shaped.select("entry_id", "language", F.coalesce(F.length("raw_text"), F.lit(-1)).cast("bigint").alias("raw_chars"), "was_empty",
                          F.col("description").isNull().alias("is_null"))
 
 

@@ -124,7 +124,7 @@ def event_review(spark, sf_dir):
 @query("article_detail", with_views("articles") + """
 SELECT a.article_id, headline || '|second point' AS key_points,
   (SELECT string_agg('Publisher ' || CAST(l_suppkey AS VARCHAR), '|' ORDER BY 'Publisher ' || CAST(l_suppkey AS VARCHAR), l_linenumber) FROM lineitem WHERE l_orderkey = a.article_id) AS sources,
-  (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = a.article_id) AS image_id FROM articles a WHERE is_published""")
+  coalesce((SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = a.article_id), -1) AS image_id FROM articles a WHERE is_published""")
 def article_detail(spark, sf_dir):
     """Order lines stand in for attributions and images of an article."""
     lines = table(spark, sf_dir, "lineitem")
@@ -136,7 +136,7 @@ def article_detail(spark, sf_dir):
     articles = views.articles(spark, sf_dir).withColumn("key_points", F.to_json(F.array("headline", F.lit("second point"))))
     return O.article_detail(articles, attributions, images).select(
         "article_id", F.array_join("key_points", "|").alias("key_points"),
-        F.array_join(F.col("sources.source_name"), "|").alias("sources"), F.col("image.image_id").alias("image_id"))
+        F.array_join(F.col("sources.source_name"), "|").alias("sources"), F.coalesce("image.image_id", F.lit(-1)).alias("image_id"))
 
 
 @query("country_source_listing", with_views("country_sources", "sources") + """

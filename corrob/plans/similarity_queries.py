@@ -37,7 +37,7 @@ def vector_centroids(spark, sf_dir):
 @query("top_k_neighbors", _CENTROIDS + """, d AS (SELECT c.label AS query_id, e.vec_id AS id, sum(c.w * CAST(e.w AS DOUBLE)) AS sim
   FROM c JOIN e USING (dim) GROUP BY c.label, e.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM d)
-SELECT query_id, id, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20""")
+SELECT CAST(query_id AS BIGINT) AS query_id, id, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20""")
 def top_k_neighbors(spark, sf_dir):
     """The 20 vectors nearest to each label's centroid."""
     base = embeddings(spark, sf_dir)

@@ -276,7 +276,7 @@ def lineage_roots(spark, sf_dir):
 @query("event_timeline", SCORED_SQL + f"""
 , firsts AS (SELECT event_id, arg_min(report_id, (retrieved_at, report_id)) AS first_id FROM members GROUP BY event_id)
 SELECT m.event_id, strftime(m.retrieved_at, '{DATE}') AS occurred_at, CASE WHEN report_id = first_id THEN 'detected' ELSE 'report_added' END AS update_type,
-  CASE WHEN report_id = first_id THEN 'Event first detected from ' || source_name ELSE 'New report attached from ' || left(title, 120) END AS summary, report_id
+  CASE WHEN report_id = first_id THEN 'Event first detected from ' || source_name ELSE 'New report attached from ' || left(title, 120) END AS summary, CAST(report_id AS VARCHAR) AS report_id
   FROM members m JOIN firsts USING (event_id)
 UNION ALL
 SELECT event_id, '{views.AS_OF_EVENTS}', 'verified', printf('Verified: %d independent source(s), %d conflict(s), confidence %.1f', chains, conflict_count, confidence_score), NULL FROM scored""")
@@ -287,7 +287,8 @@ def event_timeline(spark, sf_dir):
     edges = everyone.join(first, ["event_id", "report_id"], "left").withColumn(
         "is_primary", F.coalesce("is_primary", F.lit(False)))
     events = O.verify_events(everyone, as_of)
-    return O.event_timeline(events, edges, as_of).withColumn("occurred_at", stamp("occurred_at"))
+    return O.event_timeline(events, edges, as_of).withColumns(
+        {"occurred_at": stamp("occurred_at"), "report_id": F.col("report_id").cast("string")})
 
 
 @query("primary_reports", FACTS_SQL + """
