@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from corrob.functions.text import hamming, normalize_text
+from corrob.functions.text import normalize_text
+from corrob.session import cut_lineage
 
 
 def _simhash_udf(digest):
@@ -76,23 +77,21 @@ def near_dup_pairs(signatures: DataFrame, max_hamming: int = 3, intact: int = 3)
     blocks mean longer, rarer join keys, which is the knob for size.
     """
     groups = signatures.groupBy("simhash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    # both sides of the join need it; the texts behind it are hashed once
+    groups = cut_lineage(groups)
     blocks = max_hamming + intact
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-
-    def half(start: int) -> Column:
-        return F.conv(F.substring("simhash", start, 8), 16, 10).cast("bigint")
-
-    binary = F.concat(*[F.lpad(F.bin(half(s)), 32, "0") for s in (1, 9)])
-    cut = groups.select("id", "simhash", "copies", binary.alias("bits"))
-    keys = [
-        F.concat_ws("", F.lit(f"{n}:"), *[F.substring("bits", edges[i] + 1, edges[i + 1] - edges[i]) for i in choice])
-        for n, choice in enumerate(combinations(range(blocks), intact))
-    ]
-    banded = cut.select("id", "simhash", "copies", F.explode(F.array(*keys)).alias("band"))
-    a, b = banded.alias("a"), banded.alias("b")
-    distance = hamming(F.col("a.simhash"), F.col("b.simhash"))
-    candidates = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")))
-    return candidates.filter(distance <= max_hamming).select(
-        F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"),
-        F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"),
-        distance.cast("int").alias("distance")).dropDuplicates(["id_a", "id_b"])
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in choice)
+             for choice in combinations(range(blocks), intact)]
+    halves = groups.select("id", "copies", *[
+        F.conv(F.substring("simhash", start, 8), 16, 10).cast("bigint").alias(name)
+        for name, start in (("high", 1), ("low", 9))])
+    keys = [F.struct(F.lit(n).alias("choice"), F.col("high").bitwiseAND(F.lit(m >> 32)).alias("h"),
+                     F.col("low").bitwiseAND(F.lit(m & 0xFFFFFFFF)).alias("l")) for n, m in enumerate(masks)]
+    banded = halves.select("id", "copies", "high", "low", F.inline(F.array(*keys)))
+    other = banded.select(*[F.col(c).alias(c if c in ("choice", "h", "l") else f"{c}_b") for c in banded.columns])
+    distance = (F.bit_count(F.col("high").bitwiseXOR(F.col("high_b")))
+                + F.bit_count(F.col("low").bitwiseXOR(F.col("low_b"))))
+    near = banded.join(other, ["choice", "h", "l"]).filter((F.col("id") < F.col("id_b")) & (distance <= max_hamming))
+    return near.select(F.col("id").alias("id_a"), "id_b", F.col("copies").alias("copies_a"), "copies_b",
+                       distance.cast("int").alias("distance")).dropDuplicates(["id_a", "id_b"])
