@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrob.llm import quality
+from corrob.llm import nearcopies, quality
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -26,3 +26,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "word_distance")
+
+
+@query("op8_setsketch_near_copies")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
