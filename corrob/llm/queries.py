@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrob.llm import nearcopies, quality
+from corrob.llm import decontaminate, mixing, nearcopies, quality
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -31,3 +31,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_setsketch_near_copies")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bm25_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_pareto_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))

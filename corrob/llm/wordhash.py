@@ -57,13 +57,21 @@ def text_slices(column: pa.Array, limit: int = _SLICE) -> Iterator[tuple[int, in
         low = high
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def blanks_and(characters: str) -> np.ndarray:
+    """A table of separators: the blanks and some ASCII characters."""
+    marks = _BLANK.copy()
+    marks[[ord(c) for c in characters]] = True
+    return marks
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _BLANK
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash) of every word; A-Z count as a-z."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    inside = ~_BLANK[data]
+    inside = ~separators[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < n]
