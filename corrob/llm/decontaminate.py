@@ -5,7 +5,7 @@ the BM25 weight there, divided by what the item would score against itself, so
 a score is the share of the item that a passage explains.  Posting lists are
 cut in blocks that know their largest weight.
 
-Every document is cut into overlapping passages, twice as long as the longest
+Words are compared in lower case and without punctuation.  Every document is cut into overlapping passages, twice as long as the longest
 item, so some passage holds most of any copied item.  A passage whose words'
 largest weights do not add up to the threshold is passed over; the others are
 run as queries, all items from the threshold up are retrieved (no top k), and
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,13 @@ _SEPARATORS = blanks_and(".,;:!?\"'()[]")
 _FILTER_BITS = 20
 
 
-def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pieces of a column in lower case, of all scripts."""
+    return text_slices(pc.utf8_lower(texts.cast(pa.large_string())))
+
+
+def _hashes(text: str) -> np.ndarray:
+    return np.concatenate([hashed_words(data, offsets, _SEPARATORS)[3] for _, _, data, offsets in _pieces(pa.array([text]))])
 
 
 def _shingles(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -62,8 +67,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
-        data, offsets = _bytes([t for _, t in items])
-        row, _, _, h = hashed_words(data, offsets, _SEPARATORS)
+        hashes = [_hashes(t) for _, t in items]
+        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        row = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
         n = max(1, len(items))
         length = np.bincount(row, minlength=len(items))
         self.longest = int(length.max(initial=0))
@@ -89,8 +95,7 @@ class Index:
         """Shingles of question and answer; of a single sentence both are the whole."""
         sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
         pieces = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, text)
-        hashes = [hashed_words(*_bytes([p]), _SEPARATORS)[3] for p in pieces]
-        return tuple(np.unique(_shingles(h, min(SHINGLE, len(h)))) for h in hashes)
+        return tuple(np.unique(_shingles(h, min(SHINGLE, len(h)))) for h in map(_hashes, pieces))
 
     def retrieve(self, terms: list[int]) -> dict[int, float]:
         """Every item that the distinct ``terms`` score at the threshold or above."""
@@ -194,7 +199,7 @@ def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for low, _, data, offsets in text_slices(batch.column(1)):
+            for low, _, data, offsets in _pieces(batch.column(1)):
                 if found := index.matches(data, offsets):
                     row, item, score, q, a = zip(*found)
                     yield pa.RecordBatch.from_arrays([
@@ -220,7 +225,7 @@ def _sieve(shared, at: int):
         index = shared.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for low, _, data, offsets in text_slices(batch.column(at)):
+            for low, _, data, offsets in _pieces(batch.column(at)):
                 keep[[low + m[0] for m in index.matches(data, offsets)]] = False
             yield batch.filter(pa.array(keep))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrob.llm import decontaminate, mixing, nearcopies, quality
+import corpus_pipeline
+from corrob.llm import decontaminate, mixing, nearcopies, quality, token_shards
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +42,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pareto_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op1_training_order_shards")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.training_order(table(spark, sf_dir, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
