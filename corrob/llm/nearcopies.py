@@ -13,13 +13,19 @@ a probability close to their Jaccard similarity.
 3. A pair is dropped if the likeliest similarity, given both sizes and how
    often one register is larger, equal or smaller, is far below the threshold;
    the rest is checked on the full sets of the whole texts.
-4. Links are joined to components; buckets whose members then still lie in
-   different components have exactly those pairs tested that cross.
-
-After step 4 every pair that shares a bucket has been tested or is known to be
-connected, so the components are those of all pairs that share a band key: at
-24 bands of 4, a pair at the threshold of 0.85 shares none with a probability
-of 2e-8 (at 0.8: 3e-6).
+4. Links are joined to components.  Members of buckets that then still hold
+   several components are searched exactly for links across components: a
+   document stays in question only while enough of its shingles occur in
+   another component to reach the threshold, and pairs must share one of the
+   rarest of those (as many as a link cannot do without).  That takes out the
+   bulk of a large group of looser copies, each with edits of its own, in
+   linear time.  First each such shingle's documents are compared with one of
+   them, which joins most components; then all pairs left over are tested.
+
+After step 4 every pair that shares a bucket has been tested, cannot be linked
+or is known to be connected, so the components are those of all pairs that
+share a band key: at 24 bands of 4, a pair at the threshold of 0.85 shares
+none with a probability of 2e-8 (at 0.8: 3e-6).
 
 Defined cases: a null text is empty; a text without words has no shingles and
 no links; rows without doc_id are never linked; rows that repeat a doc_id are
@@ -33,7 +39,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrob.llm.common import stored
@@ -143,6 +149,45 @@ def _linked(k: int, least_percent: int):
     return run
 
 
+def _exploded(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in text_slices(batch.column(2), 1 << 20):
+                sets = shingle_sets(data, offsets, k)
+                size = np.array([len(x) for x in sets])
+                row = np.repeat(np.arange(low, high), size)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
+                    pa.array(np.repeat(size, size), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))],
+                    names=["id", "component", "n", "shingle"])
+
+    return run
+
+
+def rare_shingles(members: DataFrame, texts: DataFrame, k: int, least_percent: int) -> DataFrame:
+    """(shingle, id, component): the shingles by which links across components are found.
+
+    ``members`` is (id, component).  A link shares at least ``least_percent``
+    of either set, so of a document's shingles, rarest first, one of the first
+    n - ceil(n * least_percent / 100) + 1 is shared.  Shingles that only occur
+    in the document's own component come first and find nothing; a document
+    with enough of them has no link and is left out, which may free others.
+    """
+    rows = stored(members.join(texts, "id").select("id", "component", "text").mapInArrow(
+        _exploded(k), "id bigint, component bigint, n bigint, shingle bigint"), "shingles")
+    needed = F.ceil(F.col("n") * least_percent / 100)
+    for _ in range(3):
+        shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("having"), F.min("component").alias("low"),
+                                             F.max("component").alias("high")).filter("low < high").select("shingle", "having")
+        useful = rows.drop("having", "usable").join(shared, "shingle")
+        enough = useful.groupBy("id").agg(F.count(F.lit(1)).alias("usable"), F.first("n").alias("n")).filter(
+            F.col("usable") >= needed).select("id", "usable")
+        rows = stored(useful.join(enough, "id").select("id", "component", "n", "shingle", "having", "usable"), "shingles")
+    order = F.row_number().over(Window.partitionBy("id").orderBy("having", "shingle"))  # one document's shingles
+    return stored(rows.withColumn("place", order).filter(F.col("place") <= F.col("usable") - needed + 1).select(
+        "shingle", "id", "component"), "prefixes")
+
+
 def near_copies(docs: DataFrame, k: int = 3, least_percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -183,16 +228,24 @@ def near_copies(docs: DataFrame, k: int = 3, least_percent: int = 85) -> DataFra
         *ordered("id", "to")).distinct(), "stars")
     links = confirmed(stars)
     labels = stored(components(links), "labels")
-    placed = met.select("key", "id").join(labels, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_members = stored(placed.join(mixed.select("key"), "key"), "open")
-    other = open_members.select("key", F.col("id").alias("to"), F.col("component").alias("its"))
-    crossing = stored(open_members.join(other, "key").filter("component < its").select(*ordered("id", "to")).distinct()
-                      .join(stars, ["a", "b"], "left_anti"), "crossing")
-    more = confirmed(crossing)
-    if not more.isEmpty():
-        labels = stored(components(links.union(more)), "labels")
+    for last in (False, True):
+        placed = met.select("key", "id").join(labels, "id", "left").select(
+            "key", "id", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
+            "low < high")
+        open_members = stored(placed.join(mixed.select("key"), "key").select("id", "component").distinct(), "open")
+        prefixes = rare_shingles(open_members, texts, k, least_percent)
+        if last:
+            other = prefixes.select("shingle", F.col("id").alias("to"), F.col("component").alias("its"))
+            pairs = prefixes.join(other, "shingle").filter("component < its").select(*ordered("id", "to"))
+        else:
+            hubs = stored(prefixes.groupBy("shingle").agg(F.min("id").alias("to"), F.min("component").alias("low"),
+                                                          F.max("component").alias("high")).filter("low < high"), "hubs")
+            pairs = prefixes.join(hubs.select("shingle", "to"), "shingle").filter("id <> to").select(*ordered("id", "to"))
+        more = confirmed(stored(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "crossing"))
+        if not more.isEmpty():
+            links = stored(links.union(more), "links")
+            labels = stored(components(links), "labels")
     named = stored(sets.join(labels, "id", "left").filter("component is not null or copies > 1").select(
         "digest", F.coalesce("component", "id").alias("component")), "named")
     standing = usable.select("doc_id", "digest").join(named, "digest").select("doc_id", "component")
