@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corrob.llm import decontaminate, mixing, nearcopies, quality, token_shards, toxicity
+from corrob.llm import decontaminate, mixing, nearcopies, quality, repeats, token_shards, toxicity
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 @query("op4_toxicity_lexicon")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_induced_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
