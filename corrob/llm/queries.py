@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corrob.llm import decontaminate, mixing, nearcopies, quality, repeats, token_shards, toxicity
+from corrob.llm import decontaminate, disclosure, mixing, nearcopies, quality, repeats, token_shards, toxicity
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_induced_repeats")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op6_disclosure")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.listed(table(spark, sf_dir, "documents"))
