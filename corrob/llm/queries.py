@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corrob.llm import decontaminate, disclosure, mixing, nearcopies, quality, repeats, token_shards, toxicity
+from corrob.llm import (
+    decontaminate, disclosure, licenses, mixing, nearcopies, quality, repeats, token_shards, toxicity, url_templates)
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -65,3 +66,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_disclosure")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.listed(table(spark, sf_dir, "documents"))
+
+
+@query("op7_path_templates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op2_license_sentences")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
