@@ -176,7 +176,7 @@ def rare_shingles(members: DataFrame, texts: DataFrame, k: int, least_percent: i
     rows = stored(members.join(texts, "id").select("id", "component", "text").mapInArrow(
         _exploded(k), "id bigint, component bigint, n bigint, shingle bigint"), "shingles")
     needed = F.ceil(F.col("n") * least_percent / 100)
-    for _ in range(3):
+    for _ in range(2):
         shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("having"), F.min("component").alias("low"),
                                              F.max("component").alias("high")).filter("low < high").select("shingle", "having")
         useful = rows.drop("having", "usable").join(shared, "shingle")
@@ -214,9 +214,8 @@ def near_copies(docs: DataFrame, k: int = 3, least_percent: int = 85) -> DataFra
         """The linked ones of distinct pairs (a, b), as a written table."""
         side = [sets.select(F.col("id").alias(x), F.col("registers").alias(f"registers_{x}"), F.col("n").alias(f"n_{x}"))
                 for x in "ab"]
-        hopeful = stored(pairs.join(side[0], "a").join(side[1], "b").select(
-            "a", "b", "registers_a", "registers_b", "n_a", "n_b").mapInArrow(
-            _plausible(least_percent), "a bigint, b bigint"), "pairs")
+        hopeful = pairs.join(side[0], "a").join(side[1], "b").select(
+            "a", "b", "registers_a", "registers_b", "n_a", "n_b").mapInArrow(_plausible(least_percent), "a bigint, b bigint")
         text = [texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
         return stored(hopeful.join(text[0], "a").join(text[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(
             _linked(k, least_percent), "a bigint, b bigint"), "links")
@@ -234,6 +233,8 @@ def near_copies(docs: DataFrame, k: int = 3, least_percent: int = 85) -> DataFra
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
             "low < high")
         open_members = stored(placed.join(mixed.select("key"), "key").select("id", "component").distinct(), "open")
+        if open_members.isEmpty():
+            break
         prefixes = rare_shingles(open_members, texts, k, least_percent)
         if last:
             other = prefixes.select("shingle", F.col("id").alias("to"), F.col("component").alias("its"))
