@@ -39,7 +39,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrob.llm.common import stored
@@ -165,13 +165,14 @@ def _exploded(k: int):
 
 
 def rare_shingles(members: DataFrame, texts: DataFrame, k: int, least_percent: int) -> DataFrame:
-    """(shingle, id, component): the shingles by which links across components are found.
+    """(shingle, id, component, n, place): the shingles by which links across components are found.
 
     ``members`` is (id, component).  A link shares at least ``least_percent``
     of either set, so of a document's shingles, rarest first, one of the first
     n - ceil(n * least_percent / 100) + 1 is shared.  Shingles that only occur
     in the document's own component come first and find nothing; a document
     with enough of them has no link and is left out, which may free others.
+    ``place`` counts a document's shingles in that order, from 1.
     """
     rows = stored(members.join(texts, "id").select("id", "component", "text").mapInArrow(
         _exploded(k), "id bigint, component bigint, n bigint, shingle bigint"), "shingles")
@@ -184,8 +185,18 @@ def rare_shingles(members: DataFrame, texts: DataFrame, k: int, least_percent: i
             F.col("usable") >= needed).select("id", "usable")
         rows = stored(useful.join(enough, "id").select("id", "component", "n", "shingle", "having", "usable"), "shingles")
     order = F.row_number().over(Window.partitionBy("id").orderBy("having", "shingle"))  # one document's shingles
-    return stored(rows.withColumn("place", order).filter(F.col("place") <= F.col("usable") - needed + 1).select(
-        "shingle", "id", "component"), "prefixes")
+    placed = rows.withColumn("place", order + F.col("n") - F.col("usable"))
+    return stored(placed.filter(F.col("place") <= F.col("n") - needed + 1).select("shingle", "id", "component", "n", "place"), "prefixes")
+
+
+def in_both_prefixes(least_percent: int) -> Column:
+    """Whether a shared shingle is among those that this pair cannot do without.
+
+    Sets of n and m shingles are linked from least_percent * (n + m) / (100 +
+    least_percent) common ones on; for equal sizes that halves the prefix.
+    """
+    common = F.ceil(F.lit(least_percent) * (F.col("n") + F.col("its_n")) / F.lit(100 + least_percent))
+    return (F.col("place") <= F.col("n") - common + 1) & (F.col("its_place") <= F.col("its_n") - common + 1)
 
 
 def near_copies(docs: DataFrame, k: int = 3, least_percent: int = 85) -> DataFrame:
@@ -237,8 +248,10 @@ def near_copies(docs: DataFrame, k: int = 3, least_percent: int = 85) -> DataFra
             break
         prefixes = rare_shingles(open_members, texts, k, least_percent)
         if last:
-            other = prefixes.select("shingle", F.col("id").alias("to"), F.col("component").alias("its"))
-            pairs = prefixes.join(other, "shingle").filter("component < its").select(*ordered("id", "to"))
+            other = prefixes.select("shingle", F.col("id").alias("to"), F.col("component").alias("its"), F.col("n").alias("its_n"),
+                                    F.col("place").alias("its_place"))
+            pairs = prefixes.join(other, "shingle").filter(
+                (F.col("component") < F.col("its")) & in_both_prefixes(least_percent)).select(*ordered("id", "to"))
         else:
             hubs = stored(prefixes.groupBy("shingle").agg(F.min("id").alias("to"), F.min("component").alias("low"),
                                                           F.max("component").alias("high")).filter("low < high"), "hubs")
