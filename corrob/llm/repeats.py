@@ -93,7 +93,7 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Samples of a batch; of equal ones only the first keeps its tuple, the others are marked."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for low, _, data, offsets in text_slices(batch.column(1)):
+        for low, _, data, offsets in text_slices(batch.column(1), 2 << 20):
             row, gram, context, begin, end, place = samples(data, offsets)
             if not len(row):
                 continue
