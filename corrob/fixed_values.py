@@ -42,18 +42,18 @@ EVENT_TYPE_KEYWORDS = [
 
 # --- fixed values: words that name a measured quantity ---
 MEASURE_WORDS = {
-    "deaths": ["kill", "kills", "killed", "killing", "dead", "death", "deaths", "died",
-               "fatalities", "fatal", "toll"],
-    "injured": ["injured", "injury", "injuries", "wounded", "hurt"],
-    "missing": ["missing"],
-    "evacuated": ["evacuated", "evacuations"],
-    "displaced": ["displaced", "homeless"],
-    "magnitude": ["magnitude", "quake"],
-    "arrested": ["arrested", "detained"],
-    "infected": ["infected"],
-    "cases": ["cases"],
-    "rescued": ["rescued"],
-    "affected": ["affected"],
+    "kill": "deaths", "kills": "deaths", "killed": "deaths", "killing": "deaths", "dead": "deaths", "death": "deaths",
+    "deaths": "deaths", "died": "deaths", "fatalities": "deaths", "fatal": "deaths", "toll": "deaths",
+    "injured": "injured", "injury": "injured", "injuries": "injured", "wounded": "injured", "hurt": "injured",
+    "missing": "missing",
+    "evacuated": "evacuated", "evacuations": "evacuated",
+    "displaced": "displaced", "homeless": "displaced",
+    "magnitude": "magnitude", "quake": "magnitude",
+    "arrested": "arrested", "detained": "arrested",
+    "infected": "infected",
+    "cases": "cases",
+    "rescued": "rescued",
+    "affected": "affected",
 }
 
 # --- fixed values: cardinal number words ---

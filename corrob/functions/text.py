@@ -203,7 +203,16 @@ def proper_nouns(c: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def display_number(c: Column) -> Column:
     """A whole number prints without decimals."""
-    whole = c == F.floor(c)
-    return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    whole = c % 1 == 0
+    # doubles of 1e15 and more in two exact halves, so all digits of the stored value are printed
+    rest = c % 1e15
+    large = F.concat(((c - rest) / 1e15).cast("bigint").cast("string"), F.lpad(rest.cast("bigint").cast("string"), 15, "0"))
+    plain = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"0+$", "")
+    return F.when(whole & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).when(whole, large).otherwise(plain)

@@ -17,7 +17,7 @@ join on rare tokens of sparse vectors rather than from comparing everything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrob import fixed_values as V
@@ -57,9 +57,8 @@ def arrival_wave(hours: float) -> Column:
 
 
 def _texts(reports: DataFrame, embedder) -> DataFrame:
-    """One row per (wave, text) with its signals and the span of its reports."""
-    occurred = F.coalesce("published_at", "retrieved_at")
-    merged = reports.withColumn("occurred_at", occurred).groupBy("wave", "text_id", "title", "description").agg(
+    """One row per (wave, text, day of occurrence) with its signals and the span of its reports."""
+    merged = reports.groupBy("wave", "day", "text_id", "title", "description").agg(
         F.min(F.struct("retrieved_at", "report_id", "occurred_at")).alias("head"),
         F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"), F.count(F.lit(1)).alias("n"))
     facts = report_facts(F.col("title"), F.coalesce("description", F.lit("")))
@@ -68,7 +67,7 @@ def _texts(reports: DataFrame, embedder) -> DataFrame:
         return F.transform(F.filter("facts", lambda f: f["fact_type"] == kind), lambda f: F.lower(f[field]))
 
     return embedder(merged.withColumn("facts", facts)).select(
-        "wave", "text_id", "title", "vec", "head", "lo", "hi", "n",
+        "wave", "day", "text_id", "title", "vec", "head", "lo", "hi", "n",
         F.array_sort(F.array_distinct(of_kind("entity", "value_text"))).alias("entities"),
         F.array_sort(of_kind("number", "fact_key")).alias("numbers"),
         F.try_element_at(of_kind("event_type", "value_text"), F.lit(1)).alias("event_type"))
@@ -152,6 +151,20 @@ def _signatures(texts: DataFrame) -> DataFrame:
     return texts.withColumn("sig", sig)
 
 
+def _split_at_gaps(texts: DataFrame, window_hours: float = V.EVENT_WINDOW_HOURS) -> DataFrame:
+    """A signature that falls silent for longer than the window in its wave goes on as another one.
+
+    Silence is found on one row per day, whatever the number of reports.
+    """
+    days = texts.groupBy("wave", "sig", "day").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    along = Window.partitionBy("wave", "sig").orderBy("day")
+    silent = hours_between(F.col("lo"), F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))) > window_hours
+    pieces = days.withColumn("silent", F.coalesce(silent, F.lit(False)).cast("int")).select(
+        "wave", "sig", "day", F.sum("silent").over(along).alias("piece"))
+    named = F.when(F.col("piece") == 0, F.col("sig")).otherwise(F.md5(F.concat_ws("\u0001", "sig", F.col("piece").cast("string"))))
+    return texts.join(pieces, ["wave", "sig", "day"]).withColumn("sig", named).drop("piece")
+
+
 def _merge_signatures(texts: DataFrame) -> DataFrame:
     return texts.groupBy("sig", "vec", "entities", "numbers", "event_type").agg(
         F.min(F.struct("head", "title")).alias("h"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
@@ -182,9 +195,11 @@ def cluster_events(reports: DataFrame, wave: Column | None = None, events: DataF
     """
     spark = reports.sparkSession
     keyed = reports.withColumn("wave", arrival_wave(24) if wave is None else wave).withColumn(
+        "occurred_at", F.coalesce("published_at", "retrieved_at")).withColumn(
+        "day", F.floor(F.unix_micros(F.col("occurred_at").cast("timestamp")) / 86_400_000_000)).withColumn(
         "text_id", text_key(F.col("report_id"), F.col("title"), F.col("description")))
     path = working_table(spark, "signatures")
-    _signatures(_texts(keyed, embedder)).write.partitionBy("wave").parquet(path)
+    _split_at_gaps(_signatures(_texts(keyed, embedder))).write.partitionBy("wave").parquet(path)
     texts = spark.read.parquet(path)
     ranks = cut_lineage(bucket_ranks(texts.select("sig", "vec").dropDuplicates(["sig"])))
     state = empty_events(spark, reports) if events is None else events.select(*EVENT_COLUMNS)
@@ -192,15 +207,15 @@ def cluster_events(reports: DataFrame, wave: Column | None = None, events: DataF
     for (number,) in texts.select("wave").distinct().orderBy("wave").toLocalIterator():
         members = texts.filter(F.col("wave") == number)
         assigned, state = cluster_wave(cut_lineage(_merge_signatures(members)), state, ranks)
-        members.select("text_id", "sig", "entities", "numbers", F.size("vec").alias("size")).join(assigned, "sig").select(
-            F.lit(number).alias("wave"), "text_id", "event_id", "score", "is_new",
+        members.select("text_id", "day", "sig", "entities", "numbers", F.size("vec").alias("size")).join(assigned, "sig").select(
+            F.lit(number).alias("wave"), "text_id", "day", "event_id", "score", "is_new",
             # copies of a founding report score as any equal text would
             (V.WEIGHT_SEMANTIC * F.when(F.col("size") > 0, 1.0).otherwise(0.0)
              + V.WEIGHT_ENTITY * F.when(F.size("entities") > 0, 1.0).otherwise(0.0)
              + V.WEIGHT_NUMBER * F.when(F.size("numbers") > 0, 1.0).otherwise(0.0)).alias("self_score"),
         ).write.mode("append").parquet(labels)
     lookup = spark.read.parquet(labels)
-    edges = salted_lookup(keyed.select("report_id", "wave", "text_id"), lookup, ["wave", "text_id"], ["report_id"], how="inner")
+    edges = salted_lookup(keyed.select("report_id", "wave", "text_id", "day"), lookup, ["wave", "text_id", "day"], ["report_id"], how="inner")
     primary = F.col("event_id") == F.col("report_id")
     score = F.when(primary, 1.0).when(F.col("is_new"), F.col("self_score")).otherwise(F.col("score"))
     return state, edges.select("event_id", "report_id", F.round(score, 4).alias("similarity_score"),

@@ -257,13 +257,14 @@ def unique_slugs(articles: DataFrame, bucket: Column) -> DataFrame:
     """Add ``slug``: the headline's slug, then ``-2``, ``-3`` ... in order of ``article_id``.
 
     A suffixed name that some headline spells out itself is skipped, so slugs
-    are unique whatever the headlines.  ``bucket`` grows with ``article_id``
+    are unique whatever the headlines (longer numbers than 18 digits are out of
+    any count's reach).  ``bucket`` grows with ``article_id``
     and splits the numbering of a very common headline.
     """
     based = articles.withColumn("base", X.slugify(F.col("headline")))
     numbered = row_number_in_buckets(based, "base", ["article_id"], bucket, "copy")
     bases = based.select("base").distinct()
-    spelled = bases.filter(F.col("base").rlike("^.+-([2-9]|[1-9][0-9]{1,8})$")).select(
+    spelled = bases.filter(F.col("base").rlike("^.+-([2-9]|[1-9][0-9]{1,17})$")).select(
         F.regexp_extract("base", "^(.+)-([0-9]+)$", 1).alias("base"),
         F.regexp_extract("base", "^(.+)-([0-9]+)$", 2).cast("bigint").alias("taken"))
     taken = spelled.groupBy("base").agg(F.array_sort(F.collect_list("taken")).alias("taken"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corrob import fixed_values as V
 from corrob.functions.scores import is_public, rank_score
-from corrob.functions.text import json_list
+from corrob.functions.text import bind, json_list
 from corrob.operators.similarity import salted_lookup
 
 
@@ -68,16 +68,23 @@ def list_sources(sources: DataFrame, enabled: bool | None = None, international:
     return sources.orderBy(F.desc("priority"), "name")
 
 
+def _at_most(n: int, limit: int) -> int:
+    """The size of a listing; a request outside 1 to ``limit`` is refused, not cut."""
+    if not 1 <= n <= limit:
+        raise ValueError(f"a listing has 1 to {limit} rows, not {n}")
+    return n
+
+
 def list_jobs(jobs: DataFrame, job_type: str | None = None, status: str | None = None, n: int = 100) -> DataFrame:
     for column, wanted in (("job_type", job_type), ("status", status)):
         if wanted:
             jobs = jobs.filter(F.col(column) == wanted)
-    return jobs.orderBy(F.desc("updated_at"), "job_id").limit(max(1, min(n, 500)))
+    return jobs.orderBy(F.desc("created_at"), "job_id").limit(_at_most(n, 500))
 
 
 def rejected_queue(events: DataFrame, n: int = 50) -> DataFrame:
     return events.filter(F.col("status") == "EDITORIAL_REVIEW").orderBy(
-        F.desc("importance_score"), "event_id").limit(max(1, min(n, 200)))
+        F.desc("importance_score"), "event_id").limit(_at_most(n, 200))
 
 
 def lookup(df: DataFrame, **keys) -> DataFrame:
@@ -95,7 +102,7 @@ def event_review(events: DataFrame, facts: DataFrame, conflicts: DataFrame, stat
     what makes broadcasting it safe.
     """
     picked = (events.filter(F.col("status") == status) if status else events).orderBy(
-        F.desc("last_updated_at"), "event_id").limit(max(1, min(n, 500)))
+        F.desc("last_updated_at"), "event_id").limit(_at_most(n, 500))
     few = F.broadcast(picked.select("event_id"))
     nested_facts = facts.join(few, "event_id", "left_semi").groupBy("event_id").agg(
         F.array_sort(F.collect_list(F.struct("fact_type", "fact_key", "statement"))).alias("facts"))
@@ -146,22 +153,64 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(_IPV4), value)
 
 
+def _bits(hex_digits: Column, words: int) -> Column:
+    """Hexadecimal text of ``words`` groups of eight digits as ones and zeros."""
+    return F.concat(*[F.lpad(F.conv(F.substring(hex_digits, 8 * i + 1, 8), 16, 2), 32, "0") for i in range(words)])
+
+
+def address_bits(ip: Column) -> Column:
+    """An address as text of 32 (IPv4) or 128 (IPv6) bits; NULL when malformed.
+
+    An IPv6 address may be shortened once by ``::`` and end in dotted form.
+    """
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+
+    def spread(plain: Column) -> Column:
+        """The eight groups; fewer or more when malformed."""
+        halves = F.split(plain, "::", -1)
+        return bind(halves, lambda h: bind(groups(h[0]), lambda left: bind(
+            F.when(F.size(h) == 2, groups(F.get(h, F.lit(1)))).otherwise(F.array().cast("array<string>")), lambda right: F.when(
+                F.size(h) > 2, F.array().cast("array<string>")).when(F.size(h) == 1, left).otherwise(F.concat(
+                    left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(1))), right)))))
+
+    def six(plain: Column) -> Column:
+        return bind(spread(plain), lambda g: F.when(
+            (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")),
+            _bits(F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""), 4)))
+
+    def hexed(plain: Column) -> Column:
+        """A dotted end as two groups."""
+        dotted = bind(ipv4_number(F.regexp_extract(plain, r"([0-9.]+)$", 1)), lambda n: F.lpad(F.lower(F.hex(n)), 8, "0"))
+        return F.when(plain.contains("."), bind(dotted, lambda d: F.concat(
+            F.regexp_extract(plain, r"^(.*:)[0-9.]+$", 1), F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))).otherwise(plain)
+
+    def four(plain: Column) -> Column:
+        return bind(ipv4_number(plain), lambda n: F.lpad(F.conv(n.cast("string"), 10, 2), 32, "0"))
+
+    return bind(F.lower(ip), lambda p: F.when(p.contains(":"), bind(hexed(p), six)).otherwise(four(p)))
+
+
 def geo_enrich(visits: DataFrame, cidrs: DataFrame, row_key: str) -> DataFrame:
-    """Add ``country_code`` and ``resolved`` to rows with an ``ip``.
+    """Add ``country_code`` and ``resolved`` to rows with an ``ip``, IPv4 or IPv6.
 
     ``cidrs`` is (ord, cidr, code); of the networks that hold an address the
-    first listed wins.  Networks are dealt to the /16 blocks they cover and an
-    address looks only into its own block, an equality join; every distinct
-    address is looked up once, so a busy address is no hot key.
+    first listed wins.  A distinct address is looked up once under each prefix
+    length that networks of its family have (129 at most), an equality join on
+    the prefix's bits, so a busy address is no hot key and a wide network no
+    list of blocks.
     """
-    base = ipv4_number(F.substring_index("cidr", "/", 1))
-    width = F.pow(F.lit(2.0), 32 - F.substring_index("cidr", "/", -1).cast("int")).cast("bigint")
-    low = base - F.pmod(base, width)
-    networks = cidrs.select("ord", "code", low.alias("lo"), (low + width - 1).alias("hi")).withColumn(
-        "block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-    addresses = visits.select("ip").distinct().withColumn("number", ipv4_number(F.col("ip"))).filter(
-        F.col("number").isNotNull()).withColumn("block", F.shiftright("number", 16))
-    held = addresses.join(networks, "block").filter(F.col("number").between(F.col("lo"), F.col("hi")))
+    length = F.substring_index("cidr", "/", -1).cast("int")
+    base = address_bits(F.substring_index("cidr", "/", 1))
+    networks = cidrs.select("ord", "code", F.length(base).alias("family"), length.alias("length"), base.alias("bits")).filter(
+        F.col("length").between(0, F.col("family"))).withColumn("prefix", F.substring(F.col("bits"), F.lit(1), F.col("length"))).drop("bits")
+    lengths = networks.groupBy("family").agg(F.collect_set("length").alias("lengths"))
+    addresses = visits.select("ip").distinct().withColumn("bits", address_bits(F.col("ip"))).filter(
+        F.col("bits").isNotNull()).withColumn("family", F.length("bits"))
+    tried = addresses.join(lengths, "family").select("ip", "bits", "family", F.explode("lengths").alias("length")).withColumn(
+        "prefix", F.substring(F.col("bits"), F.lit(1), F.col("length")))
+    held = tried.join(networks, ["family", "length", "prefix"])
     known = held.groupBy("ip").agg(F.min(F.struct("ord", "code")).alias("m")).select(
         "ip", F.upper(F.nullif(F.col("m.code"), F.lit(""))).alias("found"))
     return salted_lookup(visits, known, ["ip"], [row_key]).withColumn(

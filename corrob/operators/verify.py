@@ -115,8 +115,12 @@ def numeric_conflicts(facts: DataFrame, tolerance: float = V.CONFLICT_TOLERANCE)
 
 
 def merge_conflicts(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
-    """Conflict life cycle by (event, claim text); ``measure`` tells reworded claims apart from settled ones."""
-    o = old.select("event_id", "claim", "measure", "detected_at", "resolved_at", F.lit(True).alias("was"))
+    """Conflict life cycle by (event, claim text); ``measure`` tells reworded claims apart from settled ones.
+
+    A settled claim that is found again stays as it was, with its resolution.
+    """
+    reason = F.col("resolution") if "resolution" in old.columns else F.when(F.col("resolved_at").isNotNull(), "sources now agree")
+    o = old.select("event_id", "claim", "measure", "detected_at", "resolved_at", reason.alias("reason"), F.lit(True).alias("was"))
     n = new.select("event_id", "claim", F.col("measure").alias("new_measure"), F.lit(True).alias("now"))
     j = o.join(n, ["event_id", "claim"], "full_outer")
     settled = F.col("now").isNull()
@@ -125,7 +129,7 @@ def merge_conflicts(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
         F.when(settled | (F.col("was") & F.col("resolved_at").isNotNull()), "resolved").otherwise("unresolved").alias("status"),
         F.coalesce("detected_at", as_of).alias("detected_at"),
         F.when(settled, F.coalesce("resolved_at", as_of)).otherwise(F.col("resolved_at")).alias("resolved_at"),
-        F.when(settled, "sources now agree").alias("resolution"))
+        F.coalesce("reason", F.when(settled, "sources now agree")).alias("resolution"))
 
 
 def supersede(facts: DataFrame) -> DataFrame:

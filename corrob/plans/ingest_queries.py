@@ -79,15 +79,24 @@ def page_titles(spark, sf_dir):
 
 @query("entry_dates", f"""
 SELECT event_id, strftime(ts, '{DATE}') AS from_rfc, strftime(ts, '{DATE}') AS from_iso,
-  strftime(ts, '{DATE}') AS from_fallback, CAST(NULL AS VARCHAR) AS from_junk FROM events""")
+  strftime(ts, '{DATE}') AS from_fallback, CAST(NULL AS VARCHAR) AS from_junk, CAST(NULL AS VARCHAR) AS from_clock,
+  strftime(ts + INTERVAL 5 HOUR, '{DATE}') AS from_est, strftime(ts + INTERVAL 7 HOUR, '{DATE}') AS from_pdt,
+  strftime(date_trunc('day', ts), '{DATE}') AS from_month_first, strftime(ts, '{DATE}') AS from_short_year,
+  strftime(date_trunc('minute', ts), '{DATE}') AS from_slashes, strftime(date_trunc('minute', ts), '{DATE}') AS from_no_seconds,
+  strftime(ts - INTERVAL 330 MINUTE, '{DATE}') AS from_offset FROM events""")
 def entry_dates(spark, sf_dir):
-    """Every event time written as RFC 822 and ISO text and parsed back."""
+    """Every event time written in the spellings of feeds and parsed back."""
     rfc = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     junk = F.lit("not a date")
+    spelled = {"est": "EEE, dd MMM yyyy HH:mm:ss 'EST'", "pdt": "dd MMM yyyy HH:mm:ss 'PDT'", "month_first": "MMMM d, yyyy",
+               "short_year": "EEE, dd MMM yy HH:mm:ss 'GMT'", "slashes": "yyyy/MM/dd HH:mm", "no_seconds": "d MMMM yyyy HH:mm",
+               "offset": "EEE, dd MMM yyyy HH:mm:ss '+0530'"}
     return table(spark, sf_dir, "events").select(
         "event_id", stamp(parse_entry_ts(rfc)).alias("from_rfc"), stamp(parse_entry_ts(iso)).alias("from_iso"),
-        stamp(parse_entry_ts(junk, rfc)).alias("from_fallback"), stamp(parse_entry_ts(junk)).alias("from_junk"))
+        stamp(parse_entry_ts(junk, rfc)).alias("from_fallback"), stamp(parse_entry_ts(junk)).alias("from_junk"),
+        stamp(parse_entry_ts(F.date_format("ts", "HH:mm"))).alias("from_clock"),
+        *[stamp(parse_entry_ts(F.date_format("ts", f))).alias(f"from_{name}") for name, f in spelled.items()])
 
 
 _REASON = f"""CASE WHEN trim(title) = '' THEN 'empty title' WHEN trim(link) = '' THEN 'empty link'

@@ -319,14 +319,18 @@ def source_catalogue(spark, sf_dir):
 
 @query("merge_upsert", """
 SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT'
-UNION ALL SELECT o_orderkey, 'X', 0 FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Y' ELSE 'X' END, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END
+  FROM orders WHERE o_orderpriority = '1-URGENT'
 UNION ALL SELECT -1 - o_orderkey, 'N', 1 FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def merge_upsert(spark, sf_dir):
     target = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     urgent = target.filter(F.col("o_orderpriority") == "1-URGENT")
     updates = urgent.withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(0.0)}).unionByName(
         urgent.withColumns({"o_orderkey": -1 - F.col("o_orderkey"), "o_orderstatus": F.lit("N"), "o_totalprice": F.lit(1.0)}))
-    return C.merge_upsert(target, updates, ["o_orderkey"]).drop("o_orderpriority")
+    # a third of the keys is updated twice
+    again = urgent.filter("o_orderkey % 3 = 0").withColumns({"o_orderstatus": F.lit("Y"), "o_totalprice": F.lit(2.0)})
+    numbered = updates.withColumn("sent", F.lit(1)).unionByName(again.withColumn("sent", F.lit(2)))
+    return C.merge_upsert(target, numbered, ["o_orderkey"], ["sent"]).drop("o_orderpriority")
 
 
 @query("append_new", """

@@ -85,7 +85,7 @@ def enabled_local_sources(spark, sf_dir):
 
 
 @query("job_listing", with_views("jobs") + """
-SELECT job_id, job_type, attempts FROM jobs WHERE status = 'PENDING' AND job_type = '2-HIGH' ORDER BY updated_at DESC, job_id LIMIT 500""")
+SELECT job_id, job_type, attempts FROM jobs WHERE status = 'PENDING' AND job_type = '2-HIGH' ORDER BY created_at DESC, job_id LIMIT 500""")
 def job_listing(spark, sf_dir):
     return O.list_jobs(views.jobs(spark, sf_dir), "2-HIGH", "PENDING", 500).select("job_id", "job_type", "attempts")
 
@@ -160,15 +160,17 @@ def localized_countries(spark, sf_dir):
 
 @query("geo_enrich", """
 WITH v AS (SELECT event_id, user_id % 40 AS a, event_id % 7 AS b, event_id % 11 AS c FROM events),
-ips AS (SELECT event_id, CASE WHEN c = 0 THEN 'not-an-ip' WHEN c = 1 THEN CAST(a AS VARCHAR) || '.1.1.256' WHEN c <> 2 THEN 'ok' END AS ip,
-  a * 16777216 + b * 65536 + 257 AS num FROM v),
+ips AS (SELECT event_id, CASE WHEN c = 0 THEN 'not-an-ip' WHEN c = 1 THEN CAST(a AS VARCHAR) || '.1.1.256' WHEN c = 3 THEN 'six' WHEN c <> 2 THEN 'ok' END AS ip,
+  a * 16777216 + b * 65536 + 257 AS num, a, b FROM v),
+six AS (SELECT event_id, upper('s' || CAST(n_nationkey AS VARCHAR)) AS code FROM ips JOIN nation ON ip = 'six' AND n_nationkey = a AND b % 2 = n_nationkey % 2),
 nets AS (SELECT n_nationkey AS ord, n_nationkey * 16777216 AS lo, n_nationkey * 16777216 + 16777215 AS hi, 'n' || CAST(n_nationkey AS VARCHAR) AS code FROM nation WHERE n_nationkey % 2 = 0
   UNION ALL SELECT n_nationkey, n_nationkey * 16777216 + 131072, n_nationkey * 16777216 + 196607, 'm' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey % 2 = 1
   UNION ALL SELECT 1000, 0, 536870911, '' || 'zz' ),
-m AS (SELECT event_id, arg_min(upper(code), ord) AS code FROM ips JOIN nets ON ip = 'ok' AND num BETWEEN lo AND hi GROUP BY event_id)
+m AS (SELECT event_id, arg_min(upper(code), ord) AS code FROM ips JOIN nets ON ip = 'ok' AND num BETWEEN lo AND hi GROUP BY event_id
+  UNION ALL SELECT event_id, code FROM six)
 SELECT event_id, coalesce(code, 'XX') AS country_code, code IS NOT NULL AS resolved FROM ips LEFT JOIN m USING (event_id)""")
 def geo_enrich(spark, sf_dir):
-    """Visits from made addresses; /8, /16 and one overlapping /3 network."""
+    """Visits from made addresses; IPv4 networks /8, /16 and one overlapping /3, and IPv6 networks /33."""
     n = F.col("n_nationkey")
     even = n % 2 == 0
     nets = table(spark, sf_dir, "nation").select(
@@ -176,8 +178,13 @@ def geo_enrich(spark, sf_dir):
         F.concat(n.cast("string"), F.when(even, ".0.0.0/8").otherwise(".2.0.0/16")).alias("cidr"),
         F.concat(F.when(even, "n").otherwise("m"), n.cast("string")).alias("code"))
     wide = table(spark, sf_dir, "region").agg(F.lit(1000).alias("ord"), F.lit("0.0.0.0/3").alias("cidr"), F.lit("zz").alias("code"))
+    # 2001:<nation>::/33 or 2001:<nation>:8000::/33; written in short and in long form
+    six = table(spark, sf_dir, "nation").select(
+        (2000 + n).alias("ord"), F.concat(F.lit("2001:"), F.hex(n), F.when(even, "::/33").otherwise(":8000::/33")).alias("cidr"),
+        F.concat(F.lit("s"), n.cast("string")).alias("code"))
     a, b, c = F.col("user_id") % 40, F.col("event_id") % 7, F.col("event_id") % 11
     ip = (F.when(c == 0, "not-an-ip").when(c == 1, F.concat(a.cast("string"), F.lit(".1.1.256")))
+          .when(c == 3, F.concat(F.lit("2001:"), F.hex(a), F.when(b % 2 == 0, "::1").otherwise(":8000:0:0:0:1.2.3.4")))
           .when(c != 2, F.concat_ws(".", a.cast("string"), b.cast("string"), F.lit("1.1"))))
     visits = table(spark, sf_dir, "events").select("event_id", ip.alias("ip"))
-    return O.geo_enrich(visits, nets.unionByName(wide), "event_id").select("event_id", "country_code", "resolved")
+    return O.geo_enrich(visits, nets.unionByName(wide).unionByName(six), "event_id").select("event_id", "country_code", "resolved")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corrob.plans import views
 from corrob.plans.ingest_queries import DATE, _CLASSIFIED, stamp
-from corrob.plans.ops_queries import HEALTH_SQL, requests
+from corrob.plans.ops_queries import HEALTH_SQL
 from corrob.plans.registry import query
 from corrob.plans.views import table, with_views
 from corrob.session import working_table
@@ -106,18 +106,6 @@ def quiet_spells(spark, sf_dir):
         "event_id", stamp("first").alias("first"), stamp("last").alias("last"), "updates", stamp("archived_at").alias("archived_at"))
 
 
-@query("sliding_limiter")
-def sliding_limiter(spark, sf_dir):
-    return O.admit_sliding_batch(requests(spark, sf_dir).select("request_id", "client", "at"), 2).select("request_id", "admitted")
-
-
-@query("stream_sliding_limiter")
-def stream_sliding_limiter(spark, sf_dir):
-    log = landed(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"), (F.col("user_id") % 5).alias("client"), F.col("ts").cast("timestamp").alias("at"))
-    return O.run_to_table(O.admit_sliding(log, 2), "append", "limiter").select("request_id", "admitted")
-
-
 @query("stream_clusters", with_views("reports") + "SELECT report_id FROM reports")
 def stream_clusters(spark, sf_dir):
     """Reports clustered as a stream; each ends up in exactly one event."""

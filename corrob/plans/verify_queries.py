@@ -65,16 +65,17 @@ def extracted_facts(spark, sf_dir):
 
 @query("extracted_facts_arrow", FACTS_SQL + "SELECT report_id, fact_key, statement, value_numeric FROM mentions")
 def extracted_facts_arrow(spark, sf_dir):
-    return FX.explode_facts(views.reports(spark, sf_dir).select("report_id", "title", "description"), arrow=True).select(
-        "report_id", "fact_key", "statement", "value_numeric")
+    """The facts through the view for SQL users."""
+    views.reports(spark, sf_dir).select("report_id", "title", "description").createOrReplaceTempView("corrob_fact_reports")
+    FX.facts_view(spark, "corrob_fact_reports", "corrob_facts")
+    return spark.sql("SELECT report_id, fact_key, statement, value_numeric FROM corrob_facts")
 
 
 @query("extracted_facts_table_function", FACTS_SQL + "SELECT report_id, fact_key, statement FROM mentions")
 def extracted_facts_table_function(spark, sf_dir):
-    FX.register_sql(spark)
     views.reports(spark, sf_dir).createOrReplaceTempView("corrob_reports")
-    return spark.sql("SELECT report_id, f.fact_key, f.statement FROM corrob_reports, "
-                     "LATERAL explode_facts(title, description) f")
+    FX.facts_view(spark, "corrob_reports", "corrob_report_facts")
+    return spark.sql("SELECT report_id, fact_key, statement FROM corrob_report_facts")
 
 
 _TYPE_SQL = "CASE " + " ".join(

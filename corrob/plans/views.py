@@ -148,7 +148,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("job_id"),
         F.when(status == "F", "SUCCEEDED").when(status == "O", "PENDING").otherwise("DEAD").alias("status"),
         F.col("o_orderpriority").alias("job_type"), (F.col("o_orderkey") % 6).cast("int").alias("attempts"),
-        F.col("o_orderdate").alias("updated_at"))
+        F.col("o_orderdate").alias("updated_at"),
+        (F.col("o_orderdate") - F.make_dt_interval((F.col("o_orderkey") % 9).cast("int"))).alias("created_at"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +264,8 @@ SQL = {
     CASE WHEN event_type = 'error' THEN 'timeout ' || props END AS error FROM events)""",
     "jobs": """jobs AS (
   SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PENDING' ELSE 'DEAD' END AS status,
-    o_orderpriority AS job_type, CAST(o_orderkey % 6 AS INT) AS attempts, o_orderdate AS updated_at FROM orders)""",
+    o_orderpriority AS job_type, CAST(o_orderkey % 6 AS INT) AS attempts, o_orderdate AS updated_at,
+    o_orderdate - to_days(CAST(o_orderkey % 9 AS INT)) AS created_at FROM orders)""",
     "as_of_orders": "clock AS (SELECT max(o_orderdate) + INTERVAL 1 DAY AS as_of FROM orders)",
     "entries": f"""entries AS (
   SELECT *, entry_id AS ord FROM (

@@ -97,9 +97,18 @@ class Tables:
         return self._spark.read.schema(TABLE_SCHEMAS[name]).parquet(os.path.join(self._path, name))
 
 
-def merge_upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` with the rows of ``updates`` inserted, or replacing those of equal keys."""
-    return target.join(updates.select(keys), keys, "left_anti").unionByName(updates)
+def merge_upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``target`` with the rows of ``updates`` inserted, or replacing those of equal keys.
+
+    Of several updates of a key the last by ``order`` counts (columns of
+    ``updates``; without them, the order in which the rows come).
+    """
+    rank = F.struct(*order) if order else F.monotonically_increasing_id()
+    numbered = updates.withColumn("_rank", rank)
+    # a key per row is the usual case, and the maximum is combined on the map side
+    last = numbered.groupBy(*keys).agg(F.max_by(F.struct(*updates.columns), "_rank").alias("_row")).select("_row.*")
+    last = last.select(*[c for c in target.columns if c in last.columns])
+    return target.join(last.select(keys), keys, "left_anti").unionByName(last)
 
 
 def append_new(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:

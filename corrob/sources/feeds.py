@@ -8,22 +8,50 @@ from pyspark.sql import types as T
 
 from corrob.functions.text import canonicalize_url, strip, strip_html
 
-#: Date spellings feeds use, tried in order.  A text without a zone is UTC.
-TIME_FORMATS = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z",
-                "d MMM yyyy HH:mm:ss z", "EEE, d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss"]
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+#: Zone names of RFC 822 and their offsets.  Other names count as UTC.
+ZONES = {"gmt": "+00:00", "utc": "+00:00", "ut": "+00:00", "z": "+00:00", "est": "-05:00", "edt": "-04:00", "cst": "-06:00",
+         "cdt": "-05:00", "mst": "-07:00", "mdt": "-06:00", "pst": "-08:00", "pdt": "-07:00"}
+_CLOCK = r"(?:[T,\s]+(?:at\s+)?(\d{1,2}:\d{2})(:\d{2})?(\.\d{1,6})?\d*)?\s*([AaPp][Mm])?\s*([+-]\d{2}:?\d{2}|[A-Za-z]{1,5})?$"
+#: Date spellings: pattern of the date part, and the groups of year, month and day in it.
+_SPELLINGS = [(r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
+              (r"^(\d{1,2})[-\s]+([A-Za-z]{3})[a-z]*\.?[-,\s]+(\d{4}|\d{2})(?!\d)", (3, 2, 1)),
+              (r"^([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,\s*|\s+)(\d{4})", (3, 1, 2))]
+
+
+def _spelled(text: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, pattern + _CLOCK, i)
+
+    year, month, day = (part(g) for g in groups)
+    clock, seconds, fraction, half, zone = (part(i) for i in range(4, 9))
+    full_year = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(year < "70", "20").otherwise("19"), year))
+    known = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(month)).cast("string")
+    number = F.when(month.rlike("^[0-9]"), month).otherwise(known)
+    hour = F.substring_index(clock, ":", 1).try_cast("int")
+    shifted = F.when(F.lower(half) == "pm", hour % 12 + 12).when(F.lower(half) == "am", hour % 12).otherwise(hour)
+    time = F.when(clock == "", "00:00:00").otherwise(F.concat(
+        F.lpad(shifted.cast("string"), 2, "0"), F.lit(":"), F.substring_index(clock, ":", -1),
+        F.when(seconds == "", ":00").otherwise(seconds), fraction))
+    names = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    offset = F.when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2))).otherwise(
+        F.coalesce(F.try_element_at(names, F.lower(zone)), F.lit("+00:00")))
+    iso = F.concat(full_year, F.lit("-"), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), time, offset)
+    return F.when(text.rlike(pattern + _CLOCK), iso.try_cast("timestamp"))
 
 
 def parse_entry_ts(*texts: Column) -> Column:
-    """First parseable of several date texts, RFC 822 or ISO 8601; else NULL."""
+    """First parseable of several date texts; else NULL.
+
+    A date part is required, so nothing depends on the clock: ISO 8601 and
+    year-first dates, RFC 822 with or without seconds, month-first dates, zone
+    names and offsets, am and pm.  Two-digit years are 1970 to 2069; a text
+    without a zone is UTC; a leading weekday carries no information.
+    """
     tries = []
     for text in texts:
-        tidy = strip(text)
-        # the weekday name carries no information, and a wrong one must not matter
-        undated = F.regexp_replace(tidy, r"^[A-Za-z]+,\s*", "")
-        zoned = F.regexp_replace(undated, r"\b(GMT|UTC|UT|Z)$", "+0000")
-        tries += [F.try_to_timestamp(zoned, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss",
-                                                               "d MMM yyyy HH:mm Z", "d MMM yyyy")]
-        tries.append(tidy.try_cast("timestamp"))
+        undated = F.regexp_replace(strip(text), r"^[A-Za-z]+,\s*", "")
+        tries += [_spelled(undated, pattern, groups) for pattern, groups in _SPELLINGS]
     return F.coalesce(*tries)
 
 

@@ -7,9 +7,6 @@ the stored result.
 
 from __future__ import annotations
 
-import json
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +16,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from corrob import fixed_values as V
 from corrob.functions.scores import hours_between
 from corrob.operators.cluster import EVENT_COLUMNS, cluster_events, empty_events
-from corrob.operators.folds import fold_in_chunks
 from corrob.operators.ingest import classify_entries
 from corrob.session import working_table
 
@@ -166,56 +162,6 @@ def archive_quiet(updates: DataFrame, hours: int = V.STALE_EVENT_HOURS, delay: s
         "event_id", "first", "last", "updates", F.col("s.end").alias("archived_at"))
 
 
-# --- sliding-log limiter -----------------------------------------------------
-
-
-def _slide(times, log: deque, limit: int, window: int) -> list[bool]:
-    """Admit a hit when fewer than ``limit`` admitted ones lie within the window before it."""
-    flags = []
-    for t in times:
-        while log and t - log[0] > window:
-            log.popleft()
-        flags.append(len(log) < limit)
-        if flags[-1]:
-            log.append(t)
-    return flags
-
-
-def admit_sliding_batch(requests: DataFrame, limit: int = V.REQUESTS_PER_MINUTE, window_seconds: int = 60,
-                        chunk_seconds: int = 86400) -> DataFrame:
-    """Add ``admitted`` to requests (request_id, client, at); the log restarts after a window of silence,
-    so a client's days are judged side by side (see :func:`fold_in_chunks`)."""
-    window = window_seconds * 1_000_000
-    timed = requests.withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
-
-    def step(pdf: pd.DataFrame, state: str | None):
-        log = deque(json.loads(state)) if state else deque()
-        flags = _slide(pdf["us"].tolist(), log, limit, window)
-        # what the next chunk can still see
-        last = int(pdf["us"].iloc[-1])
-        return flags, json.dumps([t for t in log if last - t <= window])
-
-    chunk = F.floor(F.col("us") / (chunk_seconds * 1_000_000))
-    return fold_in_chunks(timed, "client", ["us", "request_id"], chunk, step, "admitted").drop("us")
-
-
-def admit_sliding(requests: DataFrame, limit: int = V.REQUESTS_PER_MINUTE, window_seconds: int = 60) -> DataFrame:
-    """Streaming form: state is each client's log of admitted hits, at most ``limit`` times."""
-    window = window_seconds * 1_000_000
-
-    def roll(key, frames, state):
-        log = deque(state.get[0]) if state.exists else deque()
-        hits = pd.concat(list(frames)).sort_values(["us", "request_id"])
-        flags = _slide(hits["us"].tolist(), log, limit, window)
-        state.update((list(log),))
-        yield pd.DataFrame({"request_id": hits["request_id"], "client": hits["client"], "admitted": flags})
-
-    timed = requests.withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
-    kinds = dict(requests.dtypes)
-    out = f"request_id {kinds['request_id']}, client {kinds['client']}, admitted boolean"
-    return timed.groupBy("client").applyInPandasWithState(roll, out, "log array<bigint>", "append", GroupStateTimeout.NoTimeout)
-
-
 # --- driving a stream to its end ---------------------------------------------
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrob import fixed_values as V
-from corrob.functions.facts import _rows_of, report_facts
+from corrob.functions.facts import report_facts
 from corrob.functions.scores import combined_similarity
 from corrob.functions.text import jaccard
 from corrob.functions.vectors import embed_tokens, hash_embedding, sparse_dot
@@ -20,6 +20,7 @@ from corrob.operators.verify import event_members, independent_chains, verify_ev
 T0 = dt.datetime(2025, 10, 6, 8, 0)
 SCHEMA = "report_id bigint, source_id bigint, title string, description string, published_at timestamp, retrieved_at timestamp"
 
+#: The headlines that decide what one event is.
 CORPUS = [
     ("Reuters", None, "Earthquake strikes Japan killing 12", "A magnitude 6.8 earthquake struck Japan."),
     ("Daily Wire Republisher", 1, "Earthquake strikes Japan killing 12 people", "A magnitude 6.8 earthquake struck Japan, killing 12 people."),
@@ -89,8 +90,7 @@ def brute_force(rows):
         return len(a & b) / len(a | b) if a and b else 0.0
 
     events, edges = [], {}
-    for rid, title, description, when, tokens in rows:
-        facts = _rows_of(title, description)
+    for rid, facts, title, when, tokens in rows:
         ents = {f["value_text"].lower() for f in facts if f["fact_type"] == "entity"}
         nums = {f["fact_key"] for f in facts if f["fact_type"] == "number"}
         kind = next((f["value_text"] for f in facts if f["fact_type"] == "event_type"), None)
@@ -131,12 +131,20 @@ def headlines(spark):
 
 def test_waves_of_one_equal_the_one_at_a_time_procedure(spark):
     reports = headlines(spark)
-    rows = [(r["report_id"], r["title"], r["description"], r["published_at"], r["tokens"])
-            for r in reports.withColumn("tokens", embed_tokens(F.col("title"))).orderBy("report_id").collect()]
+    rows = [(r["report_id"], r["facts"], r["title"], r["published_at"], r["tokens"]) for r in reports.withColumns({
+        "tokens": embed_tokens(F.col("title")), "facts": report_facts(F.col("title"), F.col("description"))}).orderBy("report_id").collect()]
     _, edges = cluster_events(reports, wave=F.col("report_id"))
     assert {r["report_id"]: r["event_id"] for r in edges.collect()} == brute_force(rows)
 
 
+@pytest.mark.parametrize("wave", [lambda: F.col("report_id"), lambda: arrival_wave(1), lambda: arrival_wave(24), lambda: F.lit(0)])
+def test_equal_headlines_far_apart_are_different_events_in_any_wave(spark, wave):
+    title = "Earthquake strikes Japan killing 12"
+    rows = [(i, 1, title, f"copy {i % 2}", T0 + dt.timedelta(hours=h), T0 + dt.timedelta(minutes=i)) for i, h in enumerate([0, 1, 400, 60, 401])]
+    _, edges = cluster_events(spark.createDataFrame(rows, SCHEMA), wave=wave())
+    assert {r["report_id"]: r["event_id"] for r in edges.collect()} == {0: 0, 1: 0, 3: 0, 2: 2, 4: 2}
+
+
 def test_wide_wave_keeps_every_report_once_whatever_the_row_order(spark):
     reports = headlines(spark)
     _, a = cluster_events(reports, wave=F.lit(0))

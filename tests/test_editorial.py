@@ -1,8 +1,6 @@
 """Draft validation goldens, and ordered folds against plain loops."""
 
-import datetime as dt
 import random
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +8,6 @@ from pyspark.sql import functions as F
 from corrob.functions.text import word_set
 from corrob.operators.editorial import (
     article_versions, compose_brief, evidence_numbers, evidence_text, ngram_overlap, unique_slugs, validate_drafts)
-from corrob.streaming.streams import admit_sliding_batch
 
 FACT = "struct<fact_type:string,fact_key:string,fact:string,sources:array<string>,independent_sources:bigint>"
 
@@ -99,23 +96,3 @@ def test_versions_equal_a_plain_loop(spark):
         got = {(r["article_id"], r["ord"]): r["version"] for r in article_versions(drafts, chunk).collect()}
         assert got == expected
     assert spark.range(1).select(word_set(F.lit("a a b")).alias("w")).first()["w"] == ["a", "b"]
-
-
-def test_sliding_limiter_equals_a_plain_loop(spark):
-    rng = random.Random(3)
-    start, rows, at = dt.datetime(2025, 1, 1), [], 0.0
-    for i in range(300):
-        at += rng.expovariate(1 / 9)
-        rows.append((i, rng.choice("aab"), start + dt.timedelta(seconds=at)))
-    log, expected = {}, {}
-    for i, client, t in rows:
-        hits = log.setdefault(client, deque())
-        while hits and (t - hits[0]).total_seconds() > 60:
-            hits.popleft()
-        expected[i] = len(hits) < 3
-        if expected[i]:
-            hits.append(t)
-    requests = spark.createDataFrame(rows, "request_id bigint, client string, at timestamp")
-    for seconds in (86400, 120):  # short chunks hand their log on
-        got = admit_sliding_batch(requests, 3, 60, seconds)
-        assert {r["request_id"]: r["admitted"] for r in got.collect()} == expected

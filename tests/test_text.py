@@ -63,9 +63,9 @@ def test_proper_nouns_skip_sentence_openers(spark):
     assert one(spark, "Earthquake strikes\nAuthorities reported", text.proper_nouns) == ["authorities"]
 
 
-def keys(spark, title, description="", arrow=False):
+def keys(spark, title, description=""):
     df = spark.createDataFrame([(title, description)], "title string, description string")
-    return [r["fact_key"] for r in facts.explode_facts(df, arrow).orderBy("fact_pos").collect()]
+    return [r["fact_key"] for r in facts.explode_facts(df).orderBy("fact_pos").collect()]
 
 
 @pytest.mark.parametrize("title, present", [
@@ -80,7 +80,6 @@ def keys(spark, title, description="", arrow=False):
 ])
 def test_facts_present(spark, title, present):
     assert present in keys(spark, title)
-    assert present in keys(spark, title, arrow=True)
 
 
 def test_facts_absent(spark):
@@ -88,18 +87,15 @@ def test_facts_absent(spark):
         assert not [k for k in keys(spark, title) if k.startswith("number")]
 
 
-def test_both_fact_forms_agree(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", F.concat(F.lit("Seven killed and 1,200 hurt on 3 May 2020 near Kenya National Bank "),
-                           "source").alias("title"), F.col("text").alias("description"))
-    a = facts.explode_facts(docs).drop("title", "description")
-    b = facts.explode_facts(docs, arrow=True).drop("title", "description")
-    assert a.count() > 0
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_facts_in_sql(spark):
+    spark.createDataFrame([("12 killed in Japan", "")], "title string, description string").createOrReplaceTempView("some_reports")
+    facts.facts_view(spark, "some_reports", "some_facts")
+    rows = spark.sql("SELECT fact_key FROM some_facts").collect()
+    assert {r[0] for r in rows} == {"number:deaths:12", "entity:japan"}
 
 
-def test_sql_functions(spark):
-    facts.register_sql(spark)
-    rows = spark.sql("SELECT f.fact_key FROM VALUES ('12 killed in Japan', '') AS t(a, b), "
-                     "LATERAL explode_facts(a, b) f").collect()
-    assert {r[0] for r in rows} == {"number:deaths:12", "entity:japan"}
+@pytest.mark.parametrize("value, shown", [
+    (12.0, "12"), (6.8, "6.8"), (12345678.5, "12345678.5"), (1e15, "1" + "0" * 15), (12345678901234567890123.0, str(int(12345678901234567890123.0))),
+    (0.25, "0.25"), (-3.0, "-3")])
+def test_numbers_print_all_their_digits(spark, value, shown):
+    assert spark.range(1).select(text.display_number(F.lit(value)).alias("s")).first()["s"] == shown
