@@ -238,28 +238,29 @@ def near_copies(docs: DataFrame, k: int = 3, least_percent: int = 85) -> DataFra
         *ordered("id", "to")).distinct(), "stars")
     links = confirmed(stars)
     labels = stored(components(links), "labels")
-    for last in (False, True):
-        placed = met.select("key", "id").join(labels, "id", "left").select(
-            "key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-            "low < high")
-        open_members = stored(placed.join(mixed.select("key"), "key").select("id", "component").distinct(), "open")
-        if open_members.isEmpty():
-            break
+    placed = met.select("key", "id").join(labels, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    open_members = stored(placed.join(mixed.select("key"), "key").select("id", "component").distinct(), "open")
+    if not open_members.isEmpty():
         prefixes = rare_shingles(open_members, texts, k, least_percent)
-        if last:
-            other = prefixes.select("shingle", F.col("id").alias("to"), F.col("component").alias("its"), F.col("n").alias("its_n"),
-                                    F.col("place").alias("its_place"))
-            pairs = prefixes.join(other, "shingle").filter(
-                (F.col("component") < F.col("its")) & in_both_prefixes(least_percent)).select(*ordered("id", "to"))
-        else:
-            hubs = stored(prefixes.groupBy("shingle").agg(F.min("id").alias("to"), F.min("component").alias("low"),
-                                                          F.max("component").alias("high")).filter("low < high"), "hubs")
-            pairs = prefixes.join(hubs.select("shingle", "to"), "shingle").filter("id <> to").select(*ordered("id", "to"))
-        more = confirmed(stored(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "crossing"))
+        hubs = stored(prefixes.groupBy("shingle").agg(
+            F.min(F.struct("id", "n", "place")).alias("hub"), F.min("component").alias("low"),
+            F.max("component").alias("high")).filter("low < high").select(
+            "shingle", F.col("hub.id").alias("to"), F.col("hub.n").alias("its_n"), F.col("hub.place").alias("its_place")), "hubs")
+        to_hubs = prefixes.join(hubs, "shingle").filter((F.col("id") != F.col("to")) & in_both_prefixes(least_percent))
+        tested = stored(to_hubs.select(*ordered("id", "to")).distinct().join(stars, ["a", "b"], "left_anti"), "crossing")
+        links = stored(links.union(confirmed(tested)), "links")
+        labels = stored(components(links), "labels")
+        now = prefixes.drop("component").join(labels, "id", "left").select(
+            "shingle", "id", "n", "place", F.coalesce("component", "id").alias("component"))
+        other = now.select("shingle", F.col("id").alias("to"), F.col("component").alias("its"), F.col("n").alias("its_n"),
+                           F.col("place").alias("its_place"))
+        pairs = now.join(other, "shingle").filter((F.col("component") < F.col("its")) & in_both_prefixes(least_percent))
+        crossing = pairs.select(*ordered("id", "to")).distinct().join(stars.union(tested), ["a", "b"], "left_anti")
+        more = confirmed(stored(crossing, "crossing"))
         if not more.isEmpty():
-            links = stored(links.union(more), "links")
-            labels = stored(components(links), "labels")
+            labels = stored(components(links.union(more)), "labels")
     named = stored(sets.join(labels, "id", "left").filter("component is not null or copies > 1").select(
         "digest", F.coalesce("component", "id").alias("component")), "named")
     standing = usable.select("doc_id", "digest").join(named, "digest").select("doc_id", "component")
