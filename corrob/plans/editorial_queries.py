@@ -260,12 +260,12 @@ def ngram_contamination(spark, sf_dir):
 
 
 @query("proper_noun_sets", """
-WITH w AS (SELECT o_orderkey, o_orderpriority FROM orders)
-SELECT o_orderkey, 'minister,watanabe' AS names FROM w""")
+SELECT c_custkey, array_to_string(list_sort(['minister', lower(c_mktsegment)]), ',') AS names FROM customer""")
 def proper_noun_sets(spark, sf_dir):
-    text = F.concat(F.lit("Today prime Minister "), F.lit("Watanabe met. Nobody "), F.col("o_orderpriority"), F.lit(": Another (Osaka) Bob"))
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.array_join(F.array_sort(X.proper_nouns(text)), ",").alias("names"))
+    """Names inside a sentence count, sentence openers and names after brackets and colons do not."""
+    text = F.concat(F.lit("Today prime Minister "), F.initcap(F.lower("c_mktsegment")), F.lit(" met. Nobody "), F.lower("c_name"),
+                    F.lit(": Another (Osaka) Bob"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_sort(X.proper_nouns(text)), ",").alias("names"))
 
 
 @query("unique_slugs", f"""
@@ -282,7 +282,15 @@ def unique_slugs(spark, sf_dir):
     return O.unique_slugs(articles, F.floor(F.col("article_id") / 1000)).select("article_id", "slug")
 
 
-@query("article_versions")
+@query("article_versions", f"""
+WITH RECURSIVE w AS (SELECT conv_id AS article_id, turn AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+  list_distinct(list_filter(string_split({sql_norm('text')}, ' '), lambda x: x <> '')) AS words FROM conversations),
+j AS (SELECT article_id, ord, k, words AS last, true AS fresh FROM w WHERE k = 1
+  UNION ALL SELECT article_id, ord, k, CASE WHEN fresh THEN words ELSE last END, fresh FROM (
+    SELECT w.article_id, w.ord, w.k, w.words, j.last, len(list_distinct(list_concat(w.words, j.last))) AS n,
+      n > 0 AND (n - len(list_intersect(w.words, j.last))) / n >= {V.MIN_BODY_CHANGE} AS fresh
+    FROM j JOIN w ON w.article_id = j.article_id AND w.k = j.k + 1) q)
+SELECT article_id, ord, row_number() OVER (PARTITION BY article_id ORDER BY ord) AS version FROM j WHERE fresh""")
 def article_versions(spark, sf_dir):
     """Turns of a conversation as successive drafts of one article."""
     drafts = table(spark, sf_dir, "conversations").select(

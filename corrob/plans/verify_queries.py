@@ -298,8 +298,10 @@ def primary_reports(spark, sf_dir):
     return O.primary_reports(members(spark, sf_dir).withColumn("is_primary", F.col("report_id") % 5 == 0))
 
 
-@query("measure_words", with_views("reports") + """
-SELECT report_id, 'deaths' AS measure FROM reports""")
+@query("measure_words", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 5 <> 0 THEN event_type END AS measure FROM events""")
 def measure_words(spark, sf_dir):
-    key = F.concat_ws(":", F.lit("number"), F.lit("deaths"), F.regexp_extract("title", r"(\d+)$", 1))
-    return views.reports(spark, sf_dir).select("report_id", FX.measure_of(key).alias("measure"))
+    """The measure of claim keys of several kinds and lengths; only whole number keys have one."""
+    kind = F.element_at(F.array(F.lit("number"), F.lit("date"), F.lit("entity")), (F.col("event_id") % 3 + 1).cast("int"))
+    key = F.concat_ws(":", kind, "event_type", F.col("user_id").cast("string"), F.when(F.col("event_id") % 5 == 0, F.lit("more")))
+    return table(spark, sf_dir, "events").select("event_id", FX.measure_of(key).alias("measure"))
