@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from corrob.llm import (
-    decontaminate, disclosure, licenses, mixing, nearcopies, quality, repeats, token_shards, toxicity, url_templates)
+    decontaminate, disclosure, licenses, mixing, nearcopies, oracles, quality, repeats, token_shards, toxicity, url_templates)
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -23,14 +23,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op9_quality_divergence")
+@query("op9_quality_divergence", oracles.quality())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "class_distance", "word_distance")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op8_setsketch_near_copies")
+@query("op8_setsketch_near_copies", oracles.near_copies())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"))
 
