@@ -2,15 +2,19 @@
 
 The index holds the test items: for each of their words the items with it and
 the BM25 weight there, divided by what the item would score against itself, so
-a score is the share of the item that a passage explains.  Posting lists are
-cut in blocks that know their largest weight.
-
-Words are compared in lower case and without punctuation.  Every document is cut into overlapping passages, twice as long as the longest
-item, so some passage holds most of any copied item.  A passage whose words'
-largest weights do not add up to the threshold is passed over; the others are
-run as queries, all items from the threshold up are retrieved (no top k), and
-each is verified on the whole document: the last sentence of an item is its
-answer, the rest its question, and three-word shingles of both must be there.
+a score is the share of the item that a passage explains.
+
+Words are compared in lower case and without punctuation.  Every document is
+cut into overlapping passages, twice as long as the longest item, so some
+passage holds most of any copied item.  As in WAND, words that cannot lift an
+item over the threshold are not followed: the bound is kept per block of one
+item, whose most used words (by a count of the first texts seen) are skipped as
+long as their weights stay below SLACK.  Items that the other words of a
+passage bring within reach are scored in full, and all from the threshold up
+are retrieved (no top k).  All passages of a few megabytes of texts go through
+one set of array operations.  Each item retrieved is verified on the whole
+document: the last sentence of an item is its answer, the rest its question,
+and three-word shingles of both must be there.
 
 Test items are indexed in blocks of bounded size (INDEX_BYTES), one pass over
 the documents per block; that bounds what is broadcast however many items
@@ -25,7 +29,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,8 @@ INDEX_BYTES = 16 << 20  # of item texts per index
 K1, B = 1.2, 0.75  # BM25
 THRESHOLD = 0.4  # of an item's score against itself
 OVERLAP, WHOLE_OVERLAP = 0.5, 0.8  # of question and of answer, or of both together
-SHINGLE, BLOCK, LEAST_PASSAGE = 3, 32, 64
+SLACK = 0.25  # of an item's weight that its most used words may have outside the candidate search
+SHINGLE, LEAST_PASSAGE = 3, 64
 _SEPARATORS = blanks_and(".,;:!?\"'()[]")
 _FILTER_BITS = 20
 
@@ -63,32 +67,30 @@ def _shingles(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """Posting lists of one block of items."""
+    """Posting lists of one block of items, and each item's essential words."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
         hashes = [_hashes(t) for _, t in items]
         h = np.concatenate([np.zeros(0, np.uint64), *hashes])
         row = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
-        n = max(1, len(items))
         length = np.bincount(row, minlength=len(items))
         self.longest = int(length.max(initial=0))
-        keys, frequency = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1, return_counts=True)
-        words, item = keys[0], keys[1].astype(np.int64)
-        self.words, first, having = np.unique(words, return_index=True, return_counts=True)
-        rarity = np.repeat(np.log(1 + (n - having + 0.5) / (having + 0.5)), having)
-        norm = K1 * (1 - B + B * length[item] / max(1.0, length.mean() if len(length) else 1.0))
+        # postings, sorted by word, then item
+        pairs, frequency = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1, return_counts=True)
+        self.words, self.word, having = np.unique(pairs[0], return_inverse=True, return_counts=True)
+        self.item = pairs[1].astype(np.int64)
+        n = max(1, len(items))
+        rarity = np.log(1 + (n - having + 0.5) / (having + 0.5))[self.word]
+        norm = K1 * (1 - B + B * length[self.item] / max(1.0, length.mean() if len(length) else 1.0))
         weight = rarity * frequency * (K1 + 1) / (frequency + norm)
-        own = np.bincount(item, weights=weight, minlength=len(items))
-        weight = weight / own[item]
-        self.largest = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        bounds = np.append(first, len(words))
-        self.postings = [(item[a:b].tolist(), weight[a:b].tolist(),
-                          [float(weight[x:min(x + BLOCK, b)].max()) for x in range(a, b, BLOCK)])
-                         for a, b in zip(bounds[:-1], bounds[1:])]
+        self.weight = weight / np.bincount(self.item, weights=weight, minlength=len(items))[self.item]
+        self.of_item = np.split(np.argsort(self.item, kind="stable"), np.cumsum(np.bincount(self.item, minlength=len(items)))[:-1])
         self.possible = np.zeros(1 << _FILTER_BITS, bool)
         self.possible[self.words & np.uint64((1 << _FILTER_BITS) - 1)] = True
         self.parts = [self._parts(t) for _, t in items]
+        self.essential = None
+        self.tune(having)
 
     @staticmethod
     def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,42 +99,52 @@ class Index:
         pieces = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, text)
         return tuple(np.unique(_shingles(h, min(SHINGLE, len(h)))) for h in map(_hashes, pieces))
 
-    def retrieve(self, terms: list[int]) -> dict[int, float]:
-        """Every item that the distinct ``terms`` score at the threshold or above."""
-        lists = [[*self.postings[t], 0, float(self.largest[t])] for t in terms]  # items, weights, block maxima, at, maximum
-        found: dict[int, float] = {}
-        while lists:
-            lists.sort(key=lambda x: x[0][x[3]])
-            bound, pivot = 0.0, None
-            for p, x in enumerate(lists):
-                bound += x[4]
-                if bound >= THRESHOLD:
-                    pivot = p
-                    break
-            if pivot is None:
-                break
-            target = lists[pivot][0][lists[pivot][3]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][3]] == target:
-                pivot += 1
-            here = lists[:pivot + 1]
-            at = [bisect_left(x[0], target, x[3]) for x in here]
-            limit = sum(x[2][i // BLOCK] for x, i in zip(here, at) if i < len(x[0]))
-            if limit < THRESHOLD:
-                # no item scores enough until one of these blocks ends or the next list begins
-                ends = [x[0][min(len(x[0]), (i // BLOCK + 1) * BLOCK) - 1] + 1 for x, i in zip(here, at) if i < len(x[0])]
-                if pivot + 1 < len(lists):
-                    ends.append(lists[pivot + 1][0][lists[pivot + 1][3]])
-                target = max(target + 1, min(ends))
-                at = [bisect_left(x[0], target, x[3]) for x in here]
-            elif lists[0][0][lists[0][3]] == target:
-                score = sum(x[1][i] for x, i in zip(here, at) if i < len(x[0]) and x[0][i] == target)
-                if score >= THRESHOLD:
-                    found[target] = score
-                at = [i + (i < len(x[0]) and x[0][i] == target) for x, i in zip(here, at)]
-            for x, i in zip(here, at):
-                x[3] = i
-            lists = [x for x in lists if x[3] < len(x[0])]
-        return found
+    def tune(self, uses: np.ndarray) -> None:
+        """Choose each item's essential words for words of the given numbers of uses.
+
+        The most used words of an item that together weigh less than SLACK of
+        it are left out of the candidate search: a passage at the threshold
+        must make up the rest from the others.  Any numbers give the same
+        matches; good ones give fewer candidates.
+        """
+        order = np.lexsort((-uses[self.word], self.item))
+        weight = self.weight[order]
+        total = np.cumsum(weight)
+        first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
+        before = np.concatenate(([0.0], total))[first]
+        skipped = (total - before[self.item[order]]) < SLACK
+        self.slack = np.bincount(self.item[order], weights=weight * skipped, minlength=len(self.ids))
+        kept = np.sort(order[~skipped])  # by word again
+        self.essential = kept
+        self.bounds = np.searchsorted(self.word[kept], np.arange(len(self.words) + 1))
+
+    def retrieve(self, word: np.ndarray, passage: np.ndarray) -> list[tuple[int, int, float]]:
+        """(passage, item, score) of every item that a passage's words score at the threshold or above.
+
+        ``word`` holds the indexed words in order of occurrence, ``passage`` the passages they are in.
+        """
+        counts = (self.bounds[1:] - self.bounds[:-1])[word]
+        use = np.flatnonzero(counts)
+        word_, passage_, counts = word[use], passage[use], counts[use]
+        if not len(use):
+            return []
+        place = np.repeat(self.bounds[word_] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        # a word counts once in a passage
+        distinct = np.unique(np.repeat(passage_, counts) * len(self.essential) + place)
+        posting, where = self.essential[distinct % len(self.essential)], distinct // len(self.essential)
+        pair, at = np.unique(where * len(self.ids) + self.item[posting], return_inverse=True)
+        bound = np.bincount(at, weights=self.weight[posting]) + self.slack[pair % len(self.ids)]
+        out = []
+        order = np.argsort(passage, kind="stable")
+        word, passage = word[order], passage[order]
+        for p in pair[bound >= THRESHOLD - 1e-12].tolist():
+            where, item = divmod(p, len(self.ids))
+            low, high = np.searchsorted(passage, [where, where + 1])
+            mine = self.of_item[item]
+            score = float(self.weight[mine][np.isin(self.word[mine], word[low:high])].sum())
+            if score >= THRESHOLD:
+                out.append((where, item, score))
+        return out
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(row, item, score, question overlap, answer overlap) of all verified items."""
@@ -140,37 +152,39 @@ class Index:
         if not len(self.words) or not len(data):
             return out
         row, _, _, h = hashed_words(data, offsets, _SEPARATORS)
-        term = np.full(len(h), -1)
         maybe = np.flatnonzero(self.possible[h & np.uint64((1 << _FILTER_BITS) - 1)])
         spot = np.minimum(np.searchsorted(self.words, h[maybe]), len(self.words) - 1)
         hit = self.words[spot] == h[maybe]
-        term[maybe[hit]] = spot[hit]
-        gain = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, self.largest[term], 0.0))))
-        size = max(LEAST_PASSAGE, 2 * self.longest)
+        place, word = maybe[hit], spot[hit]
+        if not self.tuned:
+            self.tune(np.bincount(word, minlength=len(self.words)))
+            self.tuned = True
         bounds = np.searchsorted(row, np.arange(len(offsets)))
-        for doc in range(len(offsets) - 1):
-            a, b = int(bounds[doc]), int(bounds[doc + 1])
-            if gain[b] - gain[a] < THRESHOLD:
-                continue
-            starts = np.arange(a, max(a + 1, b - size // 2), size // 2)
-            starts = starts[gain[np.minimum(starts + size, b)] - gain[starts] >= THRESHOLD]
-            best: dict[int, float] = {}
-            for s in starts.tolist():
-                terms = np.unique(term[s:min(s + size, b)])
-                terms = terms[terms >= 0]
-                if self.largest[terms].sum() >= THRESHOLD:
-                    for i, score in self.retrieve(terms.tolist()).items():
-                        best[i] = max(best.get(i, 0.0), score)
-            if best:
-                there = np.unique(np.concatenate([_shingles(h[a:b], n) for n in range(1, SHINGLE + 1)]))
-                for i, score in sorted(best.items()):
-                    question, answer = (np.isin(p, there) for p in self.parts[i])
-                    q, r = (float(x.mean()) if len(x) else 0.0 for x in (question, answer))
-                    whole = float(np.concatenate([question, answer]).mean()) if len(question) + len(answer) else 0.0
-                    if (q >= OVERLAP and r >= OVERLAP) or whole >= WHOLE_OVERLAP:
-                        out.append((doc, i, score, q, r))
+        # passage k of a document begins at its word k * half and is two halves long
+        half = max(LEAST_PASSAGE, 2 * self.longest) // 2
+        doc = row[place]
+        first = np.concatenate(([0], np.cumsum((bounds[1:] - bounds[:-1]) // half + 1)))  # passages of the documents before
+        k = (place - bounds[doc]) // half
+        second = k > 0
+        passages = np.concatenate([first[doc] + k, (first[doc] + k - 1)[second]])
+        best: dict[tuple[int, int], float] = {}
+        for passage, item, score in self.retrieve(np.concatenate([word, word[second]]), passages):
+            key = (int(np.searchsorted(first, passage, "right")) - 1, item)
+            best[key] = max(best.get(key, 0.0), score)
+        there, of = None, -1
+        for (d, i), score in sorted(best.items()):
+            if d != of:
+                words = h[bounds[d]:bounds[d + 1]]
+                there, of = np.unique(np.concatenate([_shingles(words, n) for n in range(1, SHINGLE + 1)])), d
+            question, answer = (np.isin(p, there) for p in self.parts[i])
+            q, r = (float(x.mean()) if len(x) else 0.0 for x in (question, answer))
+            whole = float(np.concatenate([question, answer]).mean()) if len(question) + len(answer) else 0.0
+            if (q >= OVERLAP and r >= OVERLAP) or whole >= WHOLE_OVERLAP:
+                out.append((d, i, score, q, r))
         return out
 
+    tuned = False
+
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of bounded size that together hold all items."""

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,15 +83,18 @@ def test_retrieval_equals_scoring_every_item():
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 12)))) for i in range(300)]
     index = decontaminate.Index(items)
-    for _ in range(200):
-        terms = sorted(rng.sample(range(len(index.words)), rng.randint(1, 25)))
-        scores = Counter()
-        for t in terms:
-            for item, weight in zip(*index.postings[t][:2]):
-                scores[item] += weight
-        want = {i: s for i, s in scores.items() if s >= decontaminate.THRESHOLD + 1e-9}
-        got = index.retrieve(terms)
-        assert set(want) <= set(got) and all(abs(scores[i] - s) < 1e-9 for i, s in got.items())
+    for tuned in (False, True):
+        if tuned:
+            index.tune(np.array([rng.randint(0, 1000) for _ in index.words]))
+        hits = [(rng.randrange(len(index.words)), p) for p in range(200) for _ in range(rng.randint(1, 25))]
+        rng.shuffle(hits)
+        got = {(p, i): s for p, i, s in index.retrieve(*map(np.array, zip(*hits)))}
+        want = Counter()
+        for word, p in set(hits):
+            for at in np.flatnonzero(index.word == word):
+                want[(p, int(index.item[at]))] += index.weight[at]
+        assert {k for k, s in want.items() if s >= decontaminate.THRESHOLD + 1e-9} <= set(got)
+        assert all(abs(want[k] - s) < 1e-9 and s >= decontaminate.THRESHOLD for k, s in got.items())
 
 
 # --- toxicity -----------------------------------------------------------------
