@@ -29,8 +29,9 @@ def event_measures(facts: DataFrame) -> DataFrame:
 
 def report_breadth(members: DataFrame) -> DataFrame:
     """(event_id, entity_count, update_count): distinct descriptions and reports."""
-    texts = members.groupBy("event_id", "description").agg(F.count(F.lit(1)).alias("n"))
-    return texts.groupBy("event_id").agg(F.count("description").alias("entity_count"), F.sum("n").alias("update_count"))
+    # by hash: the texts themselves stay where they are
+    texts = members.groupBy("event_id", F.md5("description").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy("event_id").agg(F.count("text").alias("entity_count"), F.sum("n").alias("update_count"))
 
 
 def score_importance(events: DataFrame, facts: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:

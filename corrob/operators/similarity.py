@@ -156,11 +156,14 @@ def top_k_neighbors(queries: DataFrame, base: DataFrame, k: int = V.MAX_CANDIDAT
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
         ids = b["id"].to_numpy()
         matrix = np.stack(b["vec"].to_numpy()).astype(np.float64)
-        parts = []
-        for query_id, vec in zip(q["query_id"], q["vec"]):
-            score = matrix @ np.asarray(vec, dtype=np.float64)
-            best = np.lexsort((ids, -score))[:k]
-            parts.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "similarity": score[best]}))
+        asked, parts = np.stack(q["vec"].to_numpy()).astype(np.float64), []
+        for low in range(0, len(q), 64):
+            scores = matrix @ asked[low:low + 64].T
+            for query_id, score in zip(q["query_id"].iloc[low:low + 64], scores.T):
+                # only what reaches the k-th best score is sorted
+                near = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(score >= np.partition(score, len(ids) - k)[len(ids) - k])
+                best = near[np.lexsort((ids[near], -score[near]))[:k]]
+                parts.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "similarity": score[best]}))
         return pd.concat(parts)
 
     dealt = base.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
