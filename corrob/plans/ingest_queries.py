@@ -11,7 +11,9 @@ from corrob.operators.nearhash import near_dup_pairs, simhash, simhash_md5
 from corrob.plans import views
 from corrob.plans.registry import query
 from corrob.plans.views import sql_canonical, sql_norm, table, with_views
-from corrob.sources.feeds import parse_entry_ts, read_page_entries
+from corrob.session import working_table
+from corrob.sources.catalogue import Tables, read_sources
+from corrob.sources.feeds import parse_entry_ts, read_feed_entries, read_feed_rejects, read_page_entries
 
 DATE = "%Y-%m-%d %H:%M:%S"
 
@@ -234,3 +236,68 @@ def json_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         "event_id", F.array_join(X.json_list(listed), "|").alias("decoded"),
         X.json_list(F.col("props")).isNull().alias("object_is_null"))
+
+
+# --- landed files: feeds, catalogues, model tables ------------------------------
+
+
+def _landed_feeds(spark, sf_dir) -> str:
+    """Events as ten RSS files and regions as files that are no feeds, under one folder."""
+    feed = (F.col("user_id") % 10).cast("int")
+    events = table(spark, sf_dir, "events").select(feed.alias("feed"), F.col("event_id").alias("ord"), F.format_string(
+        "<item><title>Event %d</title><link>http://Host.example/%d/?utm_source=x#top</link><description>&lt;b&gt;%s&lt;/b&gt; seen</description>"
+        "<pubDate>%s</pubDate></item>", "event_id", "event_id", "event_type", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).alias("value"))
+    feeds = events.select("feed").distinct()
+    head = feeds.select("feed", F.lit(-1).alias("ord"), F.format_string(
+        '<?xml version="1.0"?><rss version="2.0"><channel><title>Feed</title><language>l%d</language>', "feed").alias("value"))
+    tail = feeds.select("feed", F.lit(2**62).alias("ord"), F.lit("</channel></rss>").alias("value"))
+    junk = table(spark, sf_dir, "region").select((100 + F.col("r_regionkey")).cast("int").alias("feed"), F.lit(0).alias("ord"),
+                                                 F.concat(F.lit("no feed of "), "r_name").alias("value"))
+    path = working_table(spark, "feeds")
+    head.unionByName(events).unionByName(tail).unionByName(junk).repartition("feed").sortWithinPartitions("feed", "ord").select(
+        "feed", "value").write.partitionBy("feed").text(path)
+    return path
+
+
+@query("feed_entries", f"""
+SELECT 'Event ' || CAST(event_id AS VARCHAR) AS title, event_type || '  seen' AS description, 'https://host.example/' || CAST(event_id AS VARCHAR) AS canonical_url,
+  strftime(ts, '{DATE}') AS published_at, 'l' || CAST(user_id % 10 AS VARCHAR) AS language FROM events""")
+def feed_entries(spark, sf_dir):
+    return read_feed_entries(spark, _landed_feeds(spark, sf_dir)).select(
+        "title", "description", "canonical_url", stamp("published_at").alias("published_at"), "language")
+
+
+@query("feed_rejects", "SELECT CAST(100 + r_regionkey AS VARCHAR) AS feed, 'feed could not be parsed' AS problem FROM region")
+def feed_rejects(spark, sf_dir):
+    return read_feed_rejects(spark, _landed_feeds(spark, sf_dir)).select(
+        F.regexp_extract("feed_file", "feed=([0-9]+)/", 1).alias("feed"), "problem")
+
+
+@query("catalogue_file", """
+SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'GB' ELSE 'FR' END AS country,
+  CASE WHEN s_suppkey % 3 = 0 THEN 300 ELSE 60 + s_nationkey END AS poll_interval_seconds, 70.0::DOUBLE AS reliability_score, 'en' AS language, true AS enabled
+FROM supplier""")
+def catalogue_file(spark, sf_dir):
+    """A JSON list of sources with missing fields, read with its defaults."""
+    n = F.col("s_nationkey")
+    source = F.to_json(F.struct(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"),
+        F.when(n % 2 == 0, " gb ").otherwise("fr").alias("country"),
+        F.when(F.col("s_suppkey") % 3 != 0, (60 + n).cast("int")).alias("poll_interval_seconds")))
+    suppliers = table(spark, sf_dir, "supplier")
+    first = suppliers.agg(F.min("s_suppkey").alias("first"))
+    rows = suppliers.crossJoin(first).select(F.col("s_suppkey").alias("ord"), F.concat(
+        F.when(F.col("s_suppkey") == F.col("first"), "[").otherwise(","), source).alias("value"))
+    end = first.select(F.lit(2**62).alias("ord"), F.lit("]").alias("value"))
+    path = working_table(spark, "catalogue")
+    rows.unionByName(end).coalesce(1).sortWithinPartitions("ord").select("value").write.text(path)
+    return read_sources(spark, path).select("id", "name", "country", "poll_interval_seconds", "reliability_score", "language", "enabled")
+
+
+@query("model_table_scan", "SELECT CAST(o_custkey AS VARCHAR) AS event_id, CAST(o_orderkey AS VARCHAR) AS report_id FROM orders WHERE o_orderstatus = 'F'")
+def model_table_scan(spark, sf_dir):
+    path = working_table(spark, "model")
+    table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("event_id"), F.col("o_orderkey").cast("string").alias("report_id"),
+        F.col("o_totalprice").alias("similarity_score"), (F.col("o_orderstatus") == "F").alias("is_primary")).write.parquet(f"{path}/event_reports")
+    return Tables(spark, path).event_reports.filter("is_primary").select("event_id", "report_id")
