@@ -126,11 +126,6 @@ def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if n:
             new_gram = np.append(key is None or gram[0] != key, gram[1:] != gram[:-1])
             new = new_gram | np.append(key is None or context[0] != mark, context[1:] != context[:-1])
-            if held is not None and new[0] and not new_gram[0]:
-                out.append(tuple(np.array([x]) for x in held) + (np.zeros(1, bool),))
-                held = None
-            elif held is not None and new_gram[0]:
-                held = None
             at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
             start = packed >> 16
             if at[0] < 0:  # goes on with the run of the batch before
@@ -142,6 +137,10 @@ def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             run = np.cumsum(new_gram)  # 0: the gram of the batch before
             heads = np.flatnonzero(new)
             several = np.bincount(run[heads], minlength=run[-1] + 1)
+            if held is not None and several[0]:  # its gram has another context, anywhere in the batch
+                out.append(tuple(np.array([x]) for x in held) + (np.zeros(1, bool),))
+            if several[0] or run[-1]:
+                held = None
             open_before = key is not None  # contexts seen in earlier batches of run 0
             multi = several > 1
             if open_before:

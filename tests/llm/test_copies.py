@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,42 @@ def test_repeats_equal_a_scan(rows_of):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == cut(rows)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_first_contexts_are_kept_over_batches(size):
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(40), rng.randrange(3), doc, 5 << 16) for doc in range(200))
+
+    def batches(n):
+        for at in range(0, len(rows), n):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at:at + n])], names=["gram", "context", "doc", "packed"])
+
+    def ends(n):
+        return {(r["gram"], r["doc"]) for b in repeats._first_of_runs(batches(n)) for r in b.to_pylist() if r["gram"] is not None}
+
+    firsts = {}
+    for gram, context, doc, _ in rows:
+        firsts.setdefault(gram, {}).setdefault(context, doc)
+    want = {(gram, doc) for gram, contexts in firsts.items() if len(contexts) > 1 for doc in contexts.values()}
+    assert want <= ends(size) and want <= ends(len(rows))
+
+
+def test_repeats_in_small_batches_equal_a_scan(spark, rows_of):
+    rng = random.Random(8)
+    shared = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(130, 300))) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        around = ["".join(rng.choice("ijklmnop") for _ in range(40)) for _ in range(2)]
+        rows.append((i, rng.choice(shared) if rng.random() < .6 else around[0] + rng.choice(shared) + around[1]))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = repeats.remove_repeats(rows_of(rows).repartition(5)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == cut(rows)
+
+
 def test_repeats_of_odd_rows(rows_of):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefgh") for _ in range(300))
