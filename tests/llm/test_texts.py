@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -149,6 +150,82 @@ def test_licences(rows_of):
     assert rows[0][1][slice(*spans[0])] == "Released under the MIT License"
 
 
+PUBLISHED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "BSD-3-Clause": """Copyright (c) 2020, Some Body Inc.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+(2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+ * Neither the name of Some Body Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""}
+
+
+def test_published_licences_in_wrapped_lines(rows_of):
+    rows, want = [], {}
+    for name, text in PUBLISHED.items():
+        for sign in ("", "# ", " * ", "// "):
+            want[len(rows)] = name
+            rows.append((len(rows), "code before\n" + "".join(f"{sign}{line}\n" for line in text.split("\n")) + "code after"))
+        for width in (30, 45, 60, 73, 79, 100):
+            want[len(rows)] = name
+            rows.append((len(rows), "\n\n".join(textwrap.fill(" ".join(part.split()), width) for part in text.split("\n\n"))))
+    rows += [(100, "All rights\nreserved."), (101, "All rights\n\nreserved."), (102, "All rights. Reserved")]
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.scan(rows_of(rows)).collect())
+    assert got == [*want.items(), (100, "Proprietary")]
+    longest = {r["doc_id"]: r["rule"].count(">") for r in licenses.scan(rows_of(rows)).collect()}
+    assert [longest[i] for i in range(0, 40, 10)] == [2, 2, 3, 1]
+
+
 # --- personal data ------------------------------------------------------------
 
 KINDS = ["email", "ip", "card", "phone"]
