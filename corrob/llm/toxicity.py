@@ -13,8 +13,10 @@ in other rows only become exception phrases: a term inside one does not count.
 The score is a logistic function of the summed weights and of their density
 per word, fitted on the same rows.
 
-The fit is the one step on a bounded sample: SAMPLE labelled rows of each
-class, those of the least hash.  What is broadcast is bounded by it: the
+The lexicon and the fit use a bounded sample: SAMPLE labelled rows of each
+class, those of the least hash.  In the fit a row of the sample stands for as
+many rows as its class has in the training fold for one in the sample, so a
+score means the same however large the tables are.  What is broadcast is bounded by it: the
 sample's ids, and at most TERMS terms and PHRASES phrases.  Scoring is one pass
 over the texts without a shuffle.
 
@@ -66,10 +68,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the training fold."""
+    return labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
+        F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).filter(~held_out(F.col("doc_id")))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of at most SAMPLE rows of each class from the training fold."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
-        F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).filter(~held_out(F.col("doc_id")))
+    known = training_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.filter(F.col("toxic") == kind).orderBy(*order).limit(SAMPLE) for kind in (0, 1)]
     picked = chosen[0].unionByName(chosen[1])
@@ -199,14 +206,14 @@ def _measured(shared):
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights (last: intercept) by Newton's steps with a small ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, stands_for: np.ndarray | float = 1.0, ridge: float = 0.1) -> np.ndarray:
+    """Weights (last: intercept) by Newton's steps with a small ridge; a row counts as the rows it stands for."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     penalty = ridge * np.diag([1.0] * (x.shape[1] - 1) + [1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x * (stands_for * (p * (1 - p)) + 1e-9)[:, None]).T @ x + penalty, x.T @ (stands_for * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -226,7 +233,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Scanner, list[float]]:
     scanner = Scanner(lexicon, [r["term"] for r in exempt.collect()])
     rows = sample.mapInArrow(_measured(context.broadcast(scanner)), "total double, density double, toxic int").collect()
     data = np.array([[r["total"], r["density"], r["toxic"]] for r in rows])
-    return scanner, fit_logistic(data[:, :2], data[:, 2]).tolist()
+    sizes = {r["toxic"]: r["n"] for r in training_labels(labels).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands_for = np.array([max(1.0, sizes.get(kind, 0) / SAMPLE) for kind in (0, 1)])[data[:, 2].astype(int)]
+    return scanner, fit_logistic(data[:, :2], data[:, 2], stands_for).tolist()
 
 
 def _scored(shared, weights: list[float]):

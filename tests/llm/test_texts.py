@@ -125,6 +125,28 @@ def test_toxicity_on_held_out_rows(rows_of):
     assert {r["score"] for r in unlabelled} == {0.0}
 
 
+def test_scores_keep_their_meaning_when_the_sample_is_full(rows_of, monkeypatch):
+    rng = random.Random(12)
+    plain = [f"{a}{b}" for a in ("lor", "mip", "tas", "ven", "qui") for b in ("an", "el", "os", "ur", "im")]
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 9 == 0
+        body = [rng.choice(plain) for _ in range(30)]
+        if rng.random() < (0.7 if toxic else 0.1):
+            body[rng.randrange(30)] = "gromble"
+        rows.append((i, " ".join(body)))
+        labels.append((i, int(toxic)))
+    docs, known = rows_of(rows), rows_of(labels, "doc_id bigint, toxic int")
+
+    def mean():
+        return toxicity.score(docs, known).agg(F.avg("score")).first()[0]
+
+    assert abs(mean() - 1 / 9) < 0.02
+    for size in (150, 600):  # both classes cut, then only the larger one
+        monkeypatch.setattr(toxicity, "SAMPLE", size)
+        assert abs(mean() - 1 / 9) < 0.03
+
+
 def test_folding_and_exceptions():
     scanner = toxicity.Scanner({toxicity.fold("idiot").strip(): 2.0}, [toxicity.fold("idiot board").strip()])
     for text in ("idiot", "1d10t!", "IDIOT,", "ｉｄｉｏｔ", "і\u200bdiot", "(idiots)"):
