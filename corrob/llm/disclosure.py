@@ -1,21 +1,24 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
 Base spans are the matches of four patterns.  Their values are the protected
-entities.  Words near an entity may reveal it as well, so corpus counts tell
-how much: with co(t, e) the texts that hold term t near entity e and df(t)
+entities.  Words of the same text may reveal an entity as well, so corpus counts
+tell how much: with co(t, e) the texts that hold term t and entity e and df(t)
 those that hold t at all, seeing t leaves -log2(co / df) bits of uncertainty
 about e (the entity's information content less the pointwise mutual
-information).  A term that keeps it at DISCLOSED bits or less, in at least
-SUPPORT different texts, is a span of kind ``term`` wherever it stands near
-that entity; ``sanitised`` removes it, or generalises it above REMOVED bits.
+information).  A term that keeps it at DISCLOSED bits or less for some entity,
+in at least SUPPORT different texts, is a span of kind ``term`` wherever it
+stands in any text; ``sanitised`` removes it, or generalises it above REMOVED
+bits.
 
 Everything is built-in expressions.  Positions come from splitting a text by a
 pattern: the lengths of the parts and of the matches add up.  Patterns start
 only where a match can start (after \\G or a character outside) and repeat
 possessively where nothing can be given back, so a text of one long token takes
-linear time.  One pass finds spans and contexts; a second counts candidate
-terms only, after a filter of at most BUCKETS hash values, the one thing that
-is broadcast by hint.
+linear time.  One pass finds spans and the words of texts with spans; pairs are made
+only of entities in SUPPORT texts or more.  A second pass counts candidate terms
+(those whose count in texts with spans alone does not rule them out), a third
+finds the disclosing ones in all texts; both keep a word only if it passes a
+filter of at most BUCKETS hash values, the one thing that is broadcast by hint.
 
 Defined cases: a null text is empty; repeated rows (doc_id and text) get equal
 results, and equal texts count once in the statistics; a null doc_id is kept;
@@ -40,13 +43,13 @@ PATTERNS = {
 }
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}",
          "phone": r"\+[0-9]"}
-AROUND = 80  # characters on each side in which terms are near
-TERM = r"\p{L}{3,24}+(?!\p{L})"
+LONGEST = 24
+TERM = rf"\p{{L}}{{3,{LONGEST}}}+(?!\p{{L}})"  # of a longer word its end
 SUPPORT, DISCLOSED, REMOVED = 3, 1.0, 0.15
 BUCKETS = 65536
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, match>> of all matches, leftmost and not overlapping; code points, end exclusive."""
     kind = "struct<at: int, out: array<struct<start: int, end: int, match: string>>>"
 
@@ -110,61 +113,72 @@ def _entity(span: Column) -> Column:
         span["place"] == 1, span["match"]).otherwise(_digits(span["match"])))
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """array<struct<term, start, end>> of the whole words within AROUND characters of a span."""
-    from_ = F.greatest(span["start"] - AROUND, F.lit(0))
-    left = F.substring(text, from_ + 1, span["start"] - from_)
-    right = F.substring(text, span["end"] + 1, F.lit(AROUND))
-
-    def terms(side: Column, offset: Column, whole: Callable[[Column, Column], Column]) -> Column:
-        found = let(side, lambda s: F.filter(spans_of(s, TERM), lambda m: whole(m, F.length(s))))
-        return F.transform(found, lambda m: F.struct(F.lower(m["match"]).alias("term"), (m["start"] + offset).alias("start"),
-                                                     (m["end"] + offset).alias("end")))
-
-    # a word at a side's outer end may be cut
-    return F.concat(terms(left, from_, lambda m, n: (m["start"] > 0) | (from_ == 0)),
-                    terms(right, span["end"], lambda m, n: (m["end"] < n) | (n < AROUND)))
+def _spellings(text: Column) -> Column:
+    """The different words of a text that may be terms, as they are spelled."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, spans, contexts) of every row, written once."""
-
-    def contexts(text: Column, spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(_entity(s).alias("entity"), near_terms(text, s).alias("terms")))
-
+    """(doc_id, digest, spans, entities, words) of every row, written once; words only of texts with spans."""
     both = let(text_or_empty(docs), lambda t: let(base_spans(t), lambda s: F.struct(
-        s.alias("spans"), contexts(t, s).alias("contexts"))))
+        s.alias("spans"), F.array_distinct(F.transform(s, _entity)).alias("entities"),
+        F.when(F.size(s) > 0, F.array_distinct(F.transform(_spellings(t), F.lower))).alias("words"))))
     return stored(docs.select(docs["doc_id"], F.xxhash64(text_or_empty(docs)).alias("digest"), both.alias("x")).select(
         "doc_id", "digest", "x.*"), "personal")
 
 
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, digest, word, term, ...) of the words of all texts that are among ``terms`` (term, ...)."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+    buckets = terms.select(bucket.alias("bucket")).distinct()  # BUCKETS rows at most
+    return docs.select(docs["doc_id"], F.xxhash64(text_or_empty(docs)).alias("digest"), F.explode(_spellings(text_or_empty(docs))).alias(
+        "word")).withColumn("term", F.lower("word")).withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket").drop(
+        "bucket").join(terms, "term")
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, term, bits): terms that leave at most DISCLOSED bits of uncertainty about an entity."""
-    near = scanned.filter(F.size("spans") > 0).select("digest", F.inline("contexts")).select(
-        "digest", "entity", F.explode(F.transform("terms", lambda t: t["term"])).alias("term")).distinct()
-    together = stored(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(
-        F.col("together") >= SUPPORT), "together")
-    candidates = together.select("term").distinct()
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
-    buckets = candidates.select(bucket.alias("bucket")).distinct()  # BUCKETS rows at most
-    every = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(docs)), F.lit(TERM), F.lit(0)))
-    held = docs.select(F.xxhash64(text_or_empty(docs)).alias("digest"), F.explode(every).alias("term")).withColumn(
-        "bucket", bucket).join(F.broadcast(buckets), "bucket").join(candidates, "term", "left_semi")
-    alone = held.select("digest", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
-    bits = F.greatest(-F.log2(F.col("together") / F.col("texts")), F.lit(0.0))
-    return together.join(alone, "term").select("entity", "term", bits.alias("bits")).filter(F.col("bits") <= DISCLOSED)
+    texts = stored(scanned.filter(F.size("spans") > 0).groupBy("digest").agg(
+        F.first("entities").alias("entities"), F.first("words").alias("words")), "entities")
+    held = texts.select("digest", F.explode("entities").alias("entity"))
+    often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT).select("entity")
+    pairs = held.join(often, "entity", "left_semi").groupBy("digest").agg(F.collect_list("entity").alias("often")).join(
+        texts.select("digest", "words"), "digest").select("often", F.explode("words").alias("term")).select(
+        F.explode("often").alias("entity"), "term")
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= SUPPORT)
+
+    def bits(texts: str) -> Column:
+        return F.greatest(-F.log2(F.col("together") / F.col(texts)), F.lit(0.0))
+
+    # the texts with spans are some of those that hold a term
+    least = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    together = stored(together.join(least, "term").filter(bits("least") <= DISCLOSED).drop("least"), "together")
+    alone = _holding(docs, together.select("term").distinct()).select("digest", "term").distinct().groupBy("term").agg(
+        F.count(F.lit(1)).alias("texts"))
+    return together.join(alone, "term").select("entity", "term", bits("texts").alias("bits")).filter(F.col("bits") <= DISCLOSED)
+
+
+def _places(text: Column, told: Column) -> Column:
+    """array<struct<start, end, bits>> of the words of ``told`` (array<struct<word, bits>>) in a text."""
+    whole, ends = (F.array_join(F.transform(F.filter(told, lambda t: keep(F.length(t["word"]))), lambda t: t["word"]), "|") for keep in (
+        lambda n: n < LONGEST, lambda n: n >= LONGEST))
+    pattern = F.concat(F.lit(r"(?:(?<!\p{L})(?:"), F.when(whole == "", "(?!)").otherwise(whole), F.lit(")|(?:"),
+                       F.when(ends == "", "(?!)").otherwise(ends), F.lit(r"))(?!\p{L})"))
+    bits = F.map_from_entries(told)
+    return let(bits, lambda b: F.transform(spans_of(text, pattern), lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), F.element_at(b, m["match"]).alias("bits"))))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, spans, terms) of every row; ``terms`` is array<struct<start, end, bits>>."""
     scanned = scan(docs)
-    telling = stored(disclosing(docs, scanned), "telling")
-    contexts = scanned.filter(F.size("spans") > 0).select("doc_id", "digest", F.inline("contexts")).select(
-        "doc_id", "digest", "entity", F.inline("terms"))
-    terms = contexts.join(telling, ["entity", "term"]).groupBy("doc_id", "digest", "start", "end").agg(
-        F.min("bits").alias("bits")).groupBy("doc_id", "digest").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "bits"))).alias("terms"))
-    found = terms.select(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), "terms")
+    telling = stored(disclosing(docs, scanned).groupBy("term").agg(F.min("bits").alias("bits")), "telling")
+    told = _holding(docs, telling).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("word", "bits")).alias("told")).select(
+        F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), "told")
+    rows = docs.select(docs["doc_id"], F.xxhash64(text_or_empty(docs)).alias("digest"), text_or_empty(docs).alias("text"))
+    terms = rows.join(told, (F.col("digest") == F.col("its_digest")) & F.col("doc_id").eqNullSafe(F.col("its_id"))).groupBy(
+        "doc_id", "digest").agg(F.first("text").alias("text"), F.first("told").alias("told"))
+    found = terms.select(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), _places(F.col("text"), F.col("told")).alias("terms"))
     joined = scanned.join(found, (F.col("digest") == F.col("its_digest")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left")
     # a word inside a base span is covered by it
     free = F.filter(F.coalesce("terms", F.array().cast("array<struct<start: int, end: int, bits: double>>")), lambda t: ~F.exists(
@@ -199,7 +213,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["place"]).alias("by"))),
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(
             t["bits"] <= REMOVED, F.lit("")).otherwise(F.lit("[TERM]")).alias("by")))))
-    found = personal_data(docs).filter((F.size("spans") > 0)).select(
+    found = personal_data(docs).filter((F.size("spans") > 0) | (F.size("terms") > 0)).select(
         F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest"), edits.alias("edits")).dropDuplicates(["its_id", "its_digest"])
     rows = docs.select(docs["doc_id"], docs["text"])
     met = rows.join(found, (F.xxhash64(text_or_empty(rows)) == F.col("its_digest")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left")

@@ -300,6 +300,18 @@ def test_terms_that_give_an_entity_away(rows_of):
     assert clean[0] == "notice 0 from the  at [EMAIL] about the weather" and clean[12] == rows[6][1]
 
 
+def test_terms_far_from_the_entity_and_without_it(rows_of):
+    far = "the weather was fine and the notice was long, so nobody in town read it to the end. " * 3
+    rows = [(i, f"notice {i} from sea@port.org. {far}Signed, Harbourmaster") for i in range(4)]
+    rows += [(4, "the HARBOURMASTER was fine, harbourmasters were not"), (5, None), (None, "harbourmaster"), (4, "harbourmaster"), (6, "b" * 5000)]
+    rows += [(10 + i, f"{far} number {i} signed from") for i in range(30)]
+    got = Counter((r["doc_id"], r["n_term"]) for r in disclosure.listed(clash(rows_of(rows))).collect())
+    assert got == Counter([*((i, 1) for i in range(4)), (4, 1), (4, 1), (None, 1), (5, 0), (6, 0), *((10 + i, 0) for i in range(30))])
+    clean = Counter((r["doc_id"], r["text"]) for r in disclosure.sanitised(rows_of(rows)).collect())
+    assert clean[(4, "the [TERM] was fine, harbourmasters were not")] == 1 and clean[(None, "[TERM]")] == 1
+    assert clean[(0, f"notice 0 from [EMAIL]. {far}Signed, [TERM]")] == 1
+
+
 # --- addresses ----------------------------------------------------------------
 
 
