@@ -68,3 +68,45 @@ j AS (SELECT b.*, {distance('p', 'rp')} AS dp, {distance('c', 'rc')} AS dc FROM
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce((chars >= {Q.MIN_CHARS_FOR_CLASSES} AND dp > {Q.MAX_CLASS_DISTANCE})
     OR (n_words >= {Q.MIN_WORDS_FOR_WORDS} AND dc > {Q.MAX_WORD_DISTANCE}), false) AS kept FROM j"""
+
+
+def centroids(k: int = 40, dims: int = 64, scale: int = 256, rounds: int = 5, prefix: str = "2:") -> str:
+    def assign(i: int) -> str:
+        return f"""a{i} AS (SELECT vec_id, v, r, m.d AS distance, m.c AS cluster FROM (SELECT vec_id, r, any_value(x.v) AS v, min({{'d':
+  list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': y.c}}) AS m
+  FROM x, c{i} y GROUP BY vec_id, r) q)"""
+
+    def move(i: int) -> str:
+        return f"""e{i} AS (SELECT cluster AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, {dims + 1})) AS j) t GROUP BY ALL),
+n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS v FROM e{i} GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(n{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN n{i} USING (c))"""
+
+    steps = ",\n".join(f"{assign(i)},\n{move(i)}" for i in range(rounds))
+    return f"""
+WITH x AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda e: floor({scale} * CAST(e AS DOUBLE))::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('{prefix}' || vec_id), v) - 1 AS INT) AS c, v FROM x WHERE vec_id IS NOT NULL
+  ORDER BY sha256('{prefix}' || vec_id), v LIMIT {k}),
+{steps},
+{assign(rounds)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = cluster"""
+
+
+def ranked_search(top: int = 10) -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+    def terms(table: str, key: str) -> str:
+        return f"""SELECT {key}, term, count(*) AS tf FROM (SELECT {key},
+  unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{term}')) AS term FROM {table}) q GROUP BY ALL"""
+
+    return f"""
+WITH t AS ({terms("documents", "doc_id")}), i AS ({terms("(SELECT DISTINCT * FROM benchmark)", "item_id")}),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term),
+f AS (SELECT item_id, doc_id, CAST(sum(i.tf * w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (25 + (75 * n * docs) // len)))) AS BIGINT) AS score
+  FROM i JOIN t USING (term) JOIN w USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM f WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {top}"""

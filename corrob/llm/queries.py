@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from corrob.llm import (
-    decontaminate, disclosure, licenses, mixing, nearcopies, oracles, quality, repeats, token_shards, toxicity, url_templates)
+    centroids, decontaminate, disclosure, fingerprints, licenses, mixing, nearcopies, oracles, quality, ranked_search, repeats,
+    token_shards, toxicity, url_templates)
 from corrob.llm.common import table
 
 QUERIES: dict = {}
@@ -75,3 +76,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_sentences")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroid_clusters", oracles.centroids())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_ranked_search", oracles.ranked_search())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_golay_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.simhash_copies(table(spark, sf_dir, "documents"))
