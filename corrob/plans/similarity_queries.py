@@ -9,13 +9,13 @@ from corrob.functions import scores as S
 from corrob.functions import text as X
 from corrob.functions import vectors as VX
 from corrob.operators import similarity as O
-from corrob.operators.cluster import arrival_wave, backfill, cluster_events
+from corrob.operators.cluster import SCALE, WINDOW_US, arrival_wave, backfill, cluster_events, md5_embedder
 from corrob.plans import views
 from corrob.plans.registry import query
 from corrob.plans.views import sql_norm, table, with_views
 from corrob.sources.feeds import read_page_entries
 
-WAVE_HOURS = 144
+WAVE_HOURS = 360
 
 
 def embeddings(spark, sf_dir):
@@ -143,24 +143,63 @@ def combined_similarity(spark, sf_dir):
         S.within_window(F.col("ts"), F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")).alias("in_window"))
 
 
-@query("cluster_events")
+def clustered_sql(view: str = "reports") -> str:
+    """CTEs up to ``edges``: reports one after another, each against the events as they stand.
+
+    The state of the recursion is the list of events within the time window;
+    the view's reports have one place, and one event type for all.
+    """
+    tokens = _tokens_sql(f"(SELECT DISTINCT title AS id, title FROM {view})", "title")
+    return f"""{tokens}, {_WEIGHTS},
+vocabulary AS (SELECT DISTINCT bucket FROM vectors),
+dense AS (SELECT t.id, list(coalesce(round(w * {SCALE}), 0)::DOUBLE ORDER BY v.bucket) AS v
+  FROM (SELECT DISTINCT id FROM vectors) t CROSS JOIN vocabulary v LEFT JOIN vectors x ON x.id = t.id AND x.bucket = v.bucket GROUP BY t.id),
+queue AS MATERIALIZED (SELECT row_number() OVER (ORDER BY retrieved_at, report_id) AS i, report_id, epoch_us(published_at) AS t, place, v,
+  list_sort(['deaths:' || deaths, 'injured:' || injured, 'magnitude:' || magnitude]) AS nums FROM {view} JOIN dense ON dense.id = title),
+pass AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS report_id, NULL::BIGINT AS event_id, NULL::DOUBLE AS score, false AS is_new,
+    []::STRUCT(id BIGINT, seq BIGINT, last BIGINT, place VARCHAR, nums VARCHAR[], s DOUBLE[])[] AS live
+  UNION ALL
+  SELECT i, report_id, CASE WHEN fits THEN best.id ELSE report_id END, CASE WHEN fits THEN best.score ELSE 1.0 END, NOT fits,
+    CASE WHEN fits THEN list_transform(live, lambda e: CASE WHEN e.seq = best.seq THEN {{'id': e.id, 'seq': e.seq, 'last': greatest(e.last, t),
+      'place': e.place, 'nums': e.nums, 's': list_transform(list_zip(e.s, v), lambda z: z[1] + z[2])}} ELSE e END)
+    ELSE list_append(live, {{'id': report_id, 'seq': i, 'last': t, 'place': place, 'nums': nums, 's': v}}) END
+  FROM (SELECT *, coalesce(round(best.score, 9) >= {V.CLUSTER_THRESHOLD}, false) AS fits FROM (
+    SELECT *, list_sort(list_transform(cosines, lambda c: {{'a': -round({V.WEIGHT_SEMANTIC} * c.cos + c.rest, 9), 'b': -round(c.cos, 9), 'seq': c.seq, 'id': c.id,
+        'score': {V.WEIGHT_SEMANTIC} * c.cos + c.rest}}))[1] AS best FROM (
+      SELECT *, list_transform(live, lambda e: {{'id': e.id, 'seq': e.seq,
+        'cos': list_dot_product(e.s, v) / (sqrt(list_dot_product(e.s, e.s)) * sqrt(list_dot_product(v, v))),
+        'rest': CASE WHEN e.place = place THEN {V.WEIGHT_ENTITY} ELSE 0 END
+          + {V.WEIGHT_NUMBER} * len(list_intersect(e.nums, nums)) / len(list_distinct(list_concat(e.nums, nums)))}}) AS cosines FROM (
+        SELECT q.i, q.report_id, q.t, q.place, q.v, q.nums, list_filter(p.live, lambda e: q.t - e.last <= {WINDOW_US}) AS live
+        FROM pass p JOIN queue q ON q.i = p.i + 1) a) b) c) d),
+edges AS (SELECT event_id, report_id, round(score, 4) AS similarity_score, is_new AS is_primary FROM pass WHERE report_id IS NOT NULL)
+"""
+
+
+CLUSTERED_SQL = with_views("reports").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + clustered_sql()
+
+
+@query("cluster_events", CLUSTERED_SQL + """
+SELECT event_id, any_value(h.title) AS title, 'earthquake' AS event_type, count(*) AS report_count,
+  strftime(any_value(h.published_at), '%Y-%m-%d %H:%M:%S') AS first_detected_at, strftime(max(r.published_at), '%Y-%m-%d %H:%M:%S') AS last_activity
+FROM edges JOIN reports r USING (report_id) JOIN reports h ON h.report_id = event_id GROUP BY event_id""")
 def clusters(spark, sf_dir):
     """Events found in the reports: members, span and type of each."""
-    events, _ = cluster_events(views.reports(spark, sf_dir), arrival_wave(WAVE_HOURS))
+    events, _ = cluster_events(views.reports(spark, sf_dir), embedder=md5_embedder)
     return events.select("event_id", "title", "event_type", "report_count",
                          F.date_format("first_detected_at", "yyyy-MM-dd HH:mm:ss").alias("first_detected_at"),
                          F.date_format("last_activity", "yyyy-MM-dd HH:mm:ss").alias("last_activity"))
 
 
-@query("cluster_edges", with_views("reports") + "SELECT report_id FROM reports")
+@query("cluster_edges", CLUSTERED_SQL + "SELECT event_id, report_id, similarity_score, is_primary FROM edges")
 def cluster_edges(spark, sf_dir):
-    """Every report lands in exactly one event."""
-    _, edges = cluster_events(views.reports(spark, sf_dir), arrival_wave(WAVE_HOURS))
-    return edges.select("report_id")
+    """The event of every report, taken in two waves."""
+    _, edges = cluster_events(views.reports(spark, sf_dir), arrival_wave(WAVE_HOURS), embedder=md5_embedder)
+    return edges.select("event_id", "report_id", "similarity_score", "is_primary")
 
 
 @query("backfill_verified")
 def backfill_verified(spark, sf_dir):
-    verified, _, _ = backfill(views.reports(spark, sf_dir), views.sources(spark, sf_dir), views.as_of_events(),
-                              arrival_wave(WAVE_HOURS))
+    verified, _, _ = backfill(views.reports(spark, sf_dir), views.sources(spark, sf_dir), views.as_of_events())
     return verified.select("event_id", "report_count", "chains", "conflict_count", "confidence_score", "status")

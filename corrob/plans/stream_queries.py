@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corrob.operators.cluster import md5_embedder
 from corrob.plans import views
 from corrob.plans.ingest_queries import DATE, _CLASSIFIED, stamp
 from corrob.plans.ops_queries import HEALTH_SQL
 from corrob.plans.registry import query
-from corrob.plans.views import table, with_views
+from corrob.plans.similarity_queries import CLUSTERED_SQL
+from corrob.plans.views import table
 from corrob.session import working_table
 from corrob.streaming import streams as O
 
@@ -22,7 +24,7 @@ def landed(rows, order, name, batches=BATCHES):
     State, stores and watermarks thus have to carry over from batch to batch.
     """
     spark, path = rows.sparkSession, working_table(rows.sparkSession, f"landed-{name}")
-    place = F.unix_micros(F.col(order).cast("timestamp")) if order == "ts" else F.col(order)
+    place = F.unix_micros(F.col(order).cast("timestamp")) if order in ("ts", "retrieved_at") else F.col(order)
     low, high = rows.agg(F.min(place), F.max(place)).first()
     width = ((high or 0) - (low or 0)) / batches + 1
     for batch in range(batches):
@@ -122,10 +124,10 @@ def quiet_spells(spark, sf_dir):
         "event_id", stamp("first").alias("first"), stamp("last").alias("last"), "updates", stamp("archived_at").alias("archived_at"))
 
 
-@query("stream_clusters", with_views("reports") + "SELECT report_id FROM reports")
+@query("stream_clusters", CLUSTERED_SQL + "SELECT event_id, report_id FROM edges")
 def stream_clusters(spark, sf_dir):
-    """Reports clustered as a stream; each ends up in exactly one event."""
-    reports = landed(views.reports(spark, sf_dir), "report_id", "reports", 3)
+    """Reports clustered as a stream of micro-batches, to the events of the one-at-a-time pass."""
+    reports = landed(views.reports(spark, sf_dir), "retrieved_at", "reports", 3)
     out = working_table(spark, "clusters")
-    O.stream_cluster(reports, out, working_table(spark, "clusters-progress")).awaitTermination()
-    return spark.read.parquet(f"{out}/edges").select("report_id")
+    O.stream_cluster(reports, out, working_table(spark, "clusters-progress"), embedder=md5_embedder).awaitTermination()
+    return spark.read.parquet(f"{out}/edges").select("event_id", "report_id")

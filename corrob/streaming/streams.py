@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corrob import fixed_values as V
 from corrob.functions.scores import hours_between
-from corrob.operators.cluster import EVENT_COLUMNS, cluster_events, empty_events
+from corrob.operators.cluster import cluster_batch, default_embedder
 from corrob.operators.ingest import classify_entries
 from corrob.session import working_table
 
@@ -74,26 +74,20 @@ def late_or_future(reports: DataFrame, as_of: Column, last_activity: Column) ->
 # --- clustering --------------------------------------------------------------
 
 
-def stream_cluster(reports: DataFrame, state_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Cluster every micro-batch, as one wave, against the events found so far.
+def stream_cluster(reports: DataFrame, state_path: str, checkpoint: str, available_now: bool = True,
+                   embedder=default_embedder) -> StreamingQuery:
+    """Cluster every micro-batch against the events found so far; the trigger does not change the result.
 
-    Events quiet for longer than the archive limit leave the live state.
-    Results: ``<state_path>/events/batch=N`` (state after batch N) and
-    ``<state_path>/edges/batch=N``.
+    Results: ``<state_path>/events/batch=N``, the events that batch N touched
+    (the newest version of an event counts), and ``<state_path>/edges/batch=N``.
+    A batch reads the versions within reach of its own times only.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _earlier_batches(spark, f"{state_path}/events", batch_id)
-        if known is None:
-            live = empty_events(spark, batch)
-        else:
-            newest = known.agg(F.max("batch")).scalar()
-            live = known.filter(F.col("batch") == newest).select(*EVENT_COLUMNS)
-            clock = live.agg(F.max("last_activity")).scalar()
-            live = live.filter(hours_between(clock, F.col("last_activity")) <= V.STALE_EVENT_HOURS)
-        events, edges = cluster_events(batch, F.lit(batch_id), live)
-        events.write.mode("overwrite").parquet(f"{state_path}/events/batch={batch_id}")
+        known = _earlier_batches(batch.sparkSession, f"{state_path}/events", batch_id)
+        versions = None if known is None else known.withColumnRenamed("batch", "version")
+        touched, edges = cluster_batch(batch, versions, embedder)
+        touched.write.mode("overwrite").parquet(f"{state_path}/events/batch={batch_id}")
         edges.write.mode("overwrite").parquet(f"{state_path}/edges/batch={batch_id}")
 
     return _start(reports, handle, checkpoint, available_now=available_now)

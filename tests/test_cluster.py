@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 from collections import Counter
 from hashlib import blake2b
 
@@ -13,9 +14,11 @@ from corrob.functions.facts import report_facts
 from corrob.functions.scores import combined_similarity
 from corrob.functions.text import jaccard
 from corrob.functions.vectors import embed_tokens, hash_embedding, sparse_dot
-from corrob.operators.cluster import arrival_wave, cluster_events
+from corrob.operators import cluster
+from corrob.operators.cluster import SCALE, arrival_wave, cluster_events, latest_events
 from corrob.operators.similarity import lexically_first
 from corrob.operators.verify import event_members, independent_chains, verify_events
+from corrob.streaming.streams import stream_cluster
 
 T0 = dt.datetime(2025, 10, 6, 8, 0)
 SCHEMA = "report_id bigint, source_id bigint, title string, description string, published_at timestamp, retrieved_at timestamp"
@@ -78,44 +81,57 @@ def test_corpus_is_one_event_with_three_chains(spark):
 
 
 def brute_force(rows):
-    """The one-at-a-time procedure, spelled out on dicts."""
-    def embed(title, spark_tokens):
-        counts = Counter(int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "big") % V.EMBEDDING_DIM
-                         for t in spark_tokens)
+    """The one-at-a-time procedure, spelled out on dicts: {report: (event, score)}."""
+    def embed(tokens):
+        counts = Counter(int.from_bytes(blake2b(t.encode(), digest_size=8).digest(), "big") % V.EMBEDDING_DIM for t in tokens)
         w = {b: 1 + math.log(n) for b, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
-        return {b: x / norm for b, x in w.items()} if norm else {}
+        return {b: math.floor(x / norm * SCALE + 0.5) for b, x in w.items()} if norm else {}
 
     def share(a, b):
         return len(a & b) / len(a | b) if a and b else 0.0
 
+    def length(vec):
+        return math.sqrt(sum(x * x for x in vec.values()))
+
     events, edges = [], {}
-    for rid, facts, title, when, tokens in rows:
+    for rid, facts, when, tokens in rows:
         ents = {f["value_text"].lower() for f in facts if f["fact_type"] == "entity"}
         nums = {f["fact_key"] for f in facts if f["fact_type"] == "number"}
         kind = next((f["value_text"] for f in facts if f["fact_type"] == "event_type"), None)
-        vec = embed(title, tokens)
-        best, best_score = None, 0.0
-        for e in events:
+        vec, best = embed(tokens), None
+        for place, e in enumerate(events):
             if abs((when - e["last"]).total_seconds()) > V.EVENT_WINDOW_HOURS * 3600:
                 continue
-            norm = math.sqrt(sum(x * x for x in e["sum"].values()))
-            cos = sum(x * e["sum"].get(b, 0.0) for b, x in vec.items()) / norm if norm else 0.0
+            norm = length(e["sum"]) * length(vec)
+            cos = sum(x * e["sum"].get(b, 0) for b, x in vec.items()) / norm if norm else 0.0
             score = .8 * max(cos, 0) + .15 * share(ents, e["ents"]) + .05 * share(nums, e["nums"])
             if kind and e["kind"] and kind != e["kind"]:
                 score *= V.TYPE_MISMATCH_PENALTY
-            if score > best_score + 1e-9:
-                best, best_score = e, score
-        if best is None or best_score < V.CLUSTER_THRESHOLD:
-            best = dict(id=rid, ents=ents, nums=nums, kind=kind, sum=Counter(), last=when)
-            events.append(best)
+            rank = (-round(score, 9), -round(cos, 9), place)
+            if round(score, 9) >= V.CLUSTER_THRESHOLD and (best is None or rank < best[0]):
+                best = rank, e, score
+        if best is None:
+            best = None, dict(id=rid, ents=ents, nums=nums, kind=kind, sum=Counter(), last=when), 1.0
+            events.append(best[1])
+        event = best[1]
         for b, x in vec.items():
-            best["sum"][b] += x
-        best["last"] = max(best["last"], when)
-        edges[rid] = best["id"]
+            event["sum"][b] += x
+        event["last"] = max(event["last"], when)
+        edges[rid] = event["id"], round(best[2], 4)
     return edges
 
 
+def one_at_a_time(reports):
+    rows = reports.withColumns({"tokens": embed_tokens(F.col("title")), "facts": report_facts(F.col("title"), F.coalesce("description", F.lit("")))})
+    return brute_force([(r["report_id"], r["facts"], r["published_at"] or r["retrieved_at"], r["tokens"])
+                        for r in rows.orderBy("retrieved_at", "report_id").collect()])
+
+
+def edges_of(edges):
+    return {r["report_id"]: (r["event_id"], r["similarity_score"]) for r in edges.collect()}
+
+
 HEADLINES = [
     ("Earthquake strikes Japan killing 12", 0), ("Quake hits Japan", 2), ("Flooding in Kenya displaces thousands", 3),
     ("Strong quake hits Japan killing 5", 10), ("Earthquake strikes Chile killing 12", 12), ("12 to 13", 13),
@@ -130,14 +146,76 @@ def headlines(spark):
 
 
 def test_waves_of_one_equal_the_one_at_a_time_procedure(spark):
-    reports = headlines(spark)
-    rows = [(r["report_id"], r["facts"], r["title"], r["published_at"], r["tokens"]) for r in reports.withColumns({
-        "tokens": embed_tokens(F.col("title")), "facts": report_facts(F.col("title"), F.col("description"))}).orderBy("report_id").collect()]
-    _, edges = cluster_events(reports, wave=F.col("report_id"))
-    assert {r["report_id"]: r["event_id"] for r in edges.collect()} == brute_force(rows)
+    reports = headlines(spark).filter("report_id < 3")
+    want = one_at_a_time(reports)
+    for wave in (F.col("report_id"), None):
+        assert edges_of(cluster_events(reports, wave)[1]) == want
+
+
+PLACES = ["Japan", "Chile", "Kenya", "Nepal"]
+HAPPENINGS = ["Earthquake strikes {}", "Strong quake hits {} coast", "{} floods displace thousands", "Flooding in {} after quake", "12 to 13",
+              "Rescue teams reach {} quake victims", "{} coast: strong earthquake, flooding"]
+
+
+def mixture(spark, n=240, seed=1):
+    """Related stories in free mixture: late and early reports, silences, repeated headlines."""
+    rng = random.Random(seed)
+    rows, hour = [], 0.0
+    for i in range(n):
+        hour += rng.choice([0.1, 1, 4, 4, 9, 20]) + (100 if i in (n // 3, n // 2) else 0)
+        title = rng.choice(HAPPENINGS).format(rng.choice(PLACES)) + rng.choice(["", "", " killing 12", " killing 5"])
+        occurred = None if rng.random() < 0.1 else T0 + dt.timedelta(hours=hour - rng.choice([0, 0, 1, 30, 70]))
+        rows.append((i, 1, title, rng.choice([None, "", "A magnitude 6.8 earthquake."]), occurred, T0 + dt.timedelta(hours=hour)))
+    return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("wave", [lambda: F.col("report_id"), lambda: arrival_wave(1), lambda: arrival_wave(24), lambda: F.lit(0)])
+def test_result_depends_on_neither_waves_nor_stretches(spark, monkeypatch):
+    reports = mixture(spark)
+    want = one_at_a_time(reports)
+    assert 10 < len({e for e, _ in want.values()}) < 150
+    events, edges = cluster_events(reports)
+    assert edges_of(edges) == want
+    members = Counter(e for e, _ in want.values())
+    assert {r["event_id"]: r["report_count"] for r in events.collect()} == members
+    # stretches so short that most start from a guess and are run again
+    monkeypatch.setattr(cluster, "STRETCH", 40)
+    assert edges_of(cluster_events(reports)[1]) == want
+    events, edges = cluster_events(reports, arrival_wave(480))
+    assert edges_of(edges) == want
+    assert {r["event_id"]: r["report_count"] for r in events.collect()} == members
+
+
+def test_another_embedder_and_odd_reports(spark):
+    rows = [(1, 1, None, None, None, T0), (2, 1, "", "", None, T0), (3, 1, "12", None, T0, T0), (4, 1, "12", None, T0, T0),
+            (5, 1, "Quake hits Japan", None, T0, T0), (6, 1, "Quake hits Japan", None, T0, T0), (7, 1, "Quake hits Japan " * 3000, None, T0, T0)]
+    reports = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("sig", "unit", "task", "vec", "n", "day", "node")})
+    _, edges = cluster_events(reports, embedder=cluster.md5_embedder)
+    got = {r["report_id"]: r["event_id"] for r in edges.collect()}
+    assert [got[i] for i in range(1, 5)] == [1, 2, 3, 4] and got[6] == got[7] == 5
+    flat = lambda texts: texts.withColumn("vec", F.expr("array(named_struct('bucket', 1, 'w', 1.0D))"))
+    _, edges = cluster_events(reports, embedder=flat)
+    assert {r["event_id"] for r in edges.collect()} == {1}
+    events, edges = cluster_events(reports.limit(0))
+    assert events.count() == 0 == edges.count()
+
+
+def test_stream_gives_the_events_of_the_batch(spark, tmp_path):
+    reports = mixture(spark, 90, 2).cache()
+    want, landed = one_at_a_time(reports), str(tmp_path / "in")
+    for low in (0, 20, 75):  # micro-batches of unequal size
+        high = {0: 20, 20: 75, 75: 90}[low]
+        reports.filter(f"report_id >= {low} and report_id < {high}").coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    stream_cluster(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert edges_of(spark.read.parquet(str(tmp_path / "out" / "edges"))) == want
+    versions = spark.read.parquet(str(tmp_path / "out" / "events")).withColumnRenamed("batch", "version")
+    assert {r["event_id"]: r["report_count"] for r in latest_events(versions).collect()} == Counter(e for e, _ in want.values())
+    # a batch writes the events it touched, not all there are
+    sizes = [r["count"] for r in versions.groupBy("version").count().orderBy("version").collect()]
+    assert len(sizes) == 3 and sizes[-1] < latest_events(versions).count()
+
+
+@pytest.mark.parametrize("wave", [lambda: None, lambda: F.lit(0)])
 def test_equal_headlines_far_apart_are_different_events_in_any_wave(spark, wave):
     title = "Earthquake strikes Japan killing 12"
     rows = [(i, 1, title, f"copy {i % 2}", T0 + dt.timedelta(hours=h), T0 + dt.timedelta(minutes=i)) for i, h in enumerate([0, 1, 400, 60, 401])]
