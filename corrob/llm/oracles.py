@@ -38,8 +38,7 @@ def quality() -> str:
     commons.append(f"len(w) - len(list_filter(w, lambda x: x IN ({', '.join(repr(c) for c in Q.COMMON_WORDS)})))")
 
     def means(name: str, n: int) -> str:
-        few = f"docs < {Q.MIN_DOCS_OF_LANGUAGE}"
-        return ", ".join(f"CASE WHEN {few} THEN sum({name}{i}) OVER () / sum(docs) OVER () ELSE {name}{i} / docs END" for i in range(n))
+        return ", ".join(f"({name}{i} + {Q.PRIOR_DOCS} * sum({name}{i}) OVER () / sum(docs) OVER ()) / (docs + {Q.PRIOR_DOCS})" for i in range(n))
 
     def sums(name: str, n: int) -> str:
         return ", ".join(f"sum({name}[{i + 1}]) AS {name}{i}" for i in range(n))

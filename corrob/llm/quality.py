@@ -4,8 +4,10 @@ A document is kept if it passes the counting rules and if neither of two
 histograms strays from the average of its language: the share of character
 classes, and the share of common words.  The distance is Jensen-Shannon's (the
 square root of the divergence in bits, from 0 to 1).  Texts that are too short
-for a histogram are not judged by it, and a language with few documents is
-judged by the average of all.
+for a histogram are not judged by it.  A language's average is drawn towards
+that of all languages, as if it had PRIOR_DOCS more documents like them: the few
+documents of a rare language do not set its reference alone, and no count
+switches from one reference to another.
 
 Everything is built-in expressions; a text is read once and its counts, a few
 hundred bytes, are what the later steps see.  The references are sums with a
@@ -35,7 +37,7 @@ CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567
 
 MIN_WORDS, MAX_REPEATED = 50, 50  # the counting rules: words at least, per cent of repeated words at most
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_WORDS = 200, 50  # shorter texts have no histogram worth judging
-MIN_DOCS_OF_LANGUAGE = 50  # fewer make no reference
+PRIOR_DOCS = 50  # documents of the average of all languages that every language's reference begins with
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.4
 
 
@@ -118,21 +120,17 @@ def shares(counts: Column) -> Column:
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """One row per language: the mean shares of its documents that pass the counting rules.
-
-    A language with fewer than MIN_DOCS_OF_LANGUAGE such documents gets the mean of all.
-    """
+    """One row per language: the mean shares of its documents that pass the counting rules, and of PRIOR_DOCS average ones."""
     sizes = {"classes": len(CLASSES) + 1, "commons": len(COMMON_WORDS) + 1}
     sums = measured.filter(~F.col("base_failed")).groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"),
         *[F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)])
     flat = [f"{c}{i}" for c, n in sizes.items() for i in range(n)]
     everyone = sums.agg(F.sum("docs").alias("all_docs"), *[F.sum(c).alias(f"all_{c}") for c in flat])
-    few = F.col("docs") < MIN_DOCS_OF_LANGUAGE
 
     def mean(name: str, n: int) -> Column:
-        return F.array(*[F.when(few, F.col(f"all_{name}{i}") / F.col("all_docs")).otherwise(F.col(f"{name}{i}") / F.col("docs"))
-                         for i in range(n)])
+        return F.array(*[(F.col(f"{name}{i}") + PRIOR_DOCS * F.col(f"all_{name}{i}") / F.col("all_docs"))
+                         / (F.col("docs") + PRIOR_DOCS) for i in range(n)])
 
     return sums.crossJoin(everyone).select(F.col("lang").alias("ref_lang"), *[
         mean(c, n).alias(f"ref_{c}") for c, n in sizes.items()])  # one row on the right
@@ -151,7 +149,8 @@ def judge(docs: DataFrame, carry: Column | None = None) -> DataFrame:
         "doc_id", "lang", *([] if carry is None else ["carried"]), "m.n_words", "m.word_chars", "m.n_symbols",
         "m.n_dup_lines", "m.n_repeat_words", "m.chars", base_failed.alias("base_failed"),
         shares(F.col("m.classes")).alias("classes"), shares(F.col("m.commons")).alias("commons")), "quality")
-    met = measured.join(references(measured), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    # written, so that its measured size (a row per language) decides: the documents then stay where they are
+    met = measured.join(stored(references(measured), "references"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     far = ((F.col("chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_words") >= MIN_WORDS_FOR_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     return met.withColumn("class_distance", distance(F.col("classes"), F.col("ref_classes"))).withColumn(
