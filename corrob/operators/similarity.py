@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,16 +14,41 @@ from corrob.functions.vectors import sparse_dot
 from corrob.session import cut_lineage
 
 
-def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], row_key: list[str], salts: int = 8,
-                  how: str = "left") -> DataFrame:
-    """Join facts to a table with one row per key although one key may be very hot.
+def heavy_keys(facts: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(_h, _pieces): keys with more rows than a quarter of an even partition, and in how many pieces to split them.
+
+    Found by a frequency sketch whose partial results merge, in one pass.  At
+    most four keys a shuffle partition can be that heavy, which bounds the
+    table; None if there are none.
+    """
+    spark = facts.sparkSession
+    room = min(10_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total, top = facts.select(F.xxhash64(*keys).alias("_h")).agg(
+        F.count(F.lit(1)), F.expr(f"approx_top_k(_h, {room}, {min(1_000_000, 16 * room)})")).first()
+    share = max(1.0, total / room)
+    heavy = [(r["item"], math.ceil(r["count"] / share)) for r in top or [] if r["count"] > share]
+    return spark.createDataFrame(heavy, "_h bigint, _pieces int") if heavy else None
+
+
+def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], row_key: list[str], how: str = "left") -> DataFrame:
+    """Join facts to a table with one row per key although a few keys may be very hot.
 
-    The narrow side is repeated ``salts`` times and the wide side spreads each
-    key over as many partitions by a hash of its own row key.
+    Only the keys measured as heavy are split, in proportion to their rows: the
+    wide side by a hash of its own row key, the narrow side by a copy for each
+    piece.
     """
-    wide = facts.withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)).cast("int"))
-    narrow = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return wide.join(narrow, [*keys, "_salt"], how).drop("_salt")
+    heavy = heavy_keys(facts, keys)
+    if heavy is None:
+        return facts.join(dim, keys, how)
+
+    def pieces(df: DataFrame) -> DataFrame:
+        # broadcast: a few rows a shuffle partition at most
+        return df.withColumn("_h", F.xxhash64(*keys)).join(F.broadcast(heavy), "_h", "left").withColumn(
+            "_pieces", F.coalesce("_pieces", F.lit(1)))
+
+    wide = pieces(facts).withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.col("_pieces").cast("bigint")).cast("int"))
+    narrow = pieces(dim).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    return wide.drop("_h", "_pieces").join(narrow.drop("_h", "_pieces"), [*keys, "_salt"], how).drop("_salt")
 
 
 def bucket_ranks(vectors: DataFrame, vec: str = "vec") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corrob.operators.editorial import unique_slugs
 from corrob.operators.serve import address_bits, event_review, list_jobs, rejected_queue
+from corrob.operators.similarity import heavy_keys, salted_lookup
 from corrob.operators.verify import merge_conflicts
 from corrob.sources.catalogue import merge_upsert
 from corrob.sources.feeds import parse_entry_ts
@@ -63,3 +64,20 @@ def test_addresses(spark, ip):
     except ValueError:
         want = None
     assert spark.range(1).select(address_bits(F.lit(ip)).alias("b")).first()["b"] == want
+
+
+def test_heavy_keys_are_split_in_proportion(spark):
+    """A third of the rows on one key, a null key, light keys: the join is whole and no piece of it is large."""
+    rows = spark.range(30_000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 4000).alias("k"))
+    dim = spark.range(-1, 3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    pieces = {r["_h"]: r["_pieces"] for r in heavy_keys(rows, ["k"]).collect()}
+    hot = rows.filter("k = -1").select(F.xxhash64("k").alias("h")).first()["h"]
+    share = 30_000 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert pieces[hot] >= 10_000 / share and len(pieces) <= 2
+    largest = rows.filter("k = -1").groupBy(F.pmod(F.xxhash64("id"), F.lit(pieces[hot]))).count().agg(F.max("count")).first()[0]
+    assert largest <= 1.2 * share
+    for how in ("left", "inner"):
+        got = sorted(map(str, salted_lookup(rows, dim, ["k"], ["id"], how=how).select("id", "k", "v").collect()))
+        assert got == sorted(map(str, rows.join(dim, "k", how).select("id", "k", "v").collect()))
+    assert heavy_keys(spark.range(0).withColumnRenamed("id", "k"), ["k"]) is None
