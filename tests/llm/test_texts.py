@@ -55,6 +55,17 @@ def test_quality_keeps_prose_and_drops_noise(rows_of):
     assert quality.keep_good(clash(df)).columns == clash(df).columns
 
 
+def test_documents_stay_in_place_and_a_rare_language_is_drawn_to_the_average(rows_of):
+    rng = random.Random(2)
+    words = "the of and to house river long road town mill farm sea summer old big stone gate hill walked seen".split()
+    rows = [(i, " ".join(rng.choice(words) + rng.choice(["", "", "s", "ly"]) for _ in range(120)), "en") for i in range(40)]
+    df = rows_of(rows + [(99, " ".join(f"#{i * 7919}%$|" for i in range(120)), "xx")], "doc_id bigint, text string, lang string")
+    plan = quality.keep_good(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lang" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert all(kept[i] for i in range(40)) and not kept[99]  # alone in its language, yet not its own measure
+
+
 def test_quality_of_nothing(rows_of):
     assert quality.judge(rows_of([], "doc_id bigint, text string, lang string")).collect() == []
 
