@@ -62,16 +62,25 @@ def classify_entries(entries: DataFrame, store: DataFrame | None, as_of: Column)
     the unique ``entry_id``: a hash shared by a third of all rows moves no
     more data than any other.
     """
+    known_urls = known_contents = None
+    if store is not None:
+        known_urls = store.select(F.col("canonical_url_hash").alias("url_hash"))
+        known_contents = store.select("content_hash")
+    return classify_hashed(hash_entries(entries, as_of), known_urls, known_contents)
+
+
+def hash_entries(entries: DataFrame, as_of: Column) -> DataFrame:
+    """Entries with canonical_url, reject_reason, url_hash and content_hash."""
     if "published_at" not in entries.columns:
         entries = entries.withColumn("published_at", F.lit(None).cast("timestamp"))
-    checked = validate_entries(entries, as_of).withColumn("url_hash", F.sha2("canonical_url", 256)).withColumn(
+    return validate_entries(entries, as_of).withColumn("url_hash", F.sha2("canonical_url", 256)).withColumn(
         "content_hash", content_hash(F.col("title"), F.col("description")))
+
+
+def classify_hashed(checked: DataFrame, known_urls: DataFrame | None, known_contents: DataFrame | None) -> DataFrame:
+    """``outcome`` of hashed entries, given the address and content hashes that are kept already."""
     usable = checked.filter(F.col("reject_reason").isNull())
     by_url = _first_per(usable, "url_hash", "content_hash")
-    known_urls = known_contents = None
-    if store is not None:
-        known_urls = store.select(F.col("canonical_url_hash").alias("url_hash"))
-        known_contents = store.select("content_hash")
     by_url = _flag_known(by_url, known_urls, "url_hash", "url_known")
     by_content = _first_per(by_url.filter(~F.col("url_known")), "content_hash")
     by_content = _flag_known(by_content, known_contents, "content_hash", "content_known")

@@ -34,11 +34,13 @@ def bucketed_rank(rows: DataFrame, key: str, order: list[str], bucket: Column) -
         "from_end", F.col("_inside") + F.col("offset")).drop("_inside", "offset", "_bucket")
 
 
-def ewma_latency(polls: DataFrame) -> DataFrame:
-    """(source_id, avg_latency_ms): the first sample, then each new one blended in.
+def latency_parts(polls: DataFrame) -> DataFrame:
+    """(source_id, samples, blend, oldest): what a stretch of polls does to the moving average.
 
-    The fold has a closed form, a weighted sum whose weight depends only on the
-    number of later samples, so it is an ordinary aggregate.
+    An average ``a`` before the stretch becomes ``0.7^samples * a + blend``; at
+    the start ``oldest``, the first sample, stands for ``a``.  The weight of a
+    sample depends only on the number of later ones, so this is an ordinary
+    aggregate, and stretches can be joined end to end.
     """
     samples = polls.filter(F.col("latency_ms").isNotNull())
     hour = F.floor(micros(F.col("checked_at")) / 3_600_000_000)
@@ -47,9 +49,20 @@ def ewma_latency(polls: DataFrame) -> DataFrame:
     weight = F.pow(F.lit(keep), F.col("from_end").cast("double"))
     sums = ranked.groupBy("source_id").agg(
         F.sum(V.LATENCY_SMOOTHING * weight * F.col("latency_ms")).alias("blend"),
-        F.max(F.struct("from_end", "latency_ms")).alias("oldest"))
-    seed = F.pow(F.lit(keep), F.col("oldest.from_end").cast("double") + 1) * F.col("oldest.latency_ms")
-    return sums.select("source_id", (F.col("blend") + seed).alias("avg_latency_ms"))
+        F.max(F.struct("from_end", "latency_ms")).alias("first"))
+    return sums.select("source_id", (F.col("first.from_end") + 1).cast("double").alias("samples"), "blend",
+                       F.col("first.latency_ms").alias("oldest"))
+
+
+def _average(before: Column) -> Column:
+    """The moving average after a stretch with the columns of ``latency_parts``."""
+    faded = F.pow(F.lit(1.0 - V.LATENCY_SMOOTHING), F.col("samples"))
+    return F.col("blend") + faded * F.coalesce(before, F.col("oldest"))
+
+
+def ewma_latency(polls: DataFrame) -> DataFrame:
+    """(source_id, avg_latency_ms): the first sample, then each new one blended in."""
+    return latency_parts(polls).select("source_id", _average(F.lit(None)).alias("avg_latency_ms"))
 
 
 def failure_streaks(polls: DataFrame) -> DataFrame:
@@ -75,13 +88,43 @@ def failure_streaks(polls: DataFrame) -> DataFrame:
         F.when(~F.col("last.ok"), F.col("last.error")).alias("last_error"))
 
 
+def _status() -> Column:
+    """A source without a running streak of failures was last polled with success."""
+    slow = F.coalesce(F.col("avg_latency_ms") > V.SLOW_LATENCY_MS, F.lit(False))
+    return (F.when(F.col("consecutive_failures") == 0, F.when(slow, "degraded").otherwise("healthy"))
+            .when(F.col("consecutive_failures") >= V.DOWN_AFTER, "down").otherwise("degraded"))
+
+
 def source_health(polls: DataFrame) -> DataFrame:
     """Health of every polled source, folded from the poll log."""
     folded = failure_streaks(polls).join(ewma_latency(polls), "source_id", "left")
-    slow = F.coalesce(F.col("avg_latency_ms") > V.SLOW_LATENCY_MS, F.lit(False))
-    status = (F.when(F.col("last_ok"), F.when(slow, "degraded").otherwise("healthy"))
-              .when(F.col("consecutive_failures") >= V.DOWN_AFTER, "down").otherwise("degraded"))
-    return folded.withColumn("status", status).drop("last_ok")
+    return folded.withColumn("status", _status()).drop("last_ok")
+
+
+def continue_health(health: DataFrame, polls: DataFrame) -> DataFrame:
+    """``health`` (of ``source_health``) after more polls, which count as later than all before.
+
+    Polls are summed up by source first, so a source with a third of them
+    costs no more than another, and one row a source meets one row a source.
+    """
+    more = failure_streaks(polls).join(latency_parts(polls), "source_id", "left")
+    was = health.select("source_id", F.struct(*[c for c in health.columns if c != "source_id"]).alias("was"))
+    j = was.join(more, "source_id", "full")
+
+    def added(c: str) -> Column:
+        return (F.coalesce(F.col(f"was.{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).alias(c)
+
+    def later(c: str) -> Column:
+        return F.greatest(F.col(f"was.{c}"), F.col(c)).alias(c)
+
+    polled = F.col("last_ok").isNotNull()
+    streak = F.when(F.col("success_count") > 0, F.col("consecutive_failures")).otherwise(added("consecutive_failures"))
+    average = F.when(F.col("samples").isNull(), F.col("was.avg_latency_ms")).otherwise(_average(F.col("was.avg_latency_ms")))
+    folded = j.select("source_id", added("success_count"), added("failure_count"), streak.alias("consecutive_failures"),
+                      later("last_success_at"), later("last_failure_at"), later("last_checked_at"),
+                      F.when(polled, F.col("last_error")).otherwise(F.col("was.last_error")).alias("last_error"),
+                      average.alias("avg_latency_ms"))
+    return folded.withColumn("status", _status()).select(*health.columns)
 
 
 def source_health_report(sources: DataFrame, health: DataFrame, status: str | None = None,

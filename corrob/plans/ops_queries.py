@@ -11,7 +11,9 @@ from corrob.plans import views
 from corrob.plans.ingest_queries import DATE, stamp
 from corrob.plans.registry import query
 from corrob.plans.views import table, with_views
+from corrob.session import working_table
 from corrob.sources import catalogue as C
+from corrob.sources.keyed import KeyedTable
 
 _HEALTH = """numbered AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY checked_at DESC, poll_id DESC) - 1 AS k,
   count(*) OVER (PARTITION BY source_id) AS n FROM polls),
@@ -63,14 +65,20 @@ def source_health_report(spark, sf_dir):
         "slug", "name", "enabled", "is_international", "status", "consecutive_failures", "success_count", "failure_count")
 
 
-@query("overdue_sources", HEALTH_SQL + f"""
+OVERDUE_SQL = HEALTH_SQL + f"""
 , due AS (SELECT source_id, coalesce(last_success_at, last_failure_at) + to_seconds(poll_interval_seconds * least(greatest(coalesce(consecutive_failures, 0), 1), 8)) AS d
   FROM sources LEFT JOIN health USING (source_id) WHERE enabled)
-SELECT source_id, strftime(coalesce(d, TIMESTAMP '2024-01-30 23:00:00'), '{DATE}') AS next_due FROM due WHERE d IS NULL OR d <= TIMESTAMP '2024-01-30 23:00:00'""")
+SELECT source_id, strftime(coalesce(d, TIMESTAMP '2024-01-30 23:00:00'), '{DATE}') AS next_due FROM due WHERE d IS NULL OR d <= TIMESTAMP '2024-01-30 23:00:00'"""
+
+
+def overdue_report(sources, health, clock):
+    return O.overdue_sources(sources, health, clock).select("source_id", stamp("next_due").alias("next_due"))
+
+
+@query("overdue_sources", OVERDUE_SQL)
 def overdue_sources(spark, sf_dir):
     clock = F.lit("2024-01-30 23:00:00").cast("timestamp_ntz")
-    return O.overdue_sources(views.sources(spark, sf_dir), health(spark, sf_dir), clock).select(
-        "source_id", stamp("next_due").alias("next_due"))
+    return overdue_report(views.sources(spark, sf_dir), health(spark, sf_dir), clock)
 
 
 @query("offline_sources", HEALTH_SQL + "SELECT name FROM sources JOIN health USING (source_id) WHERE enabled AND consecutive_failures >= 1")
@@ -344,3 +352,33 @@ def append_new(spark, sf_dir):
     batch = table(spark, sf_dir, "events").select(key.alias("key"), "event_type")
     known = batch.filter(F.col("event_type") == "click").select("key")
     return C.append_new(known, batch.select("key"), "key")
+
+
+@query("upsert_sink", """
+SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, CAST(max(o_orderdate) AS VARCHAR) AS o_orderdate
+FROM (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders) o GROUP BY o_custkey""")
+def upsert_sink(spark, sf_dir):
+    """The newest order of every customer, years upserted one after another, each of them sent twice."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    sink = KeyedTable(spark, working_table(spark, "newest"), ["o_custkey"], 8)
+    years = [r["y"] for r in orders.select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
+    for batch, year in enumerate(years):
+        for _ in range(2):
+            sink.upsert(orders.filter(F.year("o_orderdate") == year), ["o_orderdate", "o_orderkey"], batch)
+    return sink.read().withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@query("append_sink", """
+SELECT DISTINCT 'poll:' || CAST(user_id AS VARCHAR) || ':' || CAST(epoch_us(ts) // 3600000000 AS VARCHAR) AS key, min(event_id) AS event_id FROM events GROUP BY 1""")
+def append_sink(spark, sf_dir):
+    """Idempotency keys per user and hour, appended in four batches in the order of events, each sent twice; the first event counts."""
+    key = F.concat_ws(":", F.lit("poll"), F.col("user_id").cast("string"),
+                      F.floor(O.micros(F.col("ts")) / 3_600_000_000).cast("string"))
+    rows = table(spark, sf_dir, "events").select(key.alias("key"), "event_id")
+    top = rows.agg(F.max("event_id")).first()[0] or 0
+    sink = KeyedTable(spark, working_table(spark, "keys"), ["key"], 8)
+    for batch in range(4):
+        part = F.floor(F.col("event_id") * 4 / F.lit(top + 1)) == batch
+        for _ in range(2):
+            sink.append_new(rows.filter(part), ["event_id"], batch)
+    return sink.read()

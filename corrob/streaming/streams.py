@@ -7,17 +7,17 @@ the stored result.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corrob import fixed_values as V
 from corrob.functions.scores import hours_between
 from corrob.operators.cluster import cluster_batch, default_embedder
-from corrob.operators.ingest import classify_entries
+from corrob.operators.ingest import classify_hashed, hash_entries
+from corrob.operators.ops import continue_health, source_health
 from corrob.session import working_table
+from corrob.sources.keyed import KeyedTable
 
 
 def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -29,6 +29,38 @@ def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame
     return spark.read.parquet(path).filter(F.col("batch") < batch_id)
 
 
+class Snapshots:
+    """One small table per batch, ``batch=N``, made from the newest of an earlier batch.
+
+    A batch that runs again reads the same earlier table and overwrites its
+    own; older tables than those two are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path
+        self._place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batches(self) -> list[int]:
+        if not self._fs.exists(self._place(self._path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._place(self._path))]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        earlier = [b for b in self._batches() if b < batch_id]
+        return self._spark.read.parquet(f"{self._path}/batch={earlier[-1]}") if earlier else None
+
+    def newest(self) -> DataFrame | None:
+        batches = self._batches()
+        return self.before(batches[-1] + 1) if batches else None
+
+    def put(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self._path}/batch={batch_id}")
+        for old in [b for b in self._batches() if b < batch_id][:-1]:
+            self._fs.delete(self._place(f"{self._path}/batch={old}"), True)
+
+
 def _start(stream: DataFrame, handle, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -38,9 +70,14 @@ def _start(stream: DataFrame, handle, checkpoint: str, mode: str = "append", ava
 
 
 def stream_ingest(entries: DataFrame, store_path: str, checkpoint: str, as_of: Column,
-                  in_flight: str | None = None, available_now: bool = True) -> StreamingQuery:
+                  in_flight: str | None = None, available_now: bool = True, buckets: int = 64) -> StreamingQuery:
     """Deduplicating ingest: every batch is classified against all earlier ones.
 
+    The hashes of what is stored lie in a keyed table, ``<store_path>/_keys``;
+    a batch reads the hash buckets that its own hashes fall into, never the
+    stored entries.  Outcomes are written before the hashes are committed,
+    so a batch that runs again finds the hashes of earlier batches only.
+
     ``in_flight`` (a watermark delay on ``published_at``) drops repeats of an
     address inside the stream already, in bounded state; the store decides
     about everything older.
@@ -48,20 +85,54 @@ def stream_ingest(entries: DataFrame, store_path: str, checkpoint: str, as_of: C
     if in_flight:
         entries = entries.withWatermark("published_at", in_flight).dropDuplicatesWithinWatermark(["link"])
 
+    def hashes(rows: DataFrame) -> DataFrame:
+        both = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("hash")) for kind in ("url_hash", "content_hash")])
+        return rows.select(F.explode(both).alias("h")).select("h.*")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        known = _earlier_batches(batch.sparkSession, store_path, batch_id)
-        kept = None if known is None else known.filter(F.col("outcome") == "stored").select(
-            F.col("url_hash").alias("canonical_url_hash"), "content_hash")
-        classify_entries(batch, kept, as_of).write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
+        keys = KeyedTable(batch.sparkSession, f"{store_path}/_keys", ["kind", "hash"], buckets)
+        if keys.applied(batch_id):
+            return
+        checked = hash_entries(batch, as_of).persist()
+        kept = keys.read_for(hashes(checked.filter(F.col("reject_reason").isNull())))
+        known = {kind: None if kept is None else kept.filter(F.col("kind") == kind).select(F.col("hash").alias(kind))
+                 for kind in ("url_hash", "content_hash")}
+        path = f"{store_path}/batch={batch_id}"
+        classify_hashed(checked, known["url_hash"], known["content_hash"]).write.mode("overwrite").parquet(path)
+        checked.unpersist()
+        keys.append_new(hashes(batch.sparkSession.read.parquet(path).filter(F.col("outcome") == "stored")), [], batch_id)
+        keys.compact()
 
     return _start(entries, handle, checkpoint, available_now=available_now)
 
 
-def accept_in_time(entries: DataFrame, as_of: Column, delay: str = f"{V.EVENT_WINDOW_HOURS} hours") -> DataFrame:
-    """Reject times more than an hour ahead; events older than the clustering window are late."""
-    ahead = hours_between(F.col("published_at"), as_of)
-    return entries.withWatermark("published_at", delay).filter(
-        F.col("published_at").isNull() | (ahead <= V.MAX_FUTURE_SKEW_SECONDS / 3600))
+def stream_in_time(reports: DataFrame, out_path: str, checkpoint: str, as_of: Column,
+                   delay_hours: float = V.EVENT_WINDOW_HOURS, available_now: bool = True) -> StreamingQuery:
+    """Split a stream by time: ``verdict`` future, late or on_time; nothing is dropped.
+
+    Future is more than an hour past ``as_of``.  Late is more than
+    ``delay_hours`` before the newest time, future ones apart, that earlier
+    batches brought; the batch itself does not move its own clock.  A report
+    without a time is on time.  Results: ``<out_path>/rows/verdict=V/batch=N``,
+    so late rows form a side table; the clock is one row per batch.
+    """
+    future = hours_between(F.col("published_at"), as_of) > V.MAX_FUTURE_SKEW_SECONDS / 3600
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        clocks = Snapshots(batch.sparkSession, f"{out_path}/clock")
+        last = clocks.before(batch_id)
+        newest = last.first()["newest"] if last is not None else None
+        limit = F.lit(newest).cast(batch.schema["published_at"].dataType)
+        late = hours_between(limit, F.col("published_at")) > delay_hours
+        judged = batch.withColumn("verdict", F.when(future, "future").when(late, "late").otherwise("on_time")).persist()
+        for verdict in ("on_time", "late", "future"):
+            judged.filter(F.col("verdict") == verdict).drop("verdict").write.mode("overwrite").parquet(
+                f"{out_path}/rows/verdict={verdict}/batch={batch_id}")
+        seen = judged.agg(F.max(F.when(F.col("verdict") != "future", F.col("published_at"))).alias("newest"))
+        clocks.put(seen.select(F.greatest("newest", limit).alias("newest")), batch_id)
+        judged.unpersist()
+
+    return _start(reports, handle, checkpoint, available_now=available_now)
 
 
 def late_or_future(reports: DataFrame, as_of: Column, last_activity: Column) -> DataFrame:
@@ -95,32 +166,30 @@ def stream_cluster(reports: DataFrame, state_path: str, checkpoint: str, availab
 
 # --- stateful source health --------------------------------------------------
 
-HEALTH_OUT = ("source_id bigint, status string, success_count bigint, failure_count bigint, "
-              "consecutive_failures bigint, avg_latency_ms double, last_error string")
-HEALTH_STATE = "ok bigint, bad bigint, streak bigint, ewma double"
-
-
-def _roll_health(key, frames, state):
-    ok, bad, streak, ewma = state.get if state.exists else (0, 0, 0, None)
-    polls = pd.concat(list(frames)).sort_values(["checked_at", "poll_id"])
-    error = None
-    for good, latency, text in zip(polls["ok"], polls["latency_ms"], polls["error"]):
-        ok, bad = ok + bool(good), bad + (not good)
-        streak, error = (0, None) if good else (streak + 1, text)
-        if latency == latency and latency is not None:
-            ewma = latency if ewma is None else V.LATENCY_SMOOTHING * latency + (1 - V.LATENCY_SMOOTHING) * ewma
-    state.update((int(ok), int(bad), int(streak), ewma))
-    slow = ewma is not None and ewma > V.SLOW_LATENCY_MS
-    status = ("degraded" if slow else "healthy") if streak == 0 else ("down" if streak >= V.DOWN_AFTER else "degraded")
-    yield pd.DataFrame([(key[0], status, int(ok), int(bad), int(streak), ewma, None if error is None else str(error)[:2000])],
-                       columns=["source_id", "status", "success_count", "failure_count", "consecutive_failures",
-                                "avg_latency_ms", "last_error"])
-
-
-def stream_health(polls: DataFrame) -> DataFrame:
-    """Health of each source after every batch of polls, kept in constant state per source."""
-    return polls.groupBy("source_id").applyInPandasWithState(
-        _roll_health, HEALTH_OUT, HEALTH_STATE, "update", GroupStateTimeout.NoTimeout)
+
+def stream_health(polls: DataFrame, state_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Health of each source after every batch of polls, with all columns of ``source_health``.
+
+    State is one row a source: the batch is summed up by source, joined to the
+    health before it and written as the next snapshot (``health_now`` reads the
+    newest).  Polls count in the order of their batches, inside a batch by
+    (checked_at, poll_id).  A keyed state operator would bring all polls of a
+    source to one task and order them there; sums by source do not.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        snapshots = Snapshots(batch.sparkSession, state_path)
+        health = snapshots.before(batch_id)
+        batch = batch.persist()
+        snapshots.put(source_health(batch) if health is None else continue_health(health, batch), batch_id)
+        batch.unpersist()
+
+    return _start(polls, handle, checkpoint, available_now=available_now)
+
+
+def health_now(spark: SparkSession, state_path: str) -> DataFrame | None:
+    """The newest snapshot of ``stream_health``; None before the first batch."""
+    return Snapshots(spark, state_path).newest()
 
 
 # --- windows -----------------------------------------------------------------
