@@ -114,6 +114,68 @@ def similar_pairs(vectors: DataFrame, min_cos: float) -> DataFrame:
     return pairs.select(F.col("id").alias("id_a"), F.col("id_r").alias("id_b"), "cos")
 
 
+def _bounded_prefix(heads: DataFrame, min_cos: float) -> DataFrame:
+    """(vec, prefix): as :func:`prefix_of`, entries (bucket, rest) from rare to common.
+
+    ``rest`` is the length of the vector from the entry on: if two vectors
+    share nothing before it, their cosine is at most the product of their rests.
+    """
+    entries = heads.select("vec", F.explode("vec").alias("e")).select("vec", "e.bucket", "e.w")
+    ordered = entries.join(bucket_ranks(heads), "bucket").groupBy("vec").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "w"))).alias("_ordered"))
+
+    def longer(acc, e):
+        squared = F.coalesce(F.try_element_at(acc, F.lit(1))["squared"], F.lit(0.0)) + e["w"] * e["w"]
+        return F.concat(F.array(F.struct(e["rank"]["bucket"].alias("bucket"), squared.alias("squared"))), acc)
+
+    start = F.array().cast("array<struct<bucket:int,squared:double>>")
+    long = F.filter(F.aggregate(F.reverse("_ordered"), start, longer), lambda e: e["squared"] >= min_cos * min_cos - 1e-9)
+    prefix = F.transform(long, lambda e: F.struct(e["bucket"].alias("bucket"), F.sqrt(e["squared"]).alias("rest")))
+    return ordered.select("vec", prefix.alias("prefix"))
+
+
+def similar_in_time(rows: DataFrame, min_cos: float, hours: int = V.EVENT_WINDOW_HOURS,
+                    candidates: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs of rows with cosine of at least ``min_cos`` whose times are at most ``hours`` apart, as classes.
+
+    ``rows`` is (id, vec, at).  Time is cut into cells of ``hours``; a class is
+    the rows of one vector in one cell, named by its least id.  Returns
+
+    * pairs (class_a, class_b, cos, whole): class_a is in the earlier cell, or
+      has the smaller id.  With ``whole`` every row of one is linked to every
+      row of the other; else those at most ``hours`` apart, at least one pair.
+    * members (id, class_id, at).  Rows of one class are all linked.
+
+    The cell is part of the join key: a class meets classes of its own and the
+    next cell under a shared rare bucket only, once, and the vectors are
+    multiplied only where what follows the first shared bucket can reach
+    ``min_cos``.  Work grows with the classes of a cell, not with repeated rows
+    nor with history.  Rows without a time or with an empty vector are linked
+    with nothing.  ``candidates`` keeps what is multiplied but falls short.
+    """
+    width = hours * 3_600_000_000
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    timed = rows.filter((F.size("vec") > 0) & F.col("at").isNotNull()).select(
+        "id", "vec", "at", (micros - F.pmod(micros, F.lit(width))).alias("cell"), micros.alias("micros"))
+    classes = timed.groupBy("vec", "cell").agg(
+        F.min("id").alias("class_id"), F.min("micros").alias("first"), F.max("micros").alias("last"))
+    ready = classes.join(_bounded_prefix(classes.select("vec").distinct(), min_cos), "vec")
+    a = ready.select(*[F.col(c).alias(f"{c}_a") for c in ready.columns]).withColumn("p", F.explode("prefix_a")).select(
+        "*", F.col("p.bucket").alias("bucket"), F.explode(F.array(F.col("cell_a"), F.col("cell_a") + width)).alias("cell")).drop("p")
+    b = ready.withColumn("p", F.explode("prefix")).select("*", F.col("p.bucket").alias("bucket"), F.col("p.rest").alias("rest")).drop("p")
+    met = a.join(b, ["bucket", "cell"]).filter(
+        ((F.col("cell_a") < F.col("cell")) | (F.col("class_id_a") < F.col("class_id"))) & (F.col("first") - F.col("last_a") <= width))
+    shared = F.filter("prefix_a", lambda e: F.array_contains(F.col("prefix.bucket"), e["bucket"]))
+    met = met.withColumn("_first", F.element_at(shared, 1)).filter(
+        (F.col("bucket") == F.col("_first.bucket")) & (F.col("_first.rest") * F.col("rest") >= min_cos - 1e-9))
+    pairs = met.select(F.col("class_id_a").alias("class_a"), F.col("class_id").alias("class_b"),
+                       sparse_dot(F.col("vec_a"), F.col("vec")).alias("cos"),
+                       (F.col("last") - F.col("first_a") <= width).alias("whole"))
+    named = salted_lookup(timed, classes.select("vec", "cell", "class_id"), ["vec", "cell"], ["id"], "inner")
+    members = named.select("id", "class_id", "at")
+    return (pairs if candidates else pairs.filter(F.col("cos") >= min_cos)), members
+
+
 def lexically_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids kept when rows are taken in order and each is dropped if an earlier kept row is its neighbour.
 

@@ -115,6 +115,37 @@ def cosine_pairs(spark, sf_dir):
     return O.similar_pairs(page_vectors(spark, sf_dir), 0.4).withColumn("cos", F.round("cos", 6))
 
 
+_IN_TIME = with_views("reports") + ", t AS (SELECT min(report_id) AS id, title FROM reports GROUP BY title), " + _tokens_sql("t", "title") + ", " + _WEIGHTS + """,
+lists AS (SELECT id, list(bucket || ':' || round(w, 9) ORDER BY bucket) AS v FROM vectors GROUP BY id),
+timed AS (SELECT report_id, v, epoch_us(published_at) AS us, epoch_us(published_at) // 259200000000 AS cell FROM reports JOIN t USING (title) JOIN lists USING (id) WHERE published_at IS NOT NULL),
+classes AS (SELECT v, cell, min(report_id) AS class_id, min(us) AS first, max(us) AS last FROM timed GROUP BY v, cell),
+heads AS (SELECT v, min(id) AS id FROM lists GROUP BY v),
+d AS (SELECT a.id AS id_a, b.id AS id_b, sum(a.w * b.w) AS cos FROM vectors a JOIN vectors b USING (bucket)
+  WHERE a.id IN (SELECT id FROM heads) AND b.id IN (SELECT id FROM heads) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.4)
+"""
+
+
+@query("similar_in_time", _IN_TIME + """
+SELECT a.class_id AS class_a, b.class_id AS class_b, round(cos, 6) AS cos, b.last - a.first <= 259200000000 AS whole
+FROM d JOIN heads ha ON ha.id = id_a JOIN heads hb ON hb.id = id_b JOIN classes a ON a.v = ha.v JOIN classes b ON b.v = hb.v
+WHERE (b.cell = a.cell AND a.class_id < b.class_id) OR (b.cell = a.cell + 1 AND b.first - a.last <= 259200000000)""")
+def similar_in_time(spark, sf_dir):
+    """Classes of headlines with a cosine of 0.4 or more within 72 hours of each other."""
+    pairs, _ = O.similar_in_time(_timed_headlines(spark, sf_dir), 0.4)
+    return pairs.withColumn("cos", F.round("cos", 6))
+
+
+@query("similar_in_time_members", _IN_TIME + "SELECT report_id AS id, class_id FROM timed JOIN classes USING (v, cell)")
+def similar_in_time_members(spark, sf_dir):
+    """Reports and their classes, of which all rows are linked."""
+    return O.similar_in_time(_timed_headlines(spark, sf_dir), 0.4)[1].select("id", "class_id")
+
+
+def _timed_headlines(spark, sf_dir):
+    return views.reports(spark, sf_dir).select(
+        F.col("report_id").alias("id"), VX.hash_embedding_md5(F.col("title")).alias("vec"), F.col("published_at").alias("at"))
+
+
 @query("jaccard_titles", f"""
 WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
 s AS (SELECT conv_id, turn, list_distinct(string_split({sql_norm("text")}, ' ')) AS a, list_distinct(string_split({sql_norm("next")}, ' ')) AS b FROM t WHERE next IS NOT NULL)
