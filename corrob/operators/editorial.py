@@ -12,6 +12,7 @@ from corrob import fixed_values as V
 from corrob.functions import text as X
 from corrob.functions.scores import hours_between, importance_score
 from corrob.operators.folds import fold_in_chunks, row_number_in_buckets
+from corrob.operators.similarity import members_of
 from corrob.operators.verify import with_measure
 
 
@@ -158,20 +159,21 @@ def ngram_overlap(drafts: DataFrame, sources: DataFrame, n: int = V.COPY_NGRAM,
 
     ``drafts`` is (draft_id, text), ``sources`` (source_id, text); with
     ``within`` both also carry a column that must agree.  Distinct n-grams are
-    compared by a 128-bit hash; equal source texts are looked at once.  The
-    inverted-index join meets draft n-grams with source n-grams only; hits are
-    counted on the map side.
+    compared by a 128-bit hash.  Those of the sources pass a filter of the
+    drafts' n-grams where the texts are read, so only what is likely to be a
+    hit is shuffled, and no text is; then equal source texts, known by their
+    hash, are one.
     """
     scope = [within] if within else []
 
-    def runs(df: DataFrame, ids: list[str]) -> DataFrame:
+    def runs(df: DataFrame, ids: list) -> DataFrame:
         grams = X.ngrams(X.copy_tokens(F.col("text")), n)
-        return df.select(*ids, F.explode(grams).alias("g")).select(*ids, F.md5("g").alias("g"))
+        named = df.select(*ids, *scope, F.explode(grams).alias("g"))
+        return named.withColumn("g", F.md5("g"))
 
-    wanted = runs(drafts, ["draft_id", *scope])
-    texts = sources.groupBy(*scope, "text").agg(F.min("source_id").alias("source_id"))
-    offered = runs(texts, ["source_id", *scope])
-    hits = wanted.join(offered, ["g", *scope]).groupBy("draft_id", "source_id").agg(F.count(F.lit(1)).alias("hits"))
+    wanted = runs(drafts, ["draft_id"])
+    offered = members_of(runs(sources, [F.sha2("text", 256).alias("source")]), wanted, ["g", *scope]).distinct()
+    hits = wanted.join(offered, ["g", *scope]).groupBy("draft_id", "source").agg(F.count(F.lit(1)).alias("hits"))
     worst = hits.groupBy("draft_id").agg(F.max("hits").alias("hits"))
     totals = wanted.groupBy("draft_id").agg(F.count(F.lit(1)).alias("total"))
     scored = totals.join(worst, "draft_id", "left").select(

@@ -277,33 +277,73 @@ def count_active(events: DataFrame) -> DataFrame:
     return events.agg(F.count_if(is_active(F.col("status"), for_maintenance=True)).alias("active_events"))
 
 
+#: Relative rank error of the quantile sketch is one in this number.
+ACCURACY = 10_000
+
+
+def nearest_ranks(rows: DataFrame, column: str, indexes: list[int], room: int = 100_000) -> dict[int, float]:
+    """The values at zero-based ``indexes`` of the sorted column; nulls are left out, an index beyond the end is missing.
+
+    A mergeable quantile sketch brackets each rank, a pass counts exactly what
+    lies below and inside the bracket, and so on until it holds at most
+    ``room`` different values; those are counted and cumulated.  Nothing else
+    is ordered, whatever the number of rows, bins or equal values.
+    """
+    x, brackets, small = F.col(column), dict.fromkeys(set(indexes), (None, None)), {}
+
+    def inside(bracket) -> Column:
+        low, high = bracket
+        return x.isNotNull() if low is None else x.between(low, high)
+
+    while brackets:
+        aggregates = []
+        for i, bracket in brackets.items():
+            aggregates += [F.count_if(x < bracket[0] if bracket[0] is not None else F.lit(False)).alias(f"below{i}"),
+                           F.count_if(inside(bracket)).alias(f"inside{i}"),
+                           F.approx_count_distinct(F.when(inside(bracket), x)).alias(f"values{i}")]
+        known, sketches = rows.agg(*aggregates).first().asDict(), []
+        for i, bracket in list(brackets.items()):
+            below, n = known[f"below{i}"], known[f"inside{i}"]
+            if i >= below + n:  # beyond the end
+                del brackets[i]
+            elif known[f"values{i}"] <= room // 2 or bracket[0] is not None and bracket[0] == bracket[1]:
+                small[i] = (*brackets.pop(i), below)
+            else:
+                around = [min(1.0, max(0.0, (i - below + side) / n + side * 2 / ACCURACY)) for side in (-1, 1)]
+                sketches.append(F.percentile_approx(F.when(inside(bracket), x), around, ACCURACY).alias(f"sketch{i}"))
+        if not brackets:
+            break
+        narrowed = rows.agg(*sketches).first().asDict()
+        for i, bracket in list(brackets.items()):
+            low, high = narrowed[f"sketch{i}"]
+            if (low, high) == bracket:  # a value of very many rows beside the wanted one
+                small[i] = (*brackets.pop(i), known[f"below{i}"])
+            else:
+                brackets[i] = (low, high)
+    found = {}
+    for i, (low, high, below) in small.items():
+        values = rows.filter(inside((low, high))).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("x")) + below  # at most ``room`` rows, about
+        hit = values.withColumn("upto", upto).filter(F.col("upto") > i).agg(F.min("x")).first()[0]
+        found[i] = hit
+    return found
+
+
 def latency_summary(requests: DataFrame, percentiles=(50, 90, 95, 99)) -> DataFrame:
     """One row: exact nearest-rank percentiles, maximum, mean, error rate and request rate.
 
-    ``requests``: latency_ms, failed, at.  Equal latencies are counted first,
-    then whole-millisecond bins are cumulated; only the bins that hold a
-    wanted rank are looked into, so nothing is sorted globally.
+    ``requests``: latency_ms, failed, at.
     """
-    bin_of = F.floor("latency_ms").cast("bigint")
-    values = requests.groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", bin_of)
-    bins = values.groupBy("bin").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy(F.lit(1)).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("end", F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
     span = (F.max(micros(F.col("at"))) - F.min(micros(F.col("at")))) / 1e6
     totals = requests.agg(F.count(F.lit(1)).alias("requests"), F.max("latency_ms").alias("max_ms"),
                           F.round(F.avg("latency_ms"), 6).alias("mean_ms"),
-                          F.round(F.count_if("failed") / F.count(F.lit(1)), 6).alias("error_rate"),
-                          F.round(F.count(F.lit(1)) / span, 6).alias("requests_per_second"))
-    wanted = totals.select(F.explode(F.array(*[F.struct(
-        F.lit(p).alias("p"), F.rint(F.lit(p / 100) * (F.col("requests") - 1)).cast("bigint").alias("index"))
-        for p in percentiles])).alias("w")).select("w.*")
-    hit = bins.withColumn("w", F.explode(F.array(*[F.lit(p) for p in percentiles]))).join(
-        wanted, F.col("w") == F.col("p")).filter((F.col("index") >= F.col("start")) & (F.col("index") < F.col("end")))
-    within = Window.partitionBy("p").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    picked = values.join(hit.select("bin", "p", "index", "start"), "bin").withColumn(
-        "upto", F.col("start") + F.sum("n").over(within)).filter(F.col("upto") > F.col("index"))
-    best = picked.groupBy().agg(*[F.min(F.when(F.col("p") == p, F.col("latency_ms"))).alias(f"p{p}_ms") for p in percentiles])
-    return _one_row([totals, best])
+                          F.round(F.try_divide(F.count_if("failed"), F.count(F.lit(1))), 6).alias("error_rate"),
+                          F.round(F.try_divide(F.count(F.lit(1)), span), 6).alias("requests_per_second"))
+    n = requests.select(F.count("latency_ms")).first()[0]
+    index = {p: round(p / 100 * (n - 1)) for p in percentiles} if n else {}
+    found = nearest_ranks(requests, "latency_ms", list(index.values()))
+    kind = requests.schema["latency_ms"].dataType
+    return totals.select("*", *[F.lit(found.get(index.get(p))).cast(kind).alias(f"p{p}_ms") for p in percentiles])
 
 
 def supported_countries(countries: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -51,6 +51,33 @@ def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], row_key: li
     return wide.drop("_h", "_pieces").join(narrow.drop("_h", "_pieces"), [*keys, "_salt"], how).drop("_salt")
 
 
+#: Words of a membership filter: at most 2^22, some 130 MB in the join's hash table.
+MOST_WORDS = 1 << 22
+
+
+def members_of(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` may be among those of ``wanted``: all that are, and about one in 2,000 others.
+
+    A Bloom filter of 64-bit words, built by ``bit_or``: a key sets four bits of
+    one word, so the test is one broadcast look-up and happens where the rows
+    are read, before any shuffle.  Its size follows the measured number of
+    keys; beyond ``MOST_WORDS`` the rows come back as they are.
+    """
+    count = wanted.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    words = 1 << max(4, math.ceil(math.log2(max(1, count))) - 1)  # two to a word, 32 bits a key
+    if words > MOST_WORDS:
+        return rows
+    bits = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(_h, {start}) & 63 AS INT))" for start in (24, 30, 36, 42))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_h", F.xxhash64(*keys)).withColumns(
+            {"_word": F.pmod("_h", F.lit(words)), "_bits": F.expr(bits)}).drop("_h")
+
+    table = placed(wanted.select(*keys)).groupBy("_word").agg(F.bit_or("_bits").alias("_set"))
+    found = placed(rows).join(F.broadcast(table), "_word")  # at most ``words`` rows of two numbers
+    return found.filter(F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits")).select(*rows.columns)
+
+
 def bucket_ranks(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """(bucket, rank): buckets from rare to common.  At most ``dim`` rows."""
     counts = vectors.select(F.explode(vec).alias("e")).groupBy(F.col("e.bucket").alias("bucket")).agg(

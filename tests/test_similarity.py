@@ -6,7 +6,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from corrob.operators.similarity import similar_in_time
+from corrob.operators import similarity
+from corrob.operators.editorial import ngram_overlap
+from corrob.operators.ops import latency_summary, nearest_ranks
+from corrob.operators.similarity import members_of, similar_in_time
 
 T0 = dt.datetime(1969, 12, 20)  # cells on both sides of the epoch
 SCHEMA = "id bigint, vec array<struct<bucket:int,w:double>>, at timestamp"
@@ -61,3 +64,57 @@ def test_repeated_headlines_add_no_candidates(spark):
 def test_nothing_is_similar_in_an_empty_table(spark):
     pairs, members = similar_in_time(spark.createDataFrame([], SCHEMA), 0.8)
     assert pairs.count() == members.count() == 0
+
+
+def test_member_filter_loses_nothing_and_passes_little_else(spark):
+    rows = spark.range(200_000).select(F.col("id"), F.col("id").cast("string").alias("g"))
+    wanted = spark.range(0, 400_000, 100).select(F.col("id").cast("string").alias("g"))
+    kept = members_of(rows, wanted, ["g"])
+    assert kept.columns == rows.columns
+    assert kept.filter("id % 100 = 0").count() == 2_000 and kept.count() <= 2 * 2_000
+    assert members_of(rows, wanted.filter("false"), ["g"]).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, "7"), (3, "")], "id bigint, g string")
+    assert {r["id"] for r in members_of(odd, spark.createDataFrame([("7",), ("",), (None,)], "g string"), ["g"]).collect()} == {1, 2, 3}
+
+
+def test_a_large_filter_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MOST_WORDS", 16)
+    rows = spark.range(1000).select(F.col("id").alias("g"))
+    assert members_of(rows, spark.range(500).select(F.col("id").alias("g")), ["g"]).count() == 1000
+
+
+def test_overlap_filters_before_the_shuffle_and_knows_equal_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)] + [f"{' '.join(words[:20])} {passage}"] * 3
+    drafts = [(1, passage), (2, "too short"), (3, " ".join(passage.split()[:15] + words[100:115])), (4, None)]
+
+    def grams(text):
+        tokens = (text or "").split()
+        return {tuple(tokens[i:i + 8]) for i in range(len(tokens) - 7)}
+
+    want = {d: max((len(grams(t) & grams(s)) / len(grams(t)) for s in texts), default=0.0) if grams(t) else 0.0 for d, t in drafts}
+    got = ngram_overlap(spark.createDataFrame(drafts, "draft_id bigint, text string"),
+                        spark.createDataFrame(list(enumerate(texts)), "source_id bigint, text string"))
+    assert {r["draft_id"]: round(r["overlap"], 9) for r in got.collect()} == {d: round(o, 9) for d, o in want.items()}
+    assert got.filter("overlap > 0").count() == 2
+
+
+def test_ranks_equal_the_sorted_list(spark):
+    rng = random.Random(9)
+    lists = {"spread": [rng.random() * 1e6 for _ in range(5000)], "one value": [7.0] * 5000,
+             "heavy": [5.0] * 4900 + [rng.random() * 10 for _ in range(100)], "two": [1.0, 2.0], "single": [3.0],
+             "edge": [5.0] * 4999 + [6.0]}
+    for name, values in lists.items():
+        frame = spark.createDataFrame([(v,) for v in values] + [(None,)] * 3, "x double")
+        n = len(values)
+        wanted = sorted({0, n // 2, int(0.99 * (n - 1)), n - 1})
+        for room in (40, 100_000):  # with little room the sketch has to narrow several times
+            assert nearest_ranks(frame, "x", wanted, room) == {i: sorted(values)[i] for i in wanted}, (name, room)
+        assert nearest_ranks(frame, "x", [n]) == {}
+
+
+def test_latency_of_no_requests(spark):
+    row = latency_summary(spark.createDataFrame([], "latency_ms double, failed boolean, at timestamp")).first()
+    assert row["requests"] == 0 and row["p50_ms"] is None
