@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corrob import fixed_values as V
 from corrob.functions.vectors import sparse_dot
-from corrob.session import cut_lineage
+from corrob.session import cut_lineage, working_table
 
 
 def heavy_keys(facts: DataFrame, keys: list[str]) -> DataFrame | None:
@@ -254,36 +254,153 @@ def sparse_centroids(members: DataFrame, key: str, weight: str | None = None) ->
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def top_k_neighbors(queries: DataFrame, base: DataFrame, k: int = V.MAX_CANDIDATES,
-                    rows_per_cell: int = 200_000) -> DataFrame:
-    """The ``k`` base vectors nearest to each query vector, by exact cosine.
-
-    ``queries`` is (query_id, vec), ``base`` is (id, vec), both dense.  The
-    base is dealt into cells of bounded size, every cell sees the queries,
-    scores them with one matrix product and sends on at most ``k`` rows per
-    query; a ranked window keeps the best of those.  Work is
-    ``|queries| * |base|``: give it the small side (event centroids) as queries.
-    """
-    cells = max(1, -(-base.count() // rows_per_cell))
-    schema = "query_id bigint, id bigint, similarity double"
+def _best(query_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` rows of ``matrix`` with the largest products for each row of ``asked``; ties to the smaller id."""
+    found = []
+    for low in range(0, len(asked), 64):
+        # summed up row by row, so that a pair has one score whatever block it is computed in
+        scores = np.einsum("qd,bd->qb", asked[low:low + 64], matrix)
+        for query_id, score in zip(query_ids[low:low + 64], scores):
+            # only what reaches the k-th best score is sorted
+            near = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(score >= np.partition(score, len(ids) - k)[len(ids) - k])
+            best = near[np.lexsort((ids[near], -score[near]))[:k]]
+            found.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "similarity": score[best]}))
+    return pd.concat(found)
+
+
+def _met(asked: DataFrame, dealt: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """For each query at most ``k`` rows (query_id, id, similarity) of every group of ``keys`` it is in."""
 
     def nearest(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        ids = b["id"].to_numpy()
-        matrix = np.stack(b["vec"].to_numpy()).astype(np.float64)
-        asked, parts = np.stack(q["vec"].to_numpy()).astype(np.float64), []
-        for low in range(0, len(q), 64):
-            scores = matrix @ asked[low:low + 64].T
-            for query_id, score in zip(q["query_id"].iloc[low:low + 64], scores.T):
-                # only what reaches the k-th best score is sorted
-                near = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(score >= np.partition(score, len(ids) - k)[len(ids) - k])
-                best = near[np.lexsort((ids[near], -score[near]))[:k]]
-                parts.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "similarity": score[best]}))
-        return pd.concat(parts)
-
-    dealt = base.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
-    asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    found = asked.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(nearest, schema)
+        return _best(q["query_id"].to_numpy(), np.stack(q["vec"].to_numpy()), b["id"].to_numpy(), np.stack(b["vec"].to_numpy()), k)
+
+    return asked.select(*keys, "query_id", "vec").groupBy(*keys).cogroup(
+        dealt.select(*keys, "id", "vec").groupBy(*keys)).applyInPandas(nearest, "query_id bigint, id bigint, similarity double")
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the vectors and their angles to unit pivots; a zero vector is at an angle of zero to all."""
+    length = np.linalg.norm(vectors, axis=1)
+    cos = (vectors @ pivots.T) / np.where(length > 0, length, 1.0)[:, None]
+    return length, np.where(length[:, None] > 0, np.arccos(np.clip(cos, -1.0, 1.0)), 0.0)
+
+
+def _pivots(base: DataFrame, count: int) -> np.ndarray:
+    """``count`` base vectors at most, those with the least hash of their values, as unit vectors."""
+    length = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    hashed = base.filter(length > 0).withColumn("h", F.xxhash64("vec"))
+    least = hashed.select("h").distinct().orderBy("h").limit(count)  # only hashes are shuffled
+    chosen = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.min("vec").alias("vec")).orderBy("h").collect()
+    rows = np.array([r["vec"] for r in chosen], dtype=np.float64)
+    return rows / np.linalg.norm(rows, axis=1)[:, None] if len(rows) else np.zeros((0, 0))
+
+
+def top_k_neighbors(queries: DataFrame, base: DataFrame, k: int = V.MAX_CANDIDATES,
+                    rows_per_cell: int = 200_000, pivots: int = 64) -> DataFrame:
+    """The ``k`` base vectors nearest to each query vector, by exact product; unit vectors give the cosine.
+
+    ``queries`` is (query_id, vec), ``base`` is (id, vec), both dense, without
+    nulls and of one width.  Returns (query_id, id, similarity, rank, scored);
+    ``scored`` is the number of base vectors the query was compared with.
+
+    Every base vector belongs to the cell of the pivot at the least angle.  A
+    cell knows its row count, its widest angle and its longest vector.  An
+    angle from query to vector is at least the angle from query to pivot less
+    the widest one (triangle inequality), which bounds every score of the cell.
+    A query first visits the cells nearest to it until they hold ``k`` rows;
+    its k-th best score then rules out cells whose bound is below it, and it
+    visits the rest.  What is held in one place is the pivots and a row for
+    each cell; cells are cut into pieces of ``rows_per_cell`` and the queries
+    of a cell into pieces of the same size.  The saving depends on the data:
+    in many dimensions without clusters all cells can hold a neighbour.  A base
+    that fits into one piece is scored whole, with the same result.
+    """
+    spark = base.sparkSession
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
+    base = base.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    count = base.count()
+    if count <= rows_per_cell:
+        parts = max(1, -(-asked.count() // rows_per_cell))
+        return _ranked(_met(asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")),
+                            base.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["part"], k), k).withColumn(
+            "scored", F.lit(count).cast("bigint"))
+    centres = _pivots(base, pivots)
+    if not len(centres):  # zero vectors only: one cell, any direction will do
+        centres = np.eye(1, base.select(F.max(F.size("vec"))).first()[0])
+
+    def in_cells(batches):
+        for rows in batches:
+            if len(rows):
+                length, angle = _angles(np.stack(rows["vec"].to_numpy()).astype(np.float64), centres)
+                cell = angle.argmin(axis=1)
+                yield rows.assign(cell=cell.astype("int32"), angle=angle[np.arange(len(rows)), cell], length=length)
+
+    path = working_table(spark, "cells")
+    base.mapInPandas(
+        in_cells, "id bigint, vec array<double>, cell int, angle double, length double").write.parquet(path)
+    cells = spark.read.parquet(path)
+    # a row for each pivot at most
+    known = sorted(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("widest"),
+                                             F.max("length").alias("longest"), F.min("length").alias("shortest")).collect())
+    number, rows_in, widest, longest, shortest = (np.array(c) for c in zip(*known))
+    pieces = {int(c): -(-int(n) // rows_per_cell) for c, n in zip(number, rows_in)}
+
+    def bounds(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Angles to the pivots of the cells, and the largest score a vector of each cell can have."""
+        length, angle = _angles(vectors, centres[number])
+        cos = np.cos(np.maximum(0.0, angle - widest[None, :]))
+        return angle, length[:, None] * np.where(cos > 0, longest, shortest) * cos
+
+    def first_cells(batches):
+        for rows in batches:
+            if len(rows):
+                angle, _ = bounds(np.stack(rows["vec"].to_numpy()))
+                order = np.argsort(angle, axis=1, kind="stable")
+                full = np.cumsum(rows_in[order], axis=1)
+                visited = [number[o[:np.searchsorted(f, k) + 1]] for o, f in zip(order, full)]
+                yield rows.assign(cell=visited).explode("cell").astype({"cell": "int32"})
+
+    def other_cells(batches):
+        for rows in batches:
+            if len(rows):
+                angle, best = bounds(np.stack(rows["vec"].to_numpy()))
+                open_cells = best + 1e-9 * (1.0 + np.abs(best)) >= rows["least"].to_numpy()[:, None]
+                visited = [number[o & ~np.isin(number, done)] for o, done in zip(open_cells, rows["visited"])]
+                yield rows[["query_id", "vec"]].assign(cell=visited).explode("cell").dropna(subset=["cell"]).astype({"cell": "int32"})
+
+    sizes = spark.createDataFrame([(c, p) for c, p in pieces.items()], "cell int, pieces int")
+
+    def scored(visits: DataFrame) -> DataFrame:
+        """At most ``k`` rows of every piece of a cell for each query that visits it."""
+        visits = visits.join(F.broadcast(sizes), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        parts = visits.groupBy("cell").agg(F.ceil(F.countDistinct("query_id") / rows_per_cell).cast("int").alias("parts"))  # a row a cell
+        coming = visits.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        dealt = cells.join(F.broadcast(sizes), "cell").join(F.broadcast(parts), "cell").withColumn(
+            "piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+        return _met(coming, dealt, ["cell", "piece", "part"], k)
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        target = working_table(spark, name)
+        rows.write.parquet(target)
+        return spark.read.parquet(target)
+
+    visit = "query_id bigint, vec array<double>, cell int"
+    first = written(asked.mapInPandas(first_cells, visit), "visits")
+    near = written(_ranked(scored(first), k), "near")
+    least = near.groupBy("query_id").agg(F.min("similarity").alias("least"))
+    done = first.groupBy("query_id").agg(F.first("vec").alias("vec"), F.collect_set("cell").alias("visited"))  # the cells of a query
+    second = written(done.join(least, "query_id").mapInPandas(other_cells, visit), "visits")
+    weights = spark.createDataFrame([(int(c), int(n)) for c, n in zip(number, rows_in)], "cell int, n bigint")
+    seen = first.select("query_id", "cell").unionByName(second.select("query_id", "cell")).join(
+        F.broadcast(weights), "cell").groupBy("query_id").agg(F.sum("n").alias("scored"))
+    best = _ranked(near.drop("rank").unionByName(scored(second)), k)
+    return best.join(seen, "query_id")

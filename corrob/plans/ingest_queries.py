@@ -241,7 +241,7 @@ def json_keys(spark, sf_dir):
 # --- landed files: feeds, catalogues, model tables ------------------------------
 
 
-def _landed_feeds(spark, sf_dir) -> str:
+def landed_feeds(spark, sf_dir) -> str:
     """Events as ten RSS files and regions as files that are no feeds, under one folder."""
     feed = (F.col("user_id") % 10).cast("int")
     events = table(spark, sf_dir, "events").select(feed.alias("feed"), F.col("event_id").alias("ord"), F.format_string(
@@ -259,17 +259,20 @@ def _landed_feeds(spark, sf_dir) -> str:
     return path
 
 
-@query("feed_entries", f"""
+FEED_SQL = f"""
 SELECT 'Event ' || CAST(event_id AS VARCHAR) AS title, event_type || '  seen' AS description, 'https://host.example/' || CAST(event_id AS VARCHAR) AS canonical_url,
-  strftime(ts, '{DATE}') AS published_at, 'l' || CAST(user_id % 10 AS VARCHAR) AS language FROM events""")
+  strftime(ts, '{DATE}') AS published_at, 'l' || CAST(user_id % 10 AS VARCHAR) AS language FROM events"""
+
+
+@query("feed_entries", FEED_SQL)
 def feed_entries(spark, sf_dir):
-    return read_feed_entries(spark, _landed_feeds(spark, sf_dir)).select(
+    return read_feed_entries(spark, landed_feeds(spark, sf_dir)).select(
         "title", "description", "canonical_url", stamp("published_at").alias("published_at"), "language")
 
 
 @query("feed_rejects", "SELECT CAST(100 + r_regionkey AS VARCHAR) AS feed, 'feed could not be parsed' AS problem FROM region")
 def feed_rejects(spark, sf_dir):
-    return read_feed_rejects(spark, _landed_feeds(spark, sf_dir)).select(
+    return read_feed_rejects(spark, landed_feeds(spark, sf_dir)).select(
         F.regexp_extract("feed_file", "feed=([0-9]+)/", 1).alias("feed"), "problem")
 
 

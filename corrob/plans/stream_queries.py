@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corrob.operators.cluster import md5_embedder
 from corrob.plans import views
-from corrob.plans.ingest_queries import DATE, _CLASSIFIED, stamp
+from corrob.plans.ingest_queries import DATE, FEED_SQL, _CLASSIFIED, landed_feeds, stamp
 from corrob.plans.ops_queries import HEALTH_SQL, OVERDUE_SQL, overdue_report
 from corrob.plans.registry import query
 from corrob.plans.similarity_queries import CLUSTERED_SQL
@@ -55,6 +55,15 @@ def land_and_run(rows, order, name, run, batches=BATCHES):
         run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
+@query("stream_feed_entries", FEED_SQL)
+def stream_feed_entries(spark, sf_dir):
+    """The landed feeds as a stream of several micro-batches."""
+    out = working_table(spark, "feed-stream")
+    O.stream_feeds(spark, landed_feeds(spark, sf_dir), f"{out}/rows", f"{out}/progress", files_per_batch=5).awaitTermination()
+    return spark.read.parquet(f"{out}/rows/entries").select(
+        "title", "description", "canonical_url", stamp("published_at").alias("published_at"), "language")
+
+
 def polls(events):
     ok = F.col("event_type") != "error"
     return events.select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("checked_at"), ok.alias("ok"),

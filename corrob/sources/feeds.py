@@ -55,13 +55,16 @@ def parse_entry_ts(*texts: Column) -> Column:
     return F.coalesce(*tries)
 
 
-_RSS = (T.StructType().add("title", "string").add("link", "string").add("description", "string")
-        .add("pubDate", "string").add("author", "string").add("_corrupt_record", "string"))
+# names without their prefix: ``date`` and ``creator`` are Dublin Core, ``encoded`` is the content module
+_RSS = (T.StructType().add("title", "string").add("link", "string").add("description", "string").add("encoded", "string")
+        .add("pubDate", "string").add("date", "string").add("author", "string").add("creator", "string")
+        .add("_corrupt_record", "string"))
 _ATOM_LINK = T.ArrayType(T.StructType().add("_href", "string").add("_rel", "string"))
-_ATOM = (T.StructType().add("title", "string").add("link", _ATOM_LINK).add("summary", "string")
+_ATOM = (T.StructType().add("title", "string").add("link", _ATOM_LINK).add("summary", "string").add("content", "string")
          .add("published", "string").add("updated", "string").add("created", "string")
          .add("author", T.StructType().add("name", "string")).add("_corrupt_record", "string"))
-_CHANNEL = T.StructType().add("language", "string").add("_corrupt_record", "string")
+#: A ``language`` element is read by itself, so no channel is ever one row.
+_LANGUAGE = T.StructType().add("_VALUE", "string").add("_corrupt_record", "string")
 
 
 def _file_name(c: Column) -> Column:
@@ -69,30 +72,37 @@ def _file_name(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "file:/")
 
 
-def _scan(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+def _scan(spark: SparkSession, path: str | list[str], tag: str, schema: T.StructType) -> DataFrame:
     return (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").option("ignoreNamespace", "true")
             .schema(schema).load(path).withColumn("feed_file", _file_name(F.input_file_name())))
 
 
-def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """RSS and Atom files under ``path`` -> one row per usable entry.
+def read_feed_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """RSS, RDF and Atom files under ``path`` -> one row per usable entry.
 
-    An entry needs a link and a title; the feed's language is copied to each of
-    its entries.  Broken entries go to :func:`read_feed_rejects`.
+    An entry needs a link and a title.  Of the date fields the first that can
+    be read counts, ``dc:date`` after ``pubDate``; a missing description is
+    taken from ``content:encoded`` or ``content``, a missing author from
+    ``dc:creator``.  The feed's language (the last in order of several) is
+    copied to each of its entries.  Broken entries go to :func:`read_feed_rejects`.
     """
+
+    def filled(*names: str) -> Column:
+        return F.coalesce(*[F.when(strip(F.col(n)) != "", F.col(n)) for n in names])
+
     rss = _scan(spark, path, "item", _RSS).filter(F.col("_corrupt_record").isNull()).select(
-        "feed_file", "title", "link", "description",
-        parse_entry_ts(F.col("pubDate")).alias("published_at"), "author")
+        "feed_file", "title", "link", filled("description", "encoded").alias("description"),
+        parse_entry_ts(F.col("pubDate"), F.col("date")).alias("published_at"), filled("author", "creator").alias("author"))
     alternate = F.coalesce(
         F.try_element_at(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1)),
         F.try_element_at("link", F.lit(1)))
     atom = _scan(spark, path, "entry", _ATOM).filter(F.col("_corrupt_record").isNull()).select(
-        "feed_file", "title", alternate["_href"].alias("link"), F.col("summary").alias("description"),
+        "feed_file", "title", alternate["_href"].alias("link"), filled("summary", "content").alias("description"),
         parse_entry_ts(F.col("published"), F.col("updated"), F.col("created")).alias("published_at"),
         F.col("author.name").alias("author"))
-    languages = _scan(spark, path, "channel", _CHANNEL).groupBy("feed_file").agg(
-        F.max("language").alias("language"))
+    languages = _scan(spark, path, "language", _LANGUAGE).groupBy("feed_file").agg(
+        F.max(F.nullif(strip(F.col("_VALUE")), F.lit(""))).alias("language"))
     entries = rss.unionByName(atom).select(
         "feed_file", strip_html(F.col("title")).alias("title"), strip_html(F.col("description")).alias("description"),
         strip(F.coalesce("link", F.lit(""))).alias("link"), "published_at", "author")
@@ -100,7 +110,7 @@ def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
     return usable.withColumn("canonical_url", canonicalize_url(F.col("link"))).join(languages, "feed_file", "left")
 
 
-def read_feed_rejects(spark: SparkSession, path: str) -> DataFrame:
+def read_feed_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Quarantine: broken entries, and files without any readable entry."""
     rss, atom = _scan(spark, path, "item", _RSS), _scan(spark, path, "entry", _ATOM)
     fields = ["feed_file", "title", F.col("link").isNotNull().alias("linked"), "_corrupt_record"]

@@ -34,6 +34,41 @@ def test_feeds(spark, tmp_path):
     assert [r["problem"] for r in rejects] == ["feed could not be parsed"] and rejects[0]["feed_file"].endswith("c.xml")
 
 
+RDF = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"
+ xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/">
+<channel rdf:about="http://e.net"><title>Wire</title><dc:language>de</dc:language></channel>
+<item rdf:about="http://e.net/1"><title>Storm</title><link>http://e.net/1</link><pubDate>soon</pubDate><dc:date>2025-10-06T08:00:00Z</dc:date>
+<dc:creator>Bo</dc:creator><description> </description><content:encoded><![CDATA[<p>Heavy</p> rain]]></content:encoded></item></rdf:RDF>"""
+CONTENT = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Fire</title><link href="https://e.org/f"/>
+<content type="html">&lt;b&gt;Smoke&lt;/b&gt; seen</content><published>2025-10-06T08:00:00Z</published></entry></feed>"""
+
+
+def test_rdf_items_and_modules(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(RDF)
+    (tmp_path / "b.xml").write_text(CONTENT)
+    storm, fire = read_feed_entries(spark, str(tmp_path)).orderBy(F.desc("title")).collect()
+    at = dt.datetime(2025, 10, 6, 8)
+    assert (storm["description"], storm["author"], storm["language"], storm["published_at"]) == ("Heavy  rain", "Bo", "de", at)
+    assert (fire["description"], fire["language"], fire["published_at"]) == ("Smoke  seen", None, at)
+
+
+def test_feeds_as_a_stream_equal_the_batch(spark, tmp_path):
+    landing, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    landing.mkdir()
+    for name, text in (("a.xml", RSS), ("b.xml", ATOM), ("c.xml", "this is no feed"), ("d[1].xml", RDF)):  # one batch after another
+        (landing / name).write_text(text)
+        streams.stream_feeds(spark, str(landing), out, progress, files_per_batch=1).awaitTermination()
+    columns = ["title", "link", "description", "published_at", "author", "language", "canonical_url"]
+
+    def rows(df, names):
+        return sorted(str(r) for r in df.select(names).collect())
+
+    entries, rejects = spark.read.parquet(f"{out}/entries"), spark.read.parquet(f"{out}/rejects")
+    assert rows(entries, columns) == rows(read_feed_entries(spark, str(landing)), columns)
+    assert {r["batch"] for r in entries.collect()} == {0, 1, 3}
+    assert rows(rejects, ["problem", "payload"]) == rows(read_feed_rejects(spark, str(landing)), ["problem", "payload"])
+
+
 @pytest.mark.parametrize("text, expected", [
     ("Mon, 06 Oct 2025 08:00:00 GMT", dt.datetime(2025, 10, 6, 8)), ("6 Oct 2025 10:00:00 +0200", dt.datetime(2025, 10, 6, 8)),
     ("2025-10-06T08:00:00Z", dt.datetime(2025, 10, 6, 8)), ("2025-10-06 08:00:00", dt.datetime(2025, 10, 6, 8)), ("soon", None)])

@@ -118,3 +118,37 @@ def test_ranks_equal_the_sorted_list(spark):
 def test_latency_of_no_requests(spark):
     row = latency_summary(spark.createDataFrame([], "latency_ms double, failed boolean, at timestamp")).first()
     assert row["requests"] == 0 and row["p50_ms"] is None
+
+
+def _nearest(rows_q, rows_b, k):
+    out = set()
+    for q, v in rows_q:
+        best = sorted(((-round(sum(x * y for x, y in zip(v, w)), 9), i) for i, w in rows_b))[:k]
+        out |= {(q, i, rank) for rank, (_, i) in enumerate(best, 1)}
+    return out
+
+
+def test_nearest_vectors_equal_a_full_scan_and_skip_cells(spark):
+    rng = random.Random(9)
+    hubs = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    base = [(i, [x + rng.gauss(0, 0.05) for x in hubs[i % 12]]) for i in range(900)]
+    base += [(2000 + i, base[0][1]) for i in range(30)] + [(3000, [0.0] * 8), (3001, [-x for x in hubs[0]])]  # ties, a zero vector
+    asked = [(i, [x + rng.gauss(0, 0.05) for x in hubs[i % 12]]) for i in range(24)] + [(50, [0.0] * 8), (51, base[0][1])]
+    schema = "{} bigint, vec array<double>"
+    got = similarity.top_k_neighbors(spark.createDataFrame(asked, schema.format("query_id")),
+                                     spark.createDataFrame(base, schema.format("id")), 7, rows_per_cell=40, pivots=24).collect()
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got} == _nearest(asked, base, 7)
+    shares = {r["query_id"]: r["scored"] / len(base) for r in got}
+    assert shares[50] == 1.0 and sum(s for q, s in shares.items() if q < 50) / 24 < 0.4
+
+
+def test_nearest_vectors_of_small_tables(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0])], "query_id bigint, vec array<double>").distinct()
+    schema = "id bigint, vec array<double>"
+    none = spark.createDataFrame([], schema)
+    assert similarity.top_k_neighbors(q, none, 3).collect() == []
+    zeros = spark.createDataFrame([(5, [0.0, 0.0]), (4, [0.0, 0.0])], schema)
+    for size in (1, 100):  # in cells, and whole
+        assert [(r["id"], r["rank"], r["scored"]) for r in similarity.top_k_neighbors(q, zeros, 3, size).orderBy("rank").collect()] == [
+            (4, 1, 2), (5, 2, 2)]
+    assert similarity.top_k_neighbors(none.withColumnRenamed("id", "query_id"), zeros, 3).collect() == []
