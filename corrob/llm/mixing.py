@@ -1,12 +1,18 @@
 """Mixing sources to target weights: whole copies, then a Pareto order sample.
 
 A source's target is its share of the mix's size by weight, at most a given
-multiple of what it has; what is cut off goes to the others by weight.  Every
-document of a source is then taken as often as the target holds the source
-whole (certain copies), and the rest of the target is a sample of the source:
-documents are ranked by the odds of a random number over the odds of their
-inclusion probability, and the ranking is cut where the words add up.  Random
-numbers are hashes of doc_id and text, so reruns agree.
+multiple of what it has; what is cut off goes to the others by weight.  Inside
+a source, long documents are worth more: a document's expected number of
+copies is in proportion to its size class (powers of two of its words) to the
+power of PREFERENCE, at most the multiple, at a level at which the expected
+words are the target.  Classes stop at the multiple in the order of their
+worth, so the level is found in closed form from a source's class sums.
+
+The whole part of the expected copies is taken for certain; the fraction is
+the document's inclusion probability.  Documents are ranked by the odds of a
+random number over the odds of their inclusion probability, and the ranking is
+cut where the words add up to what the whole copies leave of the target.
+Random numbers are hashes of doc_id and text, so reruns agree.
 
 The cut is found without sorting a source: ranks fall into 4,096 bins of equal
 width, the bin that holds the cut into 4,096 again.  The sums are partial
@@ -29,6 +35,7 @@ from corrob.llm.common import stored, text_or_empty, words
 
 WEIGHTS = (5, 2, 1)  # by rank of the source's name, repeating
 SIZE_PERCENT, LARGEST_MULTIPLE = 150, 2
+PREFERENCE = 0.25
 BINS, ROUNDS, SEED = 4096, 4, 11
 
 
@@ -44,6 +51,11 @@ def sized(docs: DataFrame) -> list[Column]:
             ((draw + 0.5) / 2.0**53).alias("draw")]
 
 
+def _class() -> Column:
+    """Size class of a document: the number of bits of its size."""
+    return F.length(F.bin("size"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source_key, source_size, target): weights filled up to each source's limit.
 
@@ -68,31 +80,61 @@ def targets(sizes: DataFrame) -> DataFrame:
         "source_key", "source_size", F.least(F.col("limit"), F.coalesce(F.col("final") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
+def expected_copies(sizes: DataFrame, aims: DataFrame) -> DataFrame:
+    """(source_key, class, copies, share): whole copies and inclusion probability of each class of a source.
+
+    At most 63 rows a source.  As with the sources, the first class that stays
+    below the multiple at its level sets the level for all after it.
+    """
+    worth = F.pow(F.pow(F.lit(2.0), F.col("class") - 1), F.lit(PREFERENCE))
+    sums = sizes.filter(F.col("size") > 0).groupBy("source_key", _class().alias("class")).agg(
+        F.sum("size").cast("double").alias("words")).withColumn("worth", worth).join(aims, "source_key")
+    falling = Window.partitionBy("source_key").orderBy(F.desc("class"))
+    rising = Window.partitionBy("source_key").orderBy("class")
+    full = (F.sum("words").over(falling) - F.col("words")) * LARGEST_MULTIPLE
+    level = (F.col("target") - full) / F.sum(F.col("words") * F.col("worth")).over(rising)
+    tried = sums.withColumn("level", level).withColumn("open", F.col("level") * F.col("worth") <= LARGEST_MULTIPLE)
+    first = F.max(F.when(F.col("open"), F.struct("class", "level"))).over(Window.partitionBy("source_key"))
+    multiple = F.when(F.col("class") > F.col("first.class"), F.lit(float(LARGEST_MULTIPLE))).otherwise(
+        F.least(F.lit(float(LARGEST_MULTIPLE)), F.col("first.level") * F.col("worth")))
+    held = tried.withColumn("first", first).withColumn(
+        "multiple", F.coalesce(F.greatest(multiple, F.lit(0.0)), F.lit(float(LARGEST_MULTIPLE))))
+    whole = F.floor(F.col("multiple") + 1e-12)
+    return held.select("source_key", "class", "words", whole.alias("copies"),
+                       F.greatest(F.col("multiple") - whole, F.lit(0.0)).alias("share"))
+
+
 def _taken_extra(rounds: int) -> Column:
     """Whether the rounds so far take a document once more: before the cut, and small enough for the round."""
     parts = [(F.col("place") < F.col(f"cut{r}")) & (F.col("size") <= F.col(f"room{r}")) for r in range(rounds)]
     taken = F.lit(False)
     for p in parts:
         taken = taken | p
-    return taken & (F.col("size") > 0)
+    return taken & (F.col("size") > 0) & (F.col("copies") < LARGEST_MULTIPLE)
 
 
 def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with their source's plan and ``place``, the Pareto rank on a scale of BINS squared."""
+    """Rows with their source's plan, ``copies``, and ``place``, the Pareto rank on a scale of BINS squared."""
+    rows = rows.join(plan, "source_key").withColumn("class", _class()).withColumn("_mine", F.when(F.col("size") > 0, F.try_element_at(
+        F.filter("classes", lambda c: c["class"] == F.col("class")), F.lit(1))))
+    rows = rows.withColumn("copies", F.coalesce("_mine.copies", F.lit(0))).withColumn("share", F.coalesce("_mine.share", F.lit(0.0)))
     share = F.col("share")
     rank = (F.col("draw") / (1 - F.col("draw"))) / (share / (1 - share))
-    place = F.when((share > 0) & (share < 1), F.floor(rank / (1 + rank) * BINS * BINS)).otherwise(F.floor(F.col("draw") * BINS * BINS))
-    return rows.join(plan, "source_key").withColumn("place", place)
+    # without a fraction a document comes after all others, for the rounds that fill up
+    place = F.when((share > 0) & (share < 1), F.floor(rank / (1 + rank) * BINS * BINS)).otherwise(F.lit(BINS * BINS - 1))
+    return rows.withColumn("place", place).drop("classes", "class", "_mine")
 
 
 def make_plan(sizes: DataFrame) -> DataFrame:
-    """One row per source: target, whole copies, and the cuts of the ranking."""
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets(sizes).withColumn("copies", F.floor(ratio)).withColumn("share", ratio - F.floor(ratio)).withColumn(
-        "room0", F.col("target") - F.col("copies") * F.col("source_size"))
-    plan = stored(plan, "plan")
+    """One row per source: target, whole copies and inclusion probability by class, and the cuts of the ranking."""
+    aims = stored(targets(sizes), "targets")
+    copies = expected_copies(sizes, aims.select("source_key", "target")).groupBy("source_key").agg(
+        F.collect_list(F.struct("class", "copies", "share")).alias("classes"),  # at most 63
+        F.sum(F.col("words") * F.col("copies")).alias("certain"))
+    plan = stored(aims.join(copies, "source_key", "left").withColumn(
+        "room0", F.col("target") - F.coalesce("certain", F.lit(0.0))).drop("certain"), "plan")
     for r in range(ROUNDS):
-        left = _placed(sizes, plan).filter((F.col("size") > 0) & (F.col("size") <= F.col(f"room{r}")) & ~_taken_extra(r))
+        left = _placed(sizes, plan).filter((F.col("size") > 0) & (F.col("copies") < LARGEST_MULTIPLE) & (F.col("size") <= F.col(f"room{r}")) & ~_taken_extra(r))
         bins = left.groupBy("source_key", F.floor(F.col("place") / BINS).alias("bin")).agg(F.sum("size").alias("words"))
         cuts = stored(_cut(bins, plan, r, F.lit(0)), "cuts")
         inner = left.join(cuts, "source_key").filter(F.floor(F.col("place") / BINS) == F.col("bin")).groupBy(

@@ -216,6 +216,20 @@ def test_mix_meets_its_targets(rows_of):
     assert mixing.mix(rows_of([], "doc_id bigint, text string, source string")).collect() == []
 
 
+def test_documents_are_drawn_by_their_own_probability(rows_of):
+    lengths = [4, 64] * 1000
+    df = rows_of([(i, f"{i} " + "w " * (n - 1), "a") for i, n in enumerate(lengths)], "doc_id bigint, text string, source string")
+    total = Counter((r["size"], r["taken"] // r["size"]) for r in mixing.mix(df).collect())
+    worth = {n: (2.0 ** (n.bit_length() - 1)) ** mixing.PREFERENCE for n in (4, 64)}
+    level = 1.5 * sum(lengths) / sum(n * worth[n] for n in lengths)
+    for n in (4, 64):
+        expected = level * worth[n]  # whole copies for certain, the fraction drawn
+        whole = int(expected)
+        assert set(k for size, k in total if size == n) == {whole, whole + 1}
+        assert abs(total[n, whole + 1] / 1000 - (expected - whole)) < 0.06
+    assert abs(sum(n * k * c for (n, k), c in total.items()) - 1.5 * sum(lengths)) <= 64
+
+
 # --- token shards -------------------------------------------------------------------
 
 
