@@ -57,7 +57,8 @@ MIN_COSINE = (V.CLUSTER_THRESHOLD - V.WEIGHT_ENTITY - V.WEIGHT_NUMBER) / V.WEIGH
 #: Cosine below which a report has no influence on another (see above), less a margin for rounding.
 NEAR = MIN_COSINE * MIN_COSINE - 1e-6
 SCALE = 1 << 18  # vectors are whole multiples of 1 / SCALE
-STRETCH = 20_000  # reports replayed in one task
+STRETCH = 20_000  # reports replayed in one task, or days of a signature if these are fewer
+LONGEST = 400_000  # reports replayed in one task at most
 WINDOW_US = V.EVENT_WINDOW_HOURS * 3_600_000_000
 
 EVENT_COLUMNS = ["event_id", "started", "title", "event_type", "entities", "numbers", "total", "report_count",
@@ -194,9 +195,12 @@ def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows in order of unit and arrival, in stretches, with the ``task`` that replays them; and the tasks.
 
     Units within one stretch are replayed with it; a unit that spans several
-    has a task for each, numbered by ``place``.
+    has a task for each, numbered by ``place``.  Reports of one signature and
+    day are replayed in runs, so it is signature days that bound a stretch:
+    what repeats makes stretches longer (up to ``LONGEST``), not more.
     """
-    parts = max(1, math.ceil(rows.count() / STRETCH))
+    count, days = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("sig", _day(F.col("occurred"))))).first()
+    parts = max(1, math.ceil(days / STRETCH), math.ceil(count / max(STRETCH, LONGEST)))
     order = ["unit", "retrieved", "report_id"]
     dealt = _stored(rows.repartitionByRange(parts, *order).withColumn("stretch", F.spark_partition_id()), "stretches")
     spans = dealt.groupBy("unit", "stretch").agg(F.min("occurred").alias("lo"))
