@@ -109,7 +109,7 @@ def prefix_of(vectors: DataFrame, ranks: DataFrame, min_cos: float, key: str, ve
 
 def prefix_join(left: DataFrame, right: DataFrame, min_cos: float, same: list[str] | None = None,
                 condition=None) -> DataFrame:
-    """Pairs of rows with cosine of at least ``min_cos``, with no false dismissal.
+    """Pairs of rows with cosine of at least ``min_cos`` at nine decimals, with no false dismissal.
 
     Both sides carry ``vec`` and ``prefix``.  Column names on the right get the
     suffix ``_r``.  A pair is verified only under its first shared prefix
@@ -126,7 +126,8 @@ def prefix_join(left: DataFrame, right: DataFrame, min_cos: float, same: list[st
         pairs = pairs.filter(condition)
     first_shared = F.element_at(F.array_intersect("prefix", "prefix_r"), 1)
     pairs = pairs.filter(F.col("bucket") == first_shared).drop("bucket")
-    return pairs.withColumn("cos", sparse_dot(F.col("vec"), F.col("vec_r"))).filter(F.col("cos") >= min_cos)
+    # at nine decimals, so that a cosine of just min_cos does not hang on the order of a sum
+    return pairs.withColumn("cos", sparse_dot(F.col("vec"), F.col("vec_r"))).filter(F.round("cos", 9) >= min_cos)
 
 
 def similar_pairs(vectors: DataFrame, min_cos: float) -> DataFrame:
