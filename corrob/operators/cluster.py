@@ -50,7 +50,7 @@ from corrob.functions.vectors import embed_tokens, hash_embedding_md5, sparse_un
 from corrob.operators.graph import connected
 from corrob.operators.replay import replayer
 from corrob.operators.similarity import bucket_ranks, prefix_join, prefix_of, salted_lookup
-from corrob.session import ship_package, working_table
+from corrob.session import ship_package, working_table, written
 
 #: Cosine any attachable pair must reach, as the other signals add at most .20.
 MIN_COSINE = (V.CLUSTER_THRESHOLD - V.WEIGHT_ENTITY - V.WEIGHT_NUMBER) / V.WEIGHT_SEMANTIC
@@ -99,12 +99,6 @@ def _day(micros: Column) -> Column:
     return F.floor(micros / 86_400_000_000).cast("bigint")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = working_table(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _texts(keyed: DataFrame, embedder) -> DataFrame:
     """One row per distinct text with its signals and its signature."""
     texts = keyed.groupBy("text_id").agg(F.first(F.struct("title", "description")).alias("t")).select("text_id", "t.*")
@@ -160,7 +154,7 @@ def _neighbourhoods(sigs: DataFrame, live: DataFrame) -> DataFrame:
 
     mine, theirs = nodes(sigs, "s", "sig", "vec"), nodes(live, "e", "event_id", "total")
     every = mine.unionByName(theirs)
-    ready = _stored(prefix_of(every, bucket_ranks(every), NEAR, "node"), "prefixes")
+    ready = written(prefix_of(every, bucket_ranks(every), NEAR, "node"), "prefixes")
     each_once = F.col("node_r").startswith("e") | (F.col("node") < F.col("node_r"))
     pairs = prefix_join(ready.filter(F.col("node").startswith("s")), ready, NEAR, condition=each_once)
     return connected(pairs.select(F.col("node").alias("a"), F.col("node_r").alias("b"))).select(
@@ -169,7 +163,7 @@ def _neighbourhoods(sigs: DataFrame, live: DataFrame) -> DataFrame:
 
 def _units(rows: DataFrame, live: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` and ``live`` with ``unit``: component and stretch of time without a silence beyond the window."""
-    component = _stored(_neighbourhoods(sigs, live), "components")
+    component = written(_neighbourhoods(sigs, live), "components")
 
     def placed(df: DataFrame, node: Column) -> DataFrame:
         return df.withColumn("node", node).join(component, "node", "left").withColumn(
@@ -179,7 +173,7 @@ def _units(rows: DataFrame, live: DataFrame, sigs: DataFrame) -> tuple[DataFrame
                     F.concat(F.lit("s"), F.col("sig")))
     last = F.unix_micros(F.col("last_activity").cast("timestamp"))
     events = placed(live.withColumn("day", _day(last)).withColumn("last", last), F.concat(F.lit("e"), F.col("event_id").cast("string")))
-    of_sig = _stored(of_sig, "sigdays")
+    of_sig = written(of_sig, "sigdays")
     days = of_sig.select("component", "day", "lo", "hi").union(events.select("component", "day", "last", "last")).groupBy(
         "component", "day").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     along = Window.partitionBy("component").orderBy("day")  # a row per day
@@ -202,15 +196,15 @@ def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     count, days = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("sig", _day(F.col("occurred"))))).first()
     parts = max(1, math.ceil(days / STRETCH), math.ceil(count / max(STRETCH, LONGEST)))
     order = ["unit", "retrieved", "report_id"]
-    dealt = _stored(rows.repartitionByRange(parts, *order).withColumn("stretch", F.spark_partition_id()), "stretches")
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("stretch", F.spark_partition_id()), "stretches")
     spans = dealt.groupBy("unit", "stretch").agg(F.min("occurred").alias("lo"))
     of_unit = Window.partitionBy("unit")
     numbered = spans.withColumn("place", F.row_number().over(of_unit.orderBy("stretch"))).withColumn(
         "of", F.count(F.lit(1)).over(of_unit))
     task = F.when(F.col("of") == 1, F.concat(F.lit("#"), F.col("stretch").cast("string"))).otherwise(
         F.concat_ws("@", "unit", F.col("stretch").cast("string")))
-    tasks = _stored(numbered.withColumn("task", task), "tasks")
-    return _stored(dealt.join(tasks, ["unit", "stretch"]), "rows"), tasks
+    tasks = written(numbered.withColumn("task", task), "tasks")
+    return written(dealt.join(tasks, ["unit", "stretch"]), "rows"), tasks
 
 
 _CONTEXT = ["task", "unit", "sig", "event_id", "started_at", "vec", "entities", "numbers", "event_type", "last", "n"]
@@ -248,7 +242,7 @@ def _settled(rows: DataFrame, tasks: DataFrame, live: DataFrame, sigs: DataFrame
         """Replay the tasks of ``which`` against events as given, as run ``number``."""
         wanted = rows.join(which.select("task").distinct(), "task", "left_semi")
         context = texts.join(which.select("task").distinct(), "task", "left_semi").select(*_CONTEXT).unionByName(events.select(*_CONTEXT))
-        _replay(wanted, _stored(context, "context")).withColumn("run", F.lit(number)).write.mode("append").parquet(path)
+        _replay(wanted, written(context, "context")).withColumn("run", F.lit(number)).write.mode("append").parquet(path)
 
     first = tasks.filter("place = 1")
     run(first, first.select("task", "unit").join(known, "unit"), 1)
@@ -268,11 +262,11 @@ def _settled(rows: DataFrame, tasks: DataFrame, live: DataFrame, sigs: DataFrame
         events = later.select("task", "unit", F.col("place").alias("mine"), "lo").join(
             parts.join(alive, ["unit", "event_id"]), "unit").filter(
             (F.col("place") < F.col("mine")) & (F.col("until") >= F.col("lo") - WINDOW_US))
-        events = _stored(events.select(*_CONTEXT), "starts")
+        events = written(events.select(*_CONTEXT), "starts")
         marks = events.groupBy("task").agg(F.bit_xor(F.xxhash64("event_id", "vec", "last", "n")).alias("mark"))
         now = later.select("task").join(marks, "task", "left").fillna(0, ["mark"])
         ran = starts.groupBy("task").agg(F.max_by("mark", "run").alias("before"))
-        changed = _stored(now.join(ran, "task", "left").filter(~F.col("mark").eqNullSafe(F.col("before"))).select("task", "mark"), "changed")
+        changed = written(now.join(ran, "task", "left").filter(~F.col("mark").eqNullSafe(F.col("before"))).select("task", "mark"), "changed")
         if changed.isEmpty():
             return latest
         number += 1
@@ -296,19 +290,19 @@ def cluster_batch(reports: DataFrame, versions: DataFrame | None = None, embedde
     ship_package(spark)
     keyed = reports.withColumn("occurred_at", F.coalesce("published_at", "retrieved_at")).withColumn(
         "text_id", text_key(F.col("report_id"), F.col("title"), F.col("description")))
-    texts = _stored(_texts(keyed, embedder), "texts")
-    sigs = _stored(texts.drop("text_id").dropDuplicates(["sig"]), "signatures")
+    texts = written(_texts(keyed, embedder), "texts")
+    sigs = written(texts.drop("text_id").dropDuplicates(["sig"]), "signatures")
     narrow = keyed.select("report_id", _micros("retrieved_at").alias("retrieved"), _micros("occurred_at").alias("occurred"), "text_id")
-    rows = _stored(salted_lookup(narrow, texts.select("text_id", "sig"), ["text_id"], ["report_id"], how="inner").drop(
+    rows = written(salted_lookup(narrow, texts.select("text_id", "sig"), ["text_id"], ["report_id"], how="inner").drop(
         "text_id").withColumn("day", _day(F.col("occurred"))), "reports")
     low, high = rows.agg(F.min("occurred"), F.max("occurred")).first()
     live = empty_events(spark, reports)
     if versions is not None and low is not None:
-        live = _stored(_within_reach(versions, low, high).select(*EVENT_COLUMNS), "reach")
+        live = written(_within_reach(versions, low, high).select(*EVENT_COLUMNS), "reach")
     rows, live = _units(rows, live, sigs)
-    live = _stored(live, "live")
+    live = written(live, "live")
     settled = _settled(*_cut(rows), live, sigs)
-    edges = _stored(settled.filter("report_id is not null").select(
+    edges = written(settled.filter("report_id is not null").select(
         "event_id", "report_id", F.round("score", 4).alias("similarity_score"), F.col("is_new").alias("is_primary")), "edges")
 
     added = settled.filter("report_id is null")
@@ -334,7 +328,7 @@ def cluster_batch(reports: DataFrame, versions: DataFrame | None = None, embedde
         (F.coalesce("report_count", F.lit(0)) + F.col("added")).alias("report_count"),
         F.coalesce("first_detected_at", "its_first").alias("first_detected_at"),
         F.greatest(until.cast(kind), "last_activity").alias("last_activity"))
-    return _stored(touched, "touched"), edges
+    return written(touched, "touched"), edges
 
 
 def cluster_events(reports: DataFrame, wave: Column | None = None, events: DataFrame | None = None,
