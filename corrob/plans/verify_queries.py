@@ -13,6 +13,7 @@ from corrob.plans import views
 from corrob.plans.ingest_queries import DATE, stamp
 from corrob.plans.registry import query
 from corrob.plans.views import table, with_views
+from corrob.session import written
 
 DISPLAY = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
 
@@ -45,10 +46,13 @@ FACTS_SQL = with_views("reports", "sources") + ", " + _MENTIONS
 
 
 def members(spark, sf_dir):
-    """Reports of every source, grouped under their derived event key."""
+    """Reports of every source, grouped under their derived event key.
+
+    Written, as most queries read them several times: the join of edges and reports is made once.
+    """
     reports = views.reports(spark, sf_dir).withColumnRenamed("event_key", "event_id")
     edges = reports.select("event_id", "report_id")
-    return O.event_members(edges, reports.drop("event_id"), views.sources(spark, sf_dir))
+    return written(O.event_members(edges, reports.drop("event_id"), views.sources(spark, sf_dir)), "members")
 
 
 @query("event_members", FACTS_SQL + """
