@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrob import fixed_values as V
 from corrob.functions import text as X
 from corrob.functions.scores import hours_between, importance_score
-from corrob.operators.folds import fold_in_chunks, row_number_in_buckets
+from corrob.operators.folds import accepted_in_chunks, row_number_in_buckets
 from corrob.operators.similarity import members_of
 from corrob.operators.verify import with_measure
 
@@ -278,17 +275,11 @@ def unique_slugs(articles: DataFrame, bucket: Column) -> DataFrame:
         "base", "copy", "taken")
 
 
-def _version_step(pdf: pd.DataFrame, state: str | None) -> tuple[list[bool], str]:
-    """A draft is a new version when its words differ enough from the last accepted ones."""
-    last = None if state is None else set(json.loads(state))
-    flags = []
-    for words in pdf["words"]:
-        now = set(words)
-        union = now | (last or set())
-        fresh = last is None or (bool(union) and (len(union) - len(now & last)) / len(union) >= V.MIN_BODY_CHANGE)
-        last = now if fresh else last
-        flags.append(fresh)
-    return flags, json.dumps(sorted(last))
+def _changed_enough(last: Column, words: Column) -> Column:
+    """Whether two word sets differ in enough of their union; null where there is no last one."""
+    union = F.size(F.array_union(last, words))
+    return F.when(last.isNull(), F.lit(None)).otherwise(F.element_at(F.transform(F.array(union), lambda n: (n > 0) & (
+        (n - (F.size(last) + F.size(words) - n)) / n >= V.MIN_BODY_CHANGE)), 1))
 
 
 def article_versions(drafts: DataFrame, chunk: Column) -> DataFrame:
@@ -297,10 +288,8 @@ def article_versions(drafts: DataFrame, chunk: Column) -> DataFrame:
     Each draft is compared with the last *accepted* one.  ``chunk`` (growing
     with ``ord``) cuts a history into pieces that are folded side by side.
     """
-    worded = drafts.withColumn("words", X.word_set(F.col("body")))
-    judged = fold_in_chunks(worded, "article_id", ["ord"], chunk, _version_step, "accepted")
-    accepted = judged.filter("accepted").drop("accepted", "words")
-    return row_number_in_buckets(accepted, "article_id", ["ord"], chunk, "version")
+    worded = drafts.withColumn("words", F.array_sort(X.word_set(F.col("body"))))
+    return accepted_in_chunks(worded, "article_id", ["ord"], chunk, "words", _changed_enough, "version")
 
 
 def publish(gated: DataFrame, drafts: DataFrame, as_of: Column, locales: DataFrame | None = None) -> DataFrame:

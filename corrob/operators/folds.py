@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrob.session import cut_lineage
+from corrob.session import written
 
 
 def row_number_in_buckets(rows: DataFrame, key: str, order: list[str], bucket: Column, name: str = "number") -> DataFrame:
@@ -26,58 +25,60 @@ def row_number_in_buckets(rows: DataFrame, key: str, order: list[str], bucket: C
         name, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset", "_bucket")
 
 
-def fold_in_chunks(rows: DataFrame, key: str, order: list[str], chunk: Column,
-                   step: Callable[[pd.DataFrame, str | None], tuple[list[bool], str]], name: str) -> DataFrame:
-    """Flag every row by a sequential rule that carries a small state along each key.
+def accepted_in_chunks(rows: DataFrame, key: str, order: list[str], chunk: Column, value: str,
+                       differs: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """The rows of each key that a sequential rule accepts, without ``value``, numbered from 1 as ``name``.
 
-    ``chunk`` cuts a key's rows into consecutive pieces; it must not decrease
-    along the order.  ``step`` takes one sorted piece and the state it starts
-    from (None at the start of a key) and returns the flags and the state it
-    ends with.  All pieces run side by side from an assumed state; pieces whose
-    assumption proves wrong are run again with the state their predecessor
-    ended with, until nothing changes.  By induction along the chunks the
-    result is the sequential one; most rules forget their start within a
-    piece, so two or three rounds are usual.
+    The first row is accepted, a later one if ``differs(value of the last
+    accepted row, its own value)``.  ``chunk`` cuts a key's rows into
+    consecutive pieces; it must not decrease along the order.  A piece is one
+    row of the table of pieces.  All pieces are folded side by side, each from
+    the value that its predecessor's last row has; a piece whose true start is
+    another one is folded again, until all starts hold.  By induction along the
+    pieces the result is the sequential one.  A piece that accepts nothing
+    hands on what it was given, so a start is looked up at the nearest earlier
+    piece that accepts a row: a long run of rows too like one another takes no
+    more rounds than a short one.
     """
-    cut = rows.withColumn("chunk", chunk.cast("bigint"))
-    pieces = cut.select(key, "chunk").distinct()
-    previous = Window.partitionBy(key).orderBy("chunk")
-    pieces = cut_lineage(pieces.withColumn("after", F.lag("chunk").over(previous)))
-    kinds = dict(cut.dtypes)
-    out = f"{key} {kinds[key]}, chunk bigint, state string"
-
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        start = pdf["start"].iloc[0]
-        _, state = step(pdf, None if start is None or pd.isna(start) else start)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "state": [state]})
-
-    starts = pieces.select(key, "chunk", F.lit(None).cast("string").alias("start"))
-    followers = pieces.filter(F.col("after").isNotNull())
-    if not followers.isEmpty():
-        # only pieces that another piece follows hand a state on
-        givers = followers.select(key, F.col("after").alias("chunk"))
-        ends, todo = None, starts.join(givers, [key, "chunk"], "left_semi")
-        while True:
-            ran = cut_lineage(cut.join(todo, [key, "chunk"]).groupBy(key, "chunk").applyInPandas(end_state, out))
-            ends = ran if ends is None else cut_lineage(ends.join(ran, [key, "chunk"], "left_anti").unionByName(ran))
-            handed = ends.select(key, F.col("chunk").alias("after"), F.col("state").alias("given"))
-            fresh = followers.join(handed, [key, "after"]).select(key, "chunk", F.col("given").alias("start"))
-            changed = fresh.join(starts.withColumnRenamed("start", "was"), [key, "chunk"]).filter(
-                ~F.col("start").eqNullSafe(F.col("was"))).select(key, "chunk")
-            changed = cut_lineage(changed)
-            starts = cut_lineage(starts.join(fresh.select(key, "chunk"), [key, "chunk"], "left_anti").unionByName(fresh))
-            todo = starts.join(changed, [key, "chunk"], "left_semi").join(givers, [key, "chunk"], "left_semi")
-            if todo.isEmpty():
-                break
-
-    columns = list(rows.columns)
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", {name} boolean"
-
-    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        start = pdf["start"].iloc[0]
-        flags, _ = step(pdf, None if start is None or pd.isna(start) else start)
-        return pdf[columns].assign(**{name: flags})
-
-    return cut.join(starts, [key, "chunk"]).groupBy(key, "chunk").applyInPandas(flag, fields)
+    columns = [F.col(c) for c in rows.columns if c != value]
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_value"), F.struct(*columns).alias("_row"))))
+    pieces = written(rows.groupBy(key, chunk.cast("bigint").alias("_chunk")).agg(listed.alias("_all")).select(
+        key, "_chunk", F.col("_all._value").alias("_values"), F.col("_all._row").alias("_rows")), "pieces")
+    along = Window.partitionBy(key).orderBy("_chunk")  # of pieces by number, without their values
+
+    def folded(started: DataFrame) -> DataFrame:
+        """(key, _chunk, _start, _end, _at): the last value accepted, and the places of what is accepted."""
+        kind = dict(started.dtypes)["_start"]
+
+        def step(acc: Column, v: Column) -> Column:
+            # a one-element array, so that the rule is asked once
+            return F.element_at(F.transform(F.array(F.coalesce(differs(acc["last"], v), F.lit(True))), lambda yes: F.struct(
+                F.when(yes, v).otherwise(acc["last"]).alias("last"), (acc["place"] + 1).alias("place"),
+                F.when(yes, F.concat(acc["at"], F.array(acc["place"]))).otherwise(acc["at"]).alias("at"))), 1)
+
+        begin = F.struct(F.col("_start").cast(kind).alias("last"), F.lit(0).alias("place"), F.array().cast("array<int>").alias("at"))
+        done = started.withColumn("_done", F.aggregate("_values", begin, step))
+        return done.select(key, "_chunk", "_start", F.col("_done.last").alias("_end"), F.col("_done.at").alias("_at"))
+
+    def from_source(numbered: DataFrame, given: DataFrame) -> DataFrame:
+        """(key, _chunk, _start) of every piece of ``numbered`` (key, _chunk, _source)."""
+        return numbered.join(given.select(key, F.col("_chunk").alias("_source"), F.col("_end").alias("_start")), [key, "_source"], "left").select(
+            key, "_chunk", "_start")
+
+    before = pieces.select(key, "_chunk").withColumn("_source", F.lag("_chunk").over(along))
+    starts = from_source(before, pieces.select(key, "_chunk", F.element_at("_values", -1).alias("_end")))
+    ends = written(folded(pieces.select(key, "_chunk", "_values").join(starts, [key, "_chunk"])), "ends")
+    while True:
+        giver = F.last(F.when(F.size("_at") > 0, F.col("_chunk")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        sourced = ends.select(key, "_chunk", "_at").withColumn("_source", giver).select(key, "_chunk", "_source")
+        held = ends.select(key, "_chunk", F.col("_start").alias("_was"))
+        wrong = written(from_source(sourced, ends).join(held, [key, "_chunk"]).filter(~F.col("_start").eqNullSafe(F.col("_was"))).drop("_was"), "wrong")
+        if wrong.isEmpty():
+            break
+        again = folded(pieces.select(key, "_chunk", "_values").join(wrong, [key, "_chunk"]))
+        ends = written(ends.join(wrong, [key, "_chunk"], "left_anti").unionByName(again), "ends")
+
+    earlier = F.coalesce(F.sum(F.size("_at")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = ends.select(key, "_chunk", "_at").withColumn("_earlier", earlier)
+    found = pieces.select(key, "_chunk", "_rows").join(places, [key, "_chunk"]).select("_rows", "_earlier", F.posexplode("_at").alias("_n", "_place"))
+    return found.select(F.get("_rows", "_place").alias("_row"), (F.col("_earlier") + F.col("_n") + 1).alias(name)).select("_row.*", name)

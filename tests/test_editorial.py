@@ -96,3 +96,20 @@ def test_versions_equal_a_plain_loop(spark):
         got = {(r["article_id"], r["ord"]): r["version"] for r in article_versions(drafts, chunk).collect()}
         assert got == expected
     assert spark.range(1).select(word_set(F.lit("a a b")).alias("w")).first()["w"] == ["a", "b"]
+
+
+def test_a_long_history_of_like_drafts_takes_few_rounds(spark):
+    """Forty pieces of drafts that all differ from one another, but by less than 2 %: the first draft stands for all of them."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, i, " ".join([*words, f"x{i}"])) for i in range(160)] + [(1, 160, "another text"), (2, 0, ""), (2, 9, "!"), (2, 10, "a")]
+    sc = spark.sparkContext
+    sc.setJobGroup("long history", "")
+    try:
+        got = article_versions(spark.createDataFrame(rows, "article_id bigint, ord bigint, body string"), F.floor(F.col("ord") / 4))
+        assert got.columns == ["article_id", "ord", "body", "version"]
+        got = {(r["article_id"], r["ord"]): r["version"] for r in got.collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("long history"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(1, 0): 1, (1, 160): 2, (2, 0): 1, (2, 10): 2}
+    assert jobs < 80  # more than that if the pieces take turns
