@@ -140,3 +140,26 @@ def test_streamed_clusters_join_events_of_earlier_batches(spark, tmp_path):
         streams.stream_cluster(spark.readStream.schema(schema).parquet(landed), out, progress).awaitTermination()
     edges = {r["report_id"]: r["event_id"] for r in spark.read.parquet(f"{out}/edges").collect()}
     assert edges == {1: 1, 2: 2, 3: 1}
+
+
+def test_no_task_lands_a_whole_table(spark, tmp_path, monkeypatch):
+    """A part is read by as many tasks as the table has pieces, and long texts are cut into files by their size."""
+    from corrob.plans import stream_queries
+
+    table = str(tmp_path / "pages")
+    spark.range(400).select((F.col("id") * 7 % 400).alias("page_id"), F.repeat(F.lit("x"), 200).alias("html")).repartition(8).write.parquet(table)
+    monkeypatch.setattr(stream_queries, "FILE_BYTES", 8_000)
+    folder = str(tmp_path / "landed")
+    monkeypatch.setattr(stream_queries, "working_table", lambda spark, name: folder)
+    sc = spark.sparkContext
+    sc.setJobGroup("landing", "")
+    try:
+        stream_queries.landed(spark.read.parquet(table), "page_id", "pages")
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("landing") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(tracker.getStageInfo(s).numTasks > 1 for s in stages if tracker.getStageInfo(s)) >= stream_queries.BATCHES + 1
+    landed = spark.read.parquet(folder)
+    assert sorted(r["page_id"] for r in landed.collect()) == list(range(400))
+    assert landed.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 40  # of 80 rows a part
