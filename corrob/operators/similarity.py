@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrob import fixed_values as V
 from corrob.functions.vectors import sparse_dot
-from corrob.session import cut_lineage, working_table
+from corrob.session import cut_lineage, working_table, written
 
 
 def heavy_keys(facts: DataFrame, keys: list[str]) -> DataFrame | None:
@@ -162,8 +163,8 @@ def _bounded_prefix(heads: DataFrame, min_cos: float) -> DataFrame:
     return ordered.select("vec", prefix.alias("prefix"))
 
 
-def similar_in_time(rows: DataFrame, min_cos: float, hours: int = V.EVENT_WINDOW_HOURS,
-                    candidates: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar_in_time(rows: DataFrame, min_cos: float, hours: int = V.EVENT_WINDOW_HOURS, candidates: bool = False,
+                    embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of rows with cosine of at least ``min_cos`` whose times are at most ``hours`` apart, as classes.
 
     ``rows`` is (id, vec, at).  Time is cut into cells of ``hours``; a class is
@@ -180,13 +181,26 @@ def similar_in_time(rows: DataFrame, min_cos: float, hours: int = V.EVENT_WINDOW
     ``min_cos``.  Work grows with the classes of a cell, not with repeated rows
     nor with history.  Rows without a time or with an empty vector are linked
     with nothing.  ``candidates`` keeps what is multiplied but falls short.
+
+    With ``embed``, ``rows`` is (id, text, at): rows are first summed up by
+    text and cell, and only the distinct texts become vectors.
     """
+    name = "vec" if embed is None else "text"
     width = hours * 3_600_000_000
     micros = F.unix_micros(F.col("at").cast("timestamp"))
-    timed = rows.filter((F.size("vec") > 0) & F.col("at").isNotNull()).select(
-        "id", "vec", "at", (micros - F.pmod(micros, F.lit(width))).alias("cell"), micros.alias("micros"))
-    classes = timed.groupBy("vec", "cell").agg(
-        F.min("id").alias("class_id"), F.min("micros").alias("first"), F.max("micros").alias("last"))
+    timed = rows.filter(F.col("at").isNotNull()).select(
+        "id", name, "at", (micros - F.pmod(micros, F.lit(width))).alias("cell"), micros.alias("micros"))
+    if embed is None:
+        timed = timed.filter(F.size("vec") > 0)
+    # the tables below are asked for several times; written, so that the rows are read once
+    spans = written(timed.groupBy(name, "cell").agg(
+        F.min("id").alias("class_id"), F.min("micros").alias("first"), F.max("micros").alias("last")), "spans")
+    classes = spans
+    if embed is not None:
+        vectors = written(spans.select("text").distinct().withColumn("vec", embed(F.col("text"))), "vectors")
+        spans = written(spans.join(vectors.filter(F.size("vec") > 0), "text"), "spans")
+        classes = written(spans.groupBy("vec", "cell").agg(
+            F.min("class_id").alias("class_id"), F.min("first").alias("first"), F.max("last").alias("last")), "classes")
     ready = classes.join(_bounded_prefix(classes.select("vec").distinct(), min_cos), "vec")
     a = ready.select(*[F.col(c).alias(f"{c}_a") for c in ready.columns]).withColumn("p", F.explode("prefix_a")).select(
         "*", F.col("p.bucket").alias("bucket"), F.explode(F.array(F.col("cell_a"), F.col("cell_a") + width)).alias("cell")).drop("p")
@@ -199,7 +213,10 @@ def similar_in_time(rows: DataFrame, min_cos: float, hours: int = V.EVENT_WINDOW
     pairs = met.select(F.col("class_id_a").alias("class_a"), F.col("class_id").alias("class_b"),
                        sparse_dot(F.col("vec_a"), F.col("vec")).alias("cos"),
                        (F.col("last") - F.col("first_a") <= width).alias("whole"))
-    named = salted_lookup(timed, classes.select("vec", "cell", "class_id"), ["vec", "cell"], ["id"], "inner")
+    class_of = classes.select("vec", "cell", "class_id")
+    if embed is not None:
+        class_of = spans.select("text", "vec", "cell").join(class_of, ["vec", "cell"]).drop("vec")
+    named = salted_lookup(timed, class_of, [name, "cell"], ["id"], "inner")
     members = named.select("id", "class_id", "at")
     return (pairs if candidates else pairs.filter(F.col("cos") >= min_cos)), members
 

@@ -131,19 +131,19 @@ FROM d JOIN heads ha ON ha.id = id_a JOIN heads hb ON hb.id = id_b JOIN classes
 WHERE (b.cell = a.cell AND a.class_id < b.class_id) OR (b.cell = a.cell + 1 AND b.first - a.last <= 259200000000)""")
 def similar_in_time(spark, sf_dir):
     """Classes of headlines with a cosine of 0.4 or more within 72 hours of each other."""
-    pairs, _ = O.similar_in_time(_timed_headlines(spark, sf_dir), 0.4)
+    pairs, _ = O.similar_in_time(_timed_headlines(spark, sf_dir), 0.4, embed=VX.hash_embedding_md5)
     return pairs.withColumn("cos", F.round("cos", 6))
 
 
 @query("similar_in_time_members", _IN_TIME + "SELECT report_id AS id, class_id FROM timed JOIN classes USING (v, cell)")
 def similar_in_time_members(spark, sf_dir):
     """Reports and their classes, of which all rows are linked."""
-    return O.similar_in_time(_timed_headlines(spark, sf_dir), 0.4)[1].select("id", "class_id")
+    return O.similar_in_time(_timed_headlines(spark, sf_dir), 0.4, embed=VX.hash_embedding_md5)[1].select("id", "class_id")
 
 
 def _timed_headlines(spark, sf_dir):
     return views.reports(spark, sf_dir).select(
-        F.col("report_id").alias("id"), VX.hash_embedding_md5(F.col("title")).alias("vec"), F.col("published_at").alias("at"))
+        F.col("report_id").alias("id"), F.col("title").alias("text"), F.col("published_at").alias("at"))
 
 
 @query("jaccard_titles", f"""

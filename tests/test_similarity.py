@@ -61,6 +61,29 @@ def test_repeated_headlines_add_no_candidates(spark):
     assert verified <= candidates <= 2 * verified and verified <= cells * (20 * 3 + 20) * 2
 
 
+def test_each_headline_is_embedded_once(spark):
+    """Texts give the classes of their vectors; a third of the rows share one text, and two texts one vector."""
+    rng = random.Random(8)
+    words = ["quake", "flood", "japan", "chile", "dam", "storm", "peru"]
+    texts = [" ".join(rng.sample(words, rng.randrange(1, 4))) for _ in range(12)] + ["japan quake", "quake japan", "the", None]
+    rows = [(i, texts[0] if i % 3 == 0 else rng.choice(texts), None if i == 7 else T0 + dt.timedelta(hours=rng.random() * 400)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id bigint, text string, at timestamp")
+    made = spark.sparkContext.accumulator(0)
+
+    def unit_of(text):
+        made.add(1)
+        known = sorted({words.index(w) for w in (text or "").split() if w in words})
+        return [(b, 1.0 / len(known) ** 0.5) for b in known]
+
+    embed = F.udf(unit_of, "array<struct<bucket:int,w:double>>")
+    pairs, members = similar_in_time(frame, 0.6, embed=embed)
+    got = [{tuple(r) for r in df.collect()} for df in (pairs, members)]
+    assert made.value <= 2 * len(set(texts))
+    vectors = [(i, unit_of(t), at) for i, t, at in rows]
+    want = [{tuple(r) for r in df.collect()} for df in similar_in_time(spark.createDataFrame(vectors, SCHEMA), 0.6)]
+    assert got == want and got[0] and got[1]
+
+
 def test_nothing_is_similar_in_an_empty_table(spark):
     pairs, members = similar_in_time(spark.createDataFrame([], SCHEMA), 0.8)
     assert pairs.count() == members.count() == 0
