@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrob.llm.common import stored
+from corrob.llm.common import shuffled, stored
 from corrob.llm.graph import components
 from corrob.llm.wordhash import hashed_words, text_slices
 from corrob.session import ship_package
@@ -223,22 +223,22 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     keyed = stored(fps.select("fp").mapInArrow(_keyed, "fp bigint, key bigint"), "keys")
     shared = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter(
         F.col("first") < F.col("last"))
-    met = stored(keyed.join(shared, "key"), "met")
+    met = stored(keyed.join(shuffled(shared), "key"), "met")
     ends = met.select("fp", F.explode(F.array("first", "last")).alias("to")).filter(
         (F.col("fp") != F.col("to")) & (_apart("fp", "to") <= DISTANCE))
     links = stored(ends.select(F.greatest("fp", "to").alias("a"), F.least("fp", "to").alias("b")).distinct(), "links")
     labels = stored(components(links), "labels")
-    placed = met.select("key", "fp").join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
+    placed = met.select("key", "fp").join(shuffled(labels.withColumnRenamed("id", "fp")), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
         F.col("low") < F.col("high")).select("key")
-    open_ = stored(met.select("key", "fp").join(several, "key").select("fp").distinct(), "open")
+    open_ = stored(met.select("key", "fp").join(shuffled(several), "key").select("fp").distinct(), "open")
     bits = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)])
     words = open_.select("fp", F.explode(F.concat(F.array("fp"), F.transform(
         bits, lambda b: F.col("fp").bitwiseXOR(b)))).alias("word"))
     least = words.groupBy("word").agg(F.min("fp").alias("to"), F.max("fp").alias("most")).filter(
         F.col("to") < F.col("most")).drop("most")
-    close = words.join(least, "word").filter(F.col("fp") != F.col("to")).select(F.col("fp").alias("a"), F.col("to").alias("b"))
+    close = words.join(shuffled(least), "word").filter(F.col("fp") != F.col("to")).select(F.col("fp").alias("a"), F.col("to").alias("b"))
     more = stored(close.distinct(), "close")
     if not more.isEmpty():
         labels = stored(components(links.union(more)), "labels")
@@ -251,10 +251,10 @@ def simhash_copies(docs: DataFrame, k: int = K) -> DataFrame:
     marked = stored(docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(
         _marker(k), "doc_id bigint, fp bigint"), "marked")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "fps")
-    rooted = fps.join(fingerprint_components(fps), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = fps.join(shuffled(fingerprint_components(fps)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # documents whose fingerprint is theirs alone and linked with none need no look-up
-    named = stored(rooted.join(smallest, "root").filter((F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("least")))
+    named = stored(rooted.join(shuffled(smallest), "root").filter((F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("least")))
                    .select("fp", "component_id"), "named")
-    return marked.join(named, "fp", "left").select(
+    return marked.join(shuffled(named), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corrob.llm import centroids, fingerprints, ranked_search
+from corrob.llm import centroids, fingerprints, graph, ranked_search
 from corrob.llm.wordhash import text_slices
 
 
@@ -236,3 +236,21 @@ def test_copies_equal_brute_force(spark):
     got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in fingerprints.simhash_copies(df).collect()), key=str)
     assert got == want and len(set(least.values())) < len(set(prints)) < len(rows)
     assert fingerprints.simhash_copies(df.limit(0)).collect() == []
+
+
+def test_no_table_of_fingerprints_goes_through_the_driver(rows_of, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) for _ in range(60)]
+    plans = []
+
+    def seen(df, name, store=fingerprints.stored):
+        df.collect()  # as Spark ran it, joins changed on the way included
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(fingerprints, "stored", seen)
+    monkeypatch.setattr(graph, "stored", seen)
+    out = fingerprints.simhash_copies(rows_of([(i, texts[i % 50]) for i in range(60)] + [(70, texts[0] + " x"), (71, None), (72, "")]))
+    assert {r["component_id"] for r in out.filter("doc_id in (0, 50)").collect()} == {0}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]
