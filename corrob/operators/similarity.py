@@ -135,9 +135,13 @@ def similar_pairs(vectors: DataFrame, min_cos: float) -> DataFrame:
     """(id_a, id_b, cos) over *distinct* sparse vectors, ``id_a < id_b``.
 
     ``vectors`` is (id, vec).  Equal vectors are one group named by its least
-    id, which keeps a headline that repeats from pairing with itself.
+    id, which keeps a headline that repeats from pairing with itself.  Equal
+    means at nine decimals: words that all stand there twice have the weights
+    of the same words standing there once, but for the rounding.
     """
-    groups = vectors.filter(F.size("vec") > 0).groupBy("vec").agg(F.min("id").alias("id"))
+    same = vectors.filter(F.size("vec") > 0).groupBy("vec").agg(F.min("id").alias("id"))
+    digits = F.transform("vec", lambda e: F.struct(e["bucket"].alias("bucket"), F.round(e["w"], 9).alias("w")))
+    groups = same.groupBy(digits.alias("digits")).agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")).drop("digits")
     ready = prefix_of(groups, bucket_ranks(groups), min_cos, "id")
     pairs = prefix_join(ready, ready, min_cos, condition=F.col("id") < F.col("id_r"))
     return pairs.select(F.col("id").alias("id_a"), F.col("id_r").alias("id_b"), "cos")

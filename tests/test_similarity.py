@@ -4,8 +4,10 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corrob.operators import similarity
 from corrob.operators.editorial import ngram_overlap
 from corrob.operators.ops import latency_summary, nearest_ranks
@@ -175,3 +177,16 @@ def test_nearest_vectors_of_small_tables(spark):
         assert [(r["id"], r["rank"], r["scored"]) for r in similarity.top_k_neighbors(q, zeros, 3, size).orderBy("rank").collect()] == [
             (4, 1, 2), (5, 2, 2)]
     assert similarity.top_k_neighbors(none.withColumnRenamed("id", "query_id"), zeros, 3).collect() == []
+
+
+def test_titles_of_repeated_words_are_equal_in_query_and_sql(spark, tmp_path):
+    """Every word twice or four times over weighs as once; the last digits of the weights differ."""
+    words = "anchor beacon cobalt delta ember falcon granite harbor indigo".split()
+    titles = [" ".join(words[:k] * c) for k in (1, 2, 3, 4, 5, 7) for c in (1, 2, 4, 5)] + ["beacon anchor", "anchor anchor beacon", "delta", ""]
+    rows = [(i, "http://a.example/", f"<title>{t}</title>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["cosine_pairs"]).fetchall())
+    got = sorted((r["id_a"], r["id_b"], r["cos"]) for r in entry.queries()["cosine_pairs"](spark, str(tmp_path)).collect())
+    assert got == want and {a for a, _, _ in got} <= {0, 4, 8, 12, 16, 20, 25, 26} and max(c for _, _, c in got) < 1
