@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -87,10 +88,10 @@ def bucket_ranks(vectors: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def prefix_of(vectors: DataFrame, ranks: DataFrame, min_cos: float, key: str, vec: str = "vec") -> DataFrame:
-    """Add ``prefix``: the rare buckets that any match at ``min_cos`` must share one of.
+    """Add ``prefix``: the rare buckets that any match at ``min_cos`` must share one of; and all ``buckets``.
 
-    Buckets are ordered from rare to common; the tail whose length is below
-    ``min_cos`` cannot carry a match alone (Cauchy-Schwarz) and is left out.
+    Both are ordered from rare to common; the tail whose length is below
+    ``min_cos`` cannot carry a match alone (Cauchy-Schwarz) and is left out of the prefix.
     """
     entries = vectors.select(key, F.explode(vec).alias("e")).select(key, "e.bucket", "e.w")
     ranked = entries.join(ranks, "bucket").groupBy(key).agg(
@@ -104,31 +105,92 @@ def prefix_of(vectors: DataFrame, ranks: DataFrame, min_cos: float, key: str, ve
 
     kept = F.aggregate(F.reverse("ordered"), F.struct(F.lit(0.0).alias("mass"), F.size("ordered").alias("keep")),
                        trim, lambda acc: acc["keep"])
-    prefix = F.transform(F.slice("ordered", F.lit(1), kept), lambda e: e["rank"]["bucket"])
-    return vectors.join(ranked.select(key, prefix.alias("prefix")), key)
+    buckets = F.transform("ordered", lambda e: e["rank"]["bucket"])
+    return vectors.join(ranked.select(key, F.slice(buckets, F.lit(1), kept).alias("prefix"), buckets.alias("buckets")), key)
+
+
+#: Rows of a bucket that are met by all others of it at a time, and comparisons of a task.
+PIECE, PER_TASK = 2_000, 20_000_000
+#: Shared buckets that are multiplied one by one.
+FEW = 8
+MASKS = ["_mask0", "_mask1", "_mask2", "_mask3"]
+
+
+def _with_reach(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """Add ``_mask0`` to ``_mask3``, ``_extra`` and ``_reach``, which bound a product from above without looking at the vectors.
+
+    The masks have a bit for every bucket, modulo 256; ``_extra`` is the number
+    of buckets beyond the bits.  Two vectors share at most the common bits and
+    the lesser extra.  ``_reach`` has the length of the n largest entries: with
+    n buckets in common a product is at most that of the two lengths.
+    """
+    def word(k: int) -> Column:
+        mine = F.filter(vec, lambda e: F.pmod(F.shiftright(e["bucket"], 6), F.lit(4)) == k)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, e: acc.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), e["bucket"].bitwiseAND(63))))
+
+    largest = F.reverse(F.array_sort(F.transform(vec, lambda e: e["w"] * e["w"])))
+    start = F.array().cast("array<double>")
+    sums = F.aggregate(largest, start, lambda acc, s: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + s)))
+    masked = vectors.withColumns({**{mask: word(k) for k, mask in enumerate(MASKS)}, "_reach": F.transform(sums, F.sqrt)})
+    return masked.withColumn("_extra", F.size(vec) - reduce(Column.__add__, [F.bit_count(mask) for mask in MASKS]))
 
 
 def prefix_join(left: DataFrame, right: DataFrame, min_cos: float, same: list[str] | None = None,
-                condition=None) -> DataFrame:
+                condition=None, dealt: bool = False) -> DataFrame:
     """Pairs of rows with cosine of at least ``min_cos`` at nine decimals, with no false dismissal.
 
-    Both sides carry ``vec`` and ``prefix``.  Column names on the right get the
-    suffix ``_r``.  A pair is verified only under its first shared prefix
+    Both sides carry ``vec``, ``prefix`` and ``buckets``.  Column names on the
+    right get the suffix ``_r``.  A pair is verified only under its first shared
     bucket, so each pair comes out once without a distinct.  ``same`` lists
     further equality keys; ``condition`` is a predicate on the pair.
+
+    Vectors are multiplied only where the number of buckets they can share, and
+    then the number they do share, let them reach ``min_cos``.  With ``dealt``
+    the pairs of a bucket are dealt to tasks of bounded size, whose number
+    follows the comparisons; both sides must be written tables.
     """
+    left, right = (_with_reach(side).withColumn("_weights", F.map_from_entries("vec")) for side in (left, right))
     renamed = right.select([F.col(c).alias(f"{c}_r") for c in right.columns])
     a = left.withColumn("bucket", F.explode("prefix"))
     b = renamed.withColumn("bucket", F.explode("prefix_r"))
     for name in same or []:
         b = b.withColumnRenamed(f"{name}_r", name)
-    pairs = a.join(b, ["bucket", *(same or [])])
-    if condition is not None:
-        pairs = pairs.filter(condition)
-    first_shared = F.element_at(F.array_intersect("prefix", "prefix_r"), 1)
-    pairs = pairs.filter(F.col("bucket") == first_shared).drop("bucket")
+    keys = ["bucket", *(same or [])]
+    if dealt:
+        counts = written(right.select(F.explode("prefix").alias("bucket")).groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n")).withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")), "pieces")
+        tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                    math.ceil((counts.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) / PER_TASK))
+        pieces = F.broadcast(counts.drop("n"))  # at most ``dim`` rows
+        keys = [*keys, "_piece"]
+        a = a.join(pieces, "bucket").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        b = b.join(pieces, "bucket").withColumn("_piece", F.pmod(F.xxhash64("vec_r"), F.col("pieces")).cast("int"))
+        # by a shuffle: a table small on disk is many times that in memory, and its pairs are to be dealt out
+        a, b = a.drop("pieces").repartition(tasks, *keys), b.drop("pieces").repartition(tasks, *keys).hint("merge")
+
+    def within(number: Column) -> Column:
+        return F.get("_reach", number - 1) * F.get("_reach_r", number - 1) >= min_cos - 1e-9
+
+    most = reduce(Column.__add__, [F.bit_count(F.col(mask).bitwiseAND(F.col(f"{mask}_r"))) for mask in MASKS]) + F.least("_extra", "_extra_r")
+    pairs = a.join(b, keys).filter((F.lit(True) if condition is None else condition) & within(most))
+    # generated, so that what follows from it stays above the join
+    pairs = pairs.withColumn("_shared", F.explode(F.array(F.array_intersect("buckets", "buckets_r")))).filter(
+        (F.col("bucket") == F.get("_shared", F.lit(0))) & within(F.size("_shared")))
     # at nine decimals, so that a cosine of just min_cos does not hang on the order of a sum
-    return pairs.withColumn("cos", sparse_dot(F.col("vec"), F.col("vec_r"))).filter(F.round("cos", 9) >= min_cos)
+    found = pairs.withColumn("cos", _shared_dot()).filter(F.round("cos", 9) >= min_cos)
+    return found.drop("bucket", *[c for c in found.columns if c.startswith("_")])
+
+
+def _shared_dot() -> Column:
+    """Sum of products over ``_shared`` buckets; the first few without a lambda, which costs more than the rest of the join."""
+
+    def product(bucket: Column) -> Column:
+        return F.element_at("_weights", bucket) * F.element_at("_weights_r", bucket)
+
+    few = reduce(Column.__add__, [F.coalesce(product(F.get("_shared", F.lit(k))), F.lit(0.0)) for k in range(FEW)])
+    return F.when(F.size("_shared") <= FEW, few).otherwise(
+        F.aggregate("_shared", F.lit(0.0), lambda acc, bucket: acc + product(bucket)))
 
 
 def similar_pairs(vectors: DataFrame, min_cos: float) -> DataFrame:
@@ -141,9 +203,11 @@ def similar_pairs(vectors: DataFrame, min_cos: float) -> DataFrame:
     """
     same = vectors.filter(F.size("vec") > 0).groupBy("vec").agg(F.min("id").alias("id"))
     digits = F.transform("vec", lambda e: F.struct(e["bucket"].alias("bucket"), F.round(e["w"], 9).alias("w")))
-    groups = same.groupBy(digits.alias("digits")).agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")).drop("digits")
-    ready = prefix_of(groups, bucket_ranks(groups), min_cos, "id")
-    pairs = prefix_join(ready, ready, min_cos, condition=F.col("id") < F.col("id_r"))
+    # written, so that texts are read and made vectors once
+    groups = written(same.groupBy(digits.alias("digits")).agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")).drop(
+        "digits"), "groups")
+    ready = written(prefix_of(groups, bucket_ranks(groups), min_cos, "id"), "prefixes")
+    pairs = prefix_join(ready, ready, min_cos, condition=F.col("id") < F.col("id_r"), dealt=True)
     return pairs.select(F.col("id").alias("id_a"), F.col("id_r").alias("id_b"), "cos")
 
 

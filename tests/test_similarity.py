@@ -190,3 +190,25 @@ def test_titles_of_repeated_words_are_equal_in_query_and_sql(spark, tmp_path):
     want = sorted(con.execute(entry.oracle_sql()["cosine_pairs"]).fetchall())
     got = sorted((r["id_a"], r["id_b"], r["cos"]) for r in entry.queries()["cosine_pairs"](spark, str(tmp_path)).collect())
     assert got == want and {a for a, _, _ in got} <= {0, 4, 8, 12, 16, 20, 25, 26} and max(c for _, _, c in got) < 1
+
+
+def test_pairs_equal_all_pairs_and_are_multiplied_above_the_join(spark, monkeypatch):
+    """Common buckets in many pieces, buckets equal modulo 256, more shared buckets than are multiplied one by one."""
+    monkeypatch.setattr(similarity, "PIECE", 7, raising=False)
+    monkeypatch.setattr(similarity, "PER_TASK", 500, raising=False)
+    rng = random.Random(11)
+    draws = [{rng.choice([rng.randrange(9), 256 * rng.randrange(5) + rng.randrange(4), rng.randrange(1500)]): 1 + rng.choice([0, 0, rng.random()])
+              for _ in range(rng.randrange(1, 11))} for _ in range(160)]
+    long = {40 * i: 1.0 + i % 3 for i in range(14)}
+    draws += [{b: w for b, w in long.items() if b != 40 * drop} for drop in range(6)] + [long, {7: 1.0}, {263: 2.0}]
+    heads = {}
+    for i, d in enumerate(draws):
+        heads.setdefault(tuple((b, round(w, 9)) for b, w in unit(d)), (i, unit(d)))
+    rows = [(i, unit(d)) for i, d in enumerate(draws)] + [(900 + i, unit(draws[i])) for i in range(40)] + [(999, [])]
+    found = similarity.similar_pairs(spark.createDataFrame(rows, "id bigint, vec array<struct<bucket:int,w:double>>"), 0.4)
+    got = {(r["id_a"], r["id_b"]): round(r["cos"], 9) for r in found.collect()}
+    want = {(i, j): round(cosine(v, u), 9) for i, v in heads.values() for j, u in heads.values() if i < j}
+    assert got == {pair: cos for pair, cos in want.items() if cos >= 0.4} and len(got) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and not [line for line in joins if "lambda" in line] and "ExistingRDD" not in plan
